@@ -79,7 +79,7 @@ def line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "chunk")
     )
     return lines.filter(F.trim("chunk") != "").select(
-        _text_id("doc_id", "line").alias("chunk_id"), "chunk", F.upper("chunk").alias("og_chunk")
+        _text_id("doc_id", "line").alias("chunk_id"), "chunk", F.lower("chunk").alias("og_chunk")
     )
 
 
