@@ -272,7 +272,8 @@ def maxsim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = bm25.tokenised(w.passages(spark, sf_dir).corpus)
-    return _rounded(bm25.term_weights(corpus).select("term", "df", "idf"), "idf")
+    weights = bm25.term_weights(bm25.term_counts(corpus))
+    return _rounded(weights.select("term", "df", "idf"), "idf")
 
 
 def bm25_scores_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from chunkrank.operators.metrics import (
     rank_run,
     to_long,
 )
-from chunkrank.operators.topk import CHUNK, PARENT, best_targets, rank_targets
+from chunkrank.operators.topk import CHUNK, PARENT, TASKS_PER_CORE, best_targets, rank_targets
 from chunkrank.operators.views import label_positions
 from chunkrank.session import ensure_checkpoint_dir
 
@@ -108,24 +108,30 @@ def scaling_samples(
     """(dataset, n, trial, parent): for each trial the n parents with the smallest digest.
 
     Every parent is hashed once per trial, but only those under a generous threshold are
-    sorted; trials the threshold left short are drawn again from all parents.
+    sorted. Should the threshold leave a trial short, that trial is drawn from all parents.
     """
-    parents = corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent")).distinct()
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    parents = (
+        corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent"))
+        .distinct()
+        # A row is small but stands for all its trials: many more tasks than its bytes suggest.
+        .repartition(TASKS_PER_CORE * cores)
+    )
     totals = parents.groupBy("dataset").agg(F.count("*").alias("parents"))
     plan = F.array(*[F.struct(F.lit(int(n)).alias("n"), F.lit(trials_for(n)).alias("trials")) for n in sizes])
-    # One row per (data set, trial): at most sum(trials) rows per data set.
+    # One row per (data set, size): at most len(sizes) rows per data set, so they are broadcast.
     trials = (
         totals.select("dataset", "parents", F.inline(plan))
         .filter(F.col("n") <= F.col("parents"))
         .withColumn("limit", F.lower(_threshold(F.col("n"), F.col("parents"))))
     )
-    first = Window.partitionBy("dataset", "n", "trial").orderBy("digest", "parent")
     numbered = F.explode(F.sequence(F.lit(0), F.col("trials") - 1)).alias("trial")
     drawn = (
-        parents.join(trials, "dataset")
+        parents.join(F.broadcast(trials), "dataset")
         .select("dataset", "parent", "n", "limit", numbered)
         .withColumn("digest", _digest(seed, F.col("parent")))
     )
+    first = Window.partitionBy("dataset", "n", "trial").orderBy("digest", "parent")
 
     def smallest(rows: DataFrame) -> DataFrame:
         return (
@@ -134,27 +140,27 @@ def scaling_samples(
             .select("dataset", "n", "trial", "parent")
         )
 
-    likely = smallest(drawn.filter(F.substring("digest", 1, 15) < F.col("limit")))
-    every = trials.select("dataset", "n", F.explode(F.sequence(F.lit(0), F.col("trials") - 1)).alias("trial"))
+    ensure_checkpoint_dir(corpus.sparkSession)
+    likely = smallest(drawn.filter(F.substring("digest", 1, 15) < F.col("limit"))).checkpoint()
     full = likely.groupBy("dataset", "n", "trial").agg(F.count("*").alias("found")).filter("found = n")
+    every = trials.select("dataset", "n", numbered)
     short = every.join(full, ["dataset", "n", "trial"], "left_anti")
-    again = smallest(drawn.join(short, ["dataset", "n", "trial"], "left_semi"))
-    return likely.join(short, ["dataset", "n", "trial"], "left_anti").unionByName(again)
+    if short.isEmpty():
+        return likely
+    again = smallest(drawn.join(F.broadcast(short), ["dataset", "n", "trial"], "left_semi"))
+    return likely.join(short, ["dataset", "n", "trial"], "left_anti").unionByName(again).checkpoint()
 
 
 TRIAL = ("dataset", "n", "trial")
 SMALL_SAMPLES = 1_000_000
 
 
-def kept_samples(samples: DataFrame) -> DataFrame:
-    """Materialise the draw: costly to make, small to hold, and read several times.
+def broadcast_if_small(samples: DataFrame) -> DataFrame:
+    """The draw's size is set by the sampling plan (27,621 rows per data set), not the corpus.
 
-    Its size is set by the sampling plan (27,621 rows per data set), not by the corpus; it is
-    broadcast only after counting it.
+    It is materialised already, so counting it before broadcasting costs next to nothing.
     """
-    ensure_checkpoint_dir(samples.sparkSession)
-    kept = samples.checkpoint()
-    return F.broadcast(kept) if kept.count() <= SMALL_SAMPLES else kept
+    return F.broadcast(samples) if samples.count() <= SMALL_SAMPLES else samples
 
 
 def sampled(rows: DataFrame, samples: DataFrame, id_name: str) -> DataFrame:
@@ -195,7 +201,7 @@ def scale_scored(
     A trial holds at most ``max(sizes)`` parents, so the work is bounded by the sampling plan
     and not by queries x corpus. Every trial is a key of the same top-k job.
     """
-    samples = kept_samples(scaling_samples(chunks, sizes, seed))
+    samples = broadcast_if_small(scaling_samples(chunks, sizes, seed))
     labels = sampled(qrels, samples, "target_id").select(*TRIAL, "query_id", "target_id")
     asked = labels.select(*TRIAL, "query_id").distinct().join(queries, ["dataset", "query_id"])
     offered = sampled(chunks, samples, "chunk_id")
@@ -214,7 +220,7 @@ def scale_run(
     ignore_identical_ids: bool = True,
 ) -> DataFrame:
     """Scaling of a supplied run. Per query and parent only the ten best chunks can matter."""
-    samples = kept_samples(scaling_samples(corpus, sizes, seed))
+    samples = broadcast_if_small(scaling_samples(corpus, sizes, seed))
     labels = sampled(qrels, samples, "target_id").select(*TRIAL, "query_id", "target_id")
     parent = scores.withColumn("parent", ids.parent_id(F.col("target_id")))
     best = rank_run(parent, ("dataset", "parent"), 10, ignore_identical_ids).drop("rank")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkrank.functions.text import tokens
+from chunkrank.schema import one_per_dataset
+from chunkrank.session import ensure_checkpoint_dir
 
 # The usual Okapi parameters.
 K1 = 1.5
@@ -28,54 +30,54 @@ def tokenised(rows: DataFrame, sentinels: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("tokens", tokens(F.col("text"), sentinels))
 
 
-def corpus_size(corpus: DataFrame) -> DataFrame:
-    return corpus.groupBy("dataset").agg(
-        F.count("*").alias("chunks"), F.avg(F.size("tokens")).alias("avgdl")
+def term_counts(corpus: DataFrame) -> DataFrame:
+    """The index: chunks holding each term, from one pass over the texts, written once.
+
+    The empty term stands for the chunk itself: its row holds the number of chunks and, in
+    ``total``, their summed length.
+    """
+    terms = F.array_append(F.array_distinct("tokens"), F.lit(""))
+    counts = (
+        corpus.select("dataset", F.size("tokens").alias("length"), F.explode(terms).alias("term"))
+        .groupBy("dataset", "term")
+        .agg(F.count("*").alias("df"), F.sum("length").alias("total"))
     )
+    ensure_checkpoint_dir(corpus.sparkSession)
+    return counts.checkpoint()
 
 
-def term_weights(corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """Per term: document frequency and idf, negative idf lifted to epsilon x mean idf."""
-    found = (
-        corpus.select("dataset", F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("dataset", "term")
-        .agg(F.count("*").alias("df"))
+def corpus_size(counts: DataFrame) -> DataFrame:
+    return counts.filter("term = ''").select(
+        "dataset", F.col("df").alias("chunks"), (F.col("total") / F.col("df")).alias("avgdl")
     )
-    sized = found.join(corpus_size(corpus), "dataset")
-    raw = sized.withColumn(
-        "raw_idf", F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def term_weights(counts: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """Per term: document frequency and idf, negative idf lifted to epsilon x mean idf."""
+    raw = (
+        counts.filter("term <> ''")
+        .join(one_per_dataset(corpus_size(counts)), "dataset")
+        .withColumn("raw_idf", F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )
     mean = raw.groupBy("dataset").agg(F.avg("raw_idf").alias("mean_idf"))
     lifted = F.when(F.col("raw_idf") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("raw_idf"))
-    return raw.join(mean, "dataset").select("dataset", "term", "df", lifted.alias("idf"), "avgdl")
+    return raw.join(one_per_dataset(mean), "dataset").select("dataset", "term", "df", lifted.alias("idf"))
 
 
-def weighted_queries(queries: DataFrame, corpus: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def weighted_queries(queries: DataFrame, counts: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Queries as (terms, weights), weight = occurrences x idf; unknown terms are left out.
 
     A query of unknown terms only keeps an empty list: all its scores are 0.
     """
-    asked = (
-        queries.select("dataset", "query_id", F.explode("tokens").alias("term"))
+    item = F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))
+    return (
+        queries.select("dataset", "query_id", F.explode_outer("tokens").alias("term"))
         .groupBy("dataset", "query_id", "term")
         .agg(F.count("*").alias("times"))
-    )
-    known = (
-        asked.join(term_weights(corpus, epsilon), ["dataset", "term"])
+        .join(term_weights(counts, epsilon), ["dataset", "term"], "left")
         .groupBy("dataset", "query_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight")))
-            ).alias("items"),
-        )
-        .select("dataset", "query_id", "items")
-    )
-    empty = F.array().cast("array<struct<term:string,weight:double>>")
-    return (
-        queries.select("dataset", "query_id")
-        .join(known, ["dataset", "query_id"], "left")
-        .join(corpus_size(corpus), "dataset")
-        .withColumn("items", F.coalesce("items", empty))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("idf").isNotNull(), item))).alias("items"))
+        .join(one_per_dataset(corpus_size(counts)), "dataset")
         .select(
             "dataset",
             "query_id",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkrank.functions import ids
-from chunkrank.schema import RetrievalSet
+from chunkrank.schema import RetrievalSet, one_per_dataset
 
 
 def label_violations(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def run_shape(run: DataFrame, corpus: DataFrame, qrels: DataFrame) -> DataFrame:
     asked = qrels.select("dataset", "query_id").distinct()
     return (
         asked.join(scored, ["dataset", "query_id"], "full")
-        .join(sizes, "dataset")
+        .join(one_per_dataset(sizes), "dataset")
         .select(
             "dataset",
             "query_id",

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from chunkrank.functions.text import prompted, tokens, truncated
 from chunkrank.functions.vectors import l2_normalised, mean_vector
 from chunkrank.operators.views import SEGMENT, segment_of
+from chunkrank.schema import one_per_dataset
 
 VECTOR = T.ArrayType(T.FloatType())
 TOKEN_VECTORS = T.ArrayType(VECTOR)
@@ -188,7 +189,7 @@ def mark_padded(chunks: DataFrame) -> DataFrame:
     """Adds ``padded``: the chunk has fewer tokens than its data set's longest."""
     longest = chunks.groupBy("dataset").agg(F.max(F.size("token_vectors")).alias("_longest"))
     return (
-        chunks.join(longest, "dataset")
+        chunks.join(one_per_dataset(longest), "dataset")
         .withColumn("padded", F.size("token_vectors") < F.col("_longest"))
         .drop("_longest")
     )

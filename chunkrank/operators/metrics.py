@@ -49,29 +49,21 @@ def rank_run(
     )
 
 
-def _gains(ranks: Column, depth: int) -> Column:
-    return F.aggregate(
-        ranks,
-        F.lit(0.0),
-        lambda total, r: total + F.when(r <= depth, F.lit(1.0) / F.log2(r + 1.0)).otherwise(0.0),
-    )
-
-
-def _hits(ranks: Column, depth: int) -> Column:
-    return F.size(F.filter(ranks, lambda r: r <= depth)).cast("double")
-
+def _measures(k: int) -> dict[str, Column]:
+    """The four measures at one cut-off from ``ranks`` (of the hits, ascending) and ``relevant``.
 
-def _precisions(ranks: Column, depth: int) -> Column:
-    """Sum over hits of (hits so far / rank); ``ranks`` ascend, so the index is the count."""
-    found = F.filter(ranks, lambda r: r <= depth)
-    return F.aggregate(
-        F.transform(found, lambda r, i: (i + 1).cast("double") / r), F.lit(0.0), lambda a, x: a + x
-    )
-
-
-def _ideal(relevant: Column, depth: int) -> Column:
-    best = F.least(relevant.cast("int"), F.lit(depth))
-    return _gains(F.sequence(F.lit(1), best), depth)
+    As SQL text: one expression each, where building them from columns costs a call per node.
+    """
+    gain = "aggregate({0}, 0D, (total, r) -> total + 1D / log2(r + 1))"
+    found = f"filter(ranks, r -> r <= {k})"
+    ideal = gain.format(f"sequence(1, least(int(relevant), {k}))")
+    precisions = f"aggregate(transform({found}, (r, i) -> (i + 1D) / r), 0D, (total, p) -> total + p)"
+    return {
+        "ndcg": F.expr(f"{gain.format(found)} / {ideal}"),
+        "map": F.expr(f"{precisions} / relevant"),
+        "recall": F.expr(f"double(size({found})) / relevant"),
+        "precision": F.expr(f"size({found}) / {k}D"),
+    }
 
 
 def per_query_metrics(
@@ -91,13 +83,9 @@ def per_query_metrics(
         # At most max(k) ranks per query; nulls of the misses are not collected.
         .agg(F.sort_array(F.collect_list(F.when(F.col("_hit"), F.col("rank")))).alias("ranks"))
     )
-    ranks, count = F.col("ranks"), F.col("relevant")
+    at = {k: _measures(k) for k in ks}
     return hits.join(relevant, query).select(
-        *query,
-        *[(_gains(ranks, k) / _ideal(count, k)).alias(f"ndcg_at_{k}") for k in ks],
-        *[(_precisions(ranks, k) / count).alias(f"map_at_{k}") for k in ks],
-        *[(_hits(ranks, k) / count).alias(f"recall_at_{k}") for k in ks],
-        *[(_hits(ranks, k) / F.lit(float(k))).alias(f"precision_at_{k}") for k in ks],
+        *query, *[at[k][measure].alias(f"{measure}_at_{k}") for measure in MEASURES for k in ks]
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkrank.operators.bm25 import tokenised
+from chunkrank.schema import one_per_dataset
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -39,4 +40,4 @@ def query_stats(queries: DataFrame) -> DataFrame:
 
 
 def dataset_stats(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    return query_stats(queries).join(corpus_stats(corpus), "dataset")
+    return query_stats(queries).join(one_per_dataset(corpus_stats(corpus)), "dataset")

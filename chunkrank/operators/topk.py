@@ -290,16 +290,16 @@ def best_targets(
 
 
 def rank_targets(
-    candidates: DataFrame, keys: Sequence[str] = ("dataset",), k: int = 100, parent_k: int = 10
+    candidates: DataFrame, keys: Sequence[str] = ("dataset",), k: int = 100, parent_k: int = 0
 ) -> DataFrame:
     """Final order: score descending, ties by id descending. One shuffle, keyed by query."""
     query = [*keys, "level", "query_id"]
     order = Window.partitionBy(*query).orderBy(F.desc("score"), F.desc("target_id"))
-    depth = F.when(F.col("level") == PARENT, F.lit(parent_k)).otherwise(F.lit(k))
-    return (
-        candidates.repartition(*query)
-        .groupBy(*query, "target_id")
-        .agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= depth)
-    )
+    gathered = candidates.repartition(*query)
+    if parent_k:
+        # Several tasks may report the same parent; the rows already lie together.
+        gathered = gathered.groupBy(*query, "target_id").agg(F.max("score").alias("score"))
+        depth = F.when(F.col("level") == PARENT, F.lit(parent_k)).otherwise(F.lit(k))
+    else:
+        depth = F.lit(k)
+    return gathered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)

@@ -66,8 +66,9 @@ def lexical(
     """``text`` (or ``tokens``) columns, compared by BM25."""
     corpus = bm25.tokenised(data.corpus, sentinels)
     queries = bm25.tokenised(data.queries, sentinels)
+    counts = bm25.term_counts(corpus)
     return Scored(
-        bm25.weighted_queries(queries, corpus, epsilon), corpus, data.qrels, Bm25(k1, b)
+        bm25.weighted_queries(queries, counts, epsilon), corpus, data.qrels, Bm25(k1, b)
     )
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNKED_DOCUMENTS = T.StructType(
@@ -81,6 +82,15 @@ def id_column(df: DataFrame) -> str:
     raise SchemaError("neither chunk_id nor chunk_ids found in the source")
 
 
+def one_per_dataset(rows: DataFrame) -> DataFrame:
+    """Mark a table holding one short row per data set for broadcast.
+
+    Its size is the number of data sets in the suite. A shuffled join on ``dataset`` alone
+    would bring a whole corpus into one task.
+    """
+    return F.broadcast(rows)
+
+
 @dataclass(frozen=True)
 class RetrievalSet:
     """A retrieval task (or many, told apart by ``dataset``).

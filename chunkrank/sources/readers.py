@@ -28,7 +28,7 @@ def open_table(
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores (a small file) one split per core.
+    """Use all cores for a table that Spark reads in fewer splits than there are cores.
 
     A large table has more splits than that and is left as it is.
     """

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from chunkrank.functions import ids
 from chunkrank.operators.views import cut_by_words, words
 from chunkrank.schema import RetrievalSet
+from chunkrank.session import ensure_checkpoint_dir
 from chunkrank.sources.readers import length_tables, open_table
 
-ANCHOR_WORDS = 5
 LENGTH_BUCKETS = (256, 1024, 4096)
 SWEEP_SIZES = (100, 250, 500, 1000)
 
@@ -102,34 +102,30 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, start_word): documents whose text contains the passage.
 
-    A contained passage brings all its inner words along, so the run of five words after its
-    first one is an exact equi-join key; the few candidates are then checked in full. Passages
-    under seven words have no such run and get no label.
+    A contained passage brings all its inner words along as whole words. So its longest inner
+    word is an exact equi-join key, and the few candidates are then checked in full. Passages
+    under three words have no inner word and get no label. The result is small and read by
+    several jobs, so it is materialised.
     """
-    inner = words(F.col("text"))
+    every = words(F.col("text"))
+    inner = F.transform(
+        F.slice(every, 2, F.size(every) - 2), lambda word: F.struct(F.length(word).alias("n"), word.alias("word"))
+    )
     passages = (
         table(spark, sf_dir, "benchmark")
-        .withColumn("words", inner)
-        .filter(F.size("words") >= ANCHOR_WORDS + 2)
-        .select(
-            "item_id",
-            F.col("text").alias("passage"),
-            F.array_join(F.slice("words", 2, ANCHOR_WORDS), " ").alias("anchor"),
-        )
-    )
-    documents = table(spark, sf_dir, "documents")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("words") - ANCHOR_WORDS + 1),
-        lambda i: F.array_join(F.slice("words", i, ANCHOR_WORDS), " "),
+        .filter(F.size(every) >= 3)
+        .select("item_id", F.col("text").alias("passage"), F.array_max(inner)["word"].alias("word"))
     )
-    anchored = (
-        documents.select("doc_id", inner.alias("words"))
-        .filter(F.size("words") >= ANCHOR_WORDS)
-        .select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    candidates = (
+        documents.select("doc_id", F.explode(every).alias("word"))
+        .join(passages.select("item_id", "word"), "word")
+        .select("doc_id", "item_id")
+        .distinct()
     )
-    return (
-        anchored.join(passages, "anchor")
-        .join(documents.select("doc_id", "text"), "doc_id")
+    found = (
+        candidates.join(passages.select("item_id", "passage"), "item_id")
+        .join(documents, "doc_id")
         .filter(F.contains("text", F.col("passage")))
         .select(
             "item_id",
@@ -137,6 +133,8 @@ def passage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.size(words(F.expr("left(text, instr(text, passage) - 1)"))).alias("start_word"),
         )
     )
+    ensure_checkpoint_dir(spark)
+    return found.checkpoint()
 
 
 def passages(spark: SparkSession, sf_dir: str, query_prefix: str = "q") -> RetrievalSet:

@@ -43,7 +43,7 @@ labels_found AS (
          len(list_filter(regexp_split_to_array(left(d.text, instr(d.text, b.text) - 1), '\s+'),
                          lambda w: w <> '')) AS start_word
   FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-  WHERE len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda w: w <> '')) >= 7)
+  WHERE len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda w: w <> '')) >= 3)
 """
 
 
