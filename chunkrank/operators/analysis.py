@@ -22,6 +22,8 @@ from chunkrank.session import ensure_checkpoint_dir
 # Numbers of sampled parents, and the trials made for each.
 SAMPLE_SIZES = (1, 2, 5, 10, 20, 50, 100, 150, 200)
 
+DIGESTS_PER_TASK = 200_000
+
 
 def trials_for(size: int) -> int:
     return int(500 / size**0.5)
@@ -110,13 +112,11 @@ def scaling_samples(
     Every parent is hashed once per trial, but only those under a generous threshold are
     sorted. Should the threshold leave a trial short, that trial is drawn from all parents.
     """
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    parents = (
-        corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent"))
-        .distinct()
-        # A row is small but stands for all its trials: many more tasks than its bytes suggest.
-        .repartition(TASKS_PER_CORE * cores)
-    )
+    digests = sum(trials_for(n) for n in sizes)
+    parents = corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent")).distinct()
+    # A row is small but stands for all its trials: more tasks than its bytes suggest.
+    most = TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
+    parents = parents.repartition(min(most, 1 + parents.count() * digests // DIGESTS_PER_TASK))
     totals = parents.groupBy("dataset").agg(F.count("*").alias("parents"))
     plan = F.array(*[F.struct(F.lit(int(n)).alias("n"), F.lit(trials_for(n)).alias("trials")) for n in sizes])
     # One row per (data set, size): at most len(sizes) rows per data set, so they are broadcast.

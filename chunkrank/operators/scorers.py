@@ -1,19 +1,20 @@
-"""Numpy kernels: the scores of some queries against one batch of chunks.
+"""Numpy kernels: the scores of some queries against a range of chunks.
 
-A scorer names the columns it reads on both sides and turns two Arrow tables into a dense
-``queries x chunks`` block of float64. Blocks are small and short-lived; see ``topk``.
+A scorer names the columns it reads on both sides. ``load`` packs the queries once per task,
+``prepare`` packs an Arrow batch of chunks once, and ``score`` gives a dense
+``queries x chunks`` block of float64 for some rows of the batch. ``topk`` keeps those blocks
+small; none outlives its use.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 BLOCK_CELLS = 4_000_000
-FEWEST_ROWS = 128
 
 
 def _plain(column) -> pa.Array:
@@ -40,29 +41,26 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(norms, 1e-12)[:, None]
 
 
-def _even_pieces(batch: pa.Table, queries: int) -> Iterator[pa.Table]:
-    rows = max(FEWEST_ROWS, BLOCK_CELLS // max(queries, 1))
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 class Dense:
     """Raw dot product of one vector per side."""
 
     query_columns = ("vector",)
     chunk_columns = ("vector",)
 
-    def load(self, queries: pa.Table):
-        return _matrix(_plain(queries["vector"]))
+    def elements(self) -> Column:
+        return F.size("vector")
 
-    def pieces(self, batch: pa.Table, queries: int) -> Iterator[pa.Table]:
-        return _even_pieces(batch, queries)
+    def load(self, queries: pa.Table) -> np.ndarray:
+        return _matrix(_plain(queries["vector"]))
 
-    def score(self, queries, piece: pa.Table) -> np.ndarray:
-        chunks = _matrix(_plain(piece["vector"]))
+    def prepare(self, queries: np.ndarray, batch: pa.Table) -> np.ndarray:
+        chunks = _matrix(_plain(batch["vector"]))
         if queries.shape[1] != chunks.shape[1]:
             raise ValueError("query and chunk vectors differ in length")
-        return queries @ chunks.T
+        return chunks
+
+    def score(self, queries: np.ndarray, chunks: np.ndarray, start: int, stop: int) -> np.ndarray:
+        return queries @ chunks[start:stop].T
 
 
 class MaxSim:
@@ -78,6 +76,9 @@ class MaxSim:
         self.pad_floor = pad_floor
         self.chunk_columns = ("token_vectors", "padded") if pad_floor else ("token_vectors",)
 
+    def elements(self) -> Column:
+        return F.size("token_vectors") * F.size(F.element_at("token_vectors", 1))
+
     @staticmethod
     def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
         matrices = _plain(column)
@@ -89,25 +90,29 @@ class MaxSim:
     def load(self, queries: pa.Table):
         return self._tokens(queries["token_vectors"])
 
-    def pieces(self, batch: pa.Table, queries: int) -> Iterator[pa.Table]:
-        """Cut by tokens, not rows: a block holds query tokens x chunk tokens."""
-        ends = _offsets(_plain(batch["token_vectors"]))[1:]
-        tokens = max(FEWEST_ROWS, BLOCK_CELLS // max(8 * queries, 1))
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + tokens, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-
-    def score(self, queries, piece: pa.Table) -> np.ndarray:
+    def prepare(self, queries, batch: pa.Table):
+        padded = batch["padded"].to_numpy().astype(bool) if self.pad_floor else None
+        return *self._tokens(batch["token_vectors"]), padded
+
+    def score(self, queries, chunks, start: int, stop: int) -> np.ndarray:
         query_tokens, query_at = queries
-        chunk_tokens, chunk_at = self._tokens(piece["token_vectors"])
-        best = np.maximum.reduceat(query_tokens @ chunk_tokens.T, chunk_at[:-1], axis=1)
-        if self.pad_floor:
-            padded = piece["padded"].to_numpy().astype(bool)
-            best[:, padded] = np.maximum(best[:, padded], 0.0)
-        return np.add.reduceat(best, query_at[:-1], axis=0)
+        chunk_tokens, chunk_at, padded = chunks
+        scores = np.empty((len(query_at) - 1, stop - start))
+        # As many chunks at a time as keep (query tokens x chunk tokens) within a block.
+        room = max(1, BLOCK_CELLS // len(query_tokens))
+        low = start
+        while low < stop:
+            high = int(np.searchsorted(chunk_at, chunk_at[low] + room, side="right")) - 1
+            high = min(max(high, low + 1), stop)
+            tokens = chunk_tokens[chunk_at[low] : chunk_at[high]]
+            starts = chunk_at[low:high] - chunk_at[low]
+            best = np.maximum.reduceat(query_tokens @ tokens.T, starts, axis=1)
+            if padded is not None:
+                short = padded[low:high]
+                best[:, short] = np.maximum(best[:, short], 0.0)
+            scores[:, low - start : high - start] = np.add.reduceat(best, query_at[:-1], axis=0)
+            low = high
+        return scores
 
 
 class Bm25:
@@ -115,8 +120,8 @@ class Bm25:
 
     Everything that depends on the whole corpus (idf and the mean length) arrives with the
     query: ``terms`` with ``weights`` = occurrences x idf, and ``avgdl``. So the corpus is
-    scored where it lies. Terms most queries share go through one matrix product; the others
-    through their short lists of queries.
+    scored where it lies. Terms that many queries share go through one matrix product; the
+    others through their short lists of queries.
     """
 
     query_columns = ("terms", "weights", "avgdl")
@@ -126,72 +131,73 @@ class Bm25:
         self.k1 = k1
         self.b = b
 
-    def load(self, queries: pa.Table):
+    def elements(self) -> Column:
+        return F.size("tokens")
+
+    def load(self, queries: pa.Table) -> dict:
         terms = _plain(queries["terms"])
         count = len(terms)
-        offsets = _offsets(terms)
-        flat = pc.list_flatten(terms)
         weights = pc.list_flatten(_plain(queries["weights"])).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(count), np.diff(offsets))
-        coded = flat.dictionary_encode()
+        owner = np.repeat(np.arange(count), np.diff(_offsets(terms)))
+        coded = pc.list_flatten(terms).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = len(coded.dictionary)
-        spread = np.bincount(code, minlength=size)
+        spread = np.bincount(code, minlength=len(coded.dictionary))
         common = spread > max(8, count // 16)
 
         dense_no = np.cumsum(common) - 1
         dense = np.zeros((count, int(common.sum())))
-        is_common = common[code]
-        dense[owner[is_common], dense_no[code[is_common]]] = weights[is_common]
+        shared = common[code]
+        dense[owner[shared], dense_no[code[shared]]] = weights[shared]
 
-        rare = ~is_common
-        order = np.argsort(code[rare], kind="stable")
+        order = np.argsort(code[~shared], kind="stable")
         return {
             "count": count,
             "vocabulary": coded.dictionary,
-            "avgdl": queries["avgdl"][0].as_py() if count else 1.0,
+            "avgdl": queries["avgdl"][0].as_py(),
             "common": common,
             "dense_no": dense_no,
             "dense": dense,
             "starts": np.concatenate([[0], np.cumsum(np.where(common, 0, spread))]),
-            "owner": owner[rare][order],
-            "weights": weights[rare][order],
+            "owner": owner[~shared][order],
+            "weights": weights[~shared][order],
         }
 
-    def pieces(self, batch: pa.Table, queries: int) -> Iterator[pa.Table]:
-        return _even_pieces(batch, queries)
-
-    def score(self, queries, piece: pa.Table) -> np.ndarray:
-        lists = _plain(piece["tokens"])
+    def prepare(self, queries: dict, batch: pa.Table):
+        """Per chunk its length and, as (chunk, term, gain) rows, the terms any query asks for."""
+        lists = _plain(batch["tokens"])
         lengths = np.diff(_offsets(lists))
         docs = np.repeat(np.arange(len(lists)), lengths)
         found = pc.index_in(pc.list_flatten(lists), value_set=queries["vocabulary"])
         known = pc.is_valid(found).to_numpy(zero_copy_only=False)
         code = pc.drop_null(found).to_numpy(zero_copy_only=False).astype(np.int64)
-
         size = max(len(queries["vocabulary"]), 1)
         pair, tf = np.unique(docs[known] * size + code, return_counts=True)
         doc, code = pair // size, pair % size
         norm = self.k1 * (1 - self.b + self.b * lengths[doc] / queries["avgdl"])
-        gain = tf * (self.k1 + 1) / (tf + norm)
+        return doc, code, tf * (self.k1 + 1) / (tf + norm)
+
+    def score(self, queries: dict, chunks, start: int, stop: int) -> np.ndarray:
+        doc, code, gain = chunks
+        mine = slice(*np.searchsorted(doc, [start, stop]))
+        doc, code, gain = doc[mine] - start, code[mine], gain[mine]
 
-        is_common = queries["common"][code]
-        seen = np.zeros((len(lists), queries["dense"].shape[1]))
-        seen[doc[is_common], queries["dense_no"][code[is_common]]] = gain[is_common]
+        shared = queries["common"][code]
+        seen = np.zeros((stop - start, queries["dense"].shape[1]))
+        seen[doc[shared], queries["dense_no"][code[shared]]] = gain[shared]
         scores = seen @ queries["dense"].T
 
-        doc, code, gain = doc[~is_common], code[~is_common], gain[~is_common]
-        starts = queries["starts"]
-        fan = starts[code + 1] - starts[code]
+        doc, code, gain = doc[~shared], code[~shared], gain[~shared]
+        first = queries["starts"][code]
+        fan = queries["starts"][code + 1] - first
         ends = np.cumsum(fan)
-        begin = 0
-        while begin < len(doc):
-            base = ends[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(ends, base + BLOCK_CELLS, side="right")))
-            n = fan[begin:stop]
-            posting = np.arange(n.sum()) + np.repeat(starts[code[begin:stop]] - (np.cumsum(n) - n), n)
-            cell = np.repeat(doc[begin:stop], n) * queries["count"] + queries["owner"][posting]
-            added = np.repeat(gain[begin:stop], n) * queries["weights"][posting]
+        low = 0
+        while low < len(doc):
+            base = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, base + BLOCK_CELLS, side="right")))
+            n = fan[low:high]
+            posting = np.arange(n.sum()) + np.repeat(first[low:high] - (np.cumsum(n) - n), n)
+            cell = np.repeat(doc[low:high], n) * queries["count"] + queries["owner"][posting]
+            added = np.repeat(gain[low:high], n) * queries["weights"][posting]
             scores += np.bincount(cell, added, minlength=scores.size).reshape(scores.shape)
-            begin = stop
+            low = high
         return scores.T

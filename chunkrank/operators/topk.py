@@ -28,14 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chunkrank.schema import one_per_dataset
+
 CHUNK = "chunk"
 PARENT = "parent"
 SCORE_STEPS = 1e6  # scores are compared after rounding to 6 places
 
 BROADCAST_QUERIES = 8_192
 BROADCAST_BYTES = 256 << 20
-QUERY_CELL = 4_096
-CHUNK_CELL = 16_384
+QUERY_CELL = 8_192
+CHUNK_CELL = 65_536
+CELL_ELEMENTS = 32_000_000  # numbers or tokens in a cell, whatever its row count
+BLOCK_CELLS = 4_000_000  # scores held at once by a task
+FEWEST_ROWS = 128
 TASKS_PER_CORE = 4
 
 
@@ -74,10 +79,13 @@ class _Best:
         if not len(query):
             return
         value = steps[query, column]
-        starts = np.searchsorted(query, np.arange(len(self.query_ids)))
-        fresh = np.full_like(self.top, -np.inf)
-        fresh[query, np.arange(len(query)) - starts[query]] = value
-        self.top = np.partition(np.concatenate([self.top, fresh], axis=1), self.k, axis=1)[:, self.k :]
+        counts = np.bincount(query, minlength=len(self.query_ids))
+        within = np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)
+        touched = np.flatnonzero(counts)
+        fresh = np.full((len(touched), self.k), -np.inf)
+        fresh[np.searchsorted(touched, query), within] = value
+        merged = np.concatenate([self.top[touched], fresh], axis=1)
+        self.top[touched] = np.partition(merged, self.k, axis=1)[:, self.k :]
         self.parts.append(
             pa.table(
                 {
@@ -127,11 +135,15 @@ class _Task:
         )
 
     def feed(self, batch: pa.Table) -> None:
-        scorer = self.plan.scorer
         batch = batch.sort_by([("chunk_id", "descending")])
-        for piece in scorer.pieces(batch, self.count):
-            steps = np.rint(scorer.score(self.queries, piece) * SCORE_STEPS)
-            targets = piece["chunk_id"].combine_chunks()
+        ids = batch["chunk_id"].combine_chunks()
+        chunks = self.plan.scorer.prepare(self.queries, batch)
+        rows = max(FEWEST_ROWS, BLOCK_CELLS // max(self.count, 1))
+        for start in range(0, len(ids), rows):
+            stop = min(start + rows, len(ids))
+            scores = self.plan.scorer.score(self.queries, chunks, start, stop)
+            steps = np.rint(scores * SCORE_STEPS)
+            targets = ids.slice(start, stop - start)
             if self.levels:
                 self.levels[0].hide_identical(steps, targets)
                 self.levels[0].add(steps, targets)
@@ -229,12 +241,13 @@ def _grid_form(
 ) -> DataFrame:
     keys = plan.keys
 
-    def cells(side: DataFrame, size: int, name: str) -> DataFrame:
-        return side.groupBy(*keys).agg(
-            F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name)
-        )
-
-    counts = cells(queries, query_cell, "_q_cells").join(cells(chunks, chunk_cell, "_d_cells"), keys)
+    q_cells = F.ceil(F.count("*") / F.lit(query_cell)).cast("int").alias("_q_cells")
+    by_rows = F.ceil(F.count("*") / F.lit(chunk_cell))
+    by_size = F.ceil(F.sum(plan.scorer.elements()) / F.lit(CELL_ELEMENTS))
+    d_cells = F.greatest(by_rows, by_size, F.lit(1)).cast("int").alias("_d_cells")
+    counts = queries.groupBy(*keys).agg(q_cells).join(chunks.groupBy(*keys).agg(d_cells), keys)
+    # One row per data set (and trial): as few as the suite and the sampling plan name.
+    counts = one_per_dataset(counts)
 
     def placed(side: DataFrame, id_name: str, own: str, other: str) -> DataFrame:
         return (

@@ -27,13 +27,17 @@ def open_table(
     return spread(reader.load(path))
 
 
+SMALL_TABLE_SPLITS = 32
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a table that Spark reads in fewer splits than there are cores.
+    """Spread a table that Spark reads in very few splits over some of the cores.
 
     A large table has more splits than that and is left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    splits = min(cores, SMALL_TABLE_SPLITS)
+    return scan if scan.rdd.getNumPartitions() >= splits else scan.repartition(splits)
 
 
 def with_row_position(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
+import chunkrank.operators.scorers as scorers
 import chunkrank.operators.topk as topk
 from chunkrank.operators.scorers import Bm25, Dense, MaxSim
 from chunkrank.operators.topk import best_targets, rank_targets
@@ -84,10 +85,8 @@ def test_too_many_queries_turn_to_the_grid(dense_case, monkeypatch):
 
 
 def test_small_pieces_and_shrinking(dense_case, monkeypatch):
-    import chunkrank.operators.scorers as scorers
-
-    monkeypatch.setattr(scorers, "FEWEST_ROWS", 8)
-    monkeypatch.setattr(scorers, "BLOCK_CELLS", 64)
+    monkeypatch.setattr(topk, "FEWEST_ROWS", 8)
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 64)
     q, c, scores, query_ids, chunk_ids = dense_case
     plan = topk._Plan(Dense(), ["dataset"], [c.schema["dataset"]], 3, 2, True)
     task = topk._Task(plan, ("d",), q.toArrow())
@@ -152,7 +151,9 @@ def unit(m):
 
 @pytest.mark.parametrize("pad_floor", [False, True])
 @pytest.mark.parametrize("form", ["auto", "grid"])
-def test_maxsim(spark, pad_floor, form):
+def test_maxsim(spark, pad_floor, form, monkeypatch):
+    # shipped to the workers by value, so they score in the same tiny blocks
+    monkeypatch.setattr(scorers, "BLOCK_CELLS", 150)
     rng = np.random.default_rng(2)
     queries = [rng.normal(size=(rng.integers(1, 6), 5)) for _ in range(8)]
     chunks = [rng.normal(size=(rng.integers(1, 9), 5)) for _ in range(60)]
@@ -207,7 +208,8 @@ def test_bm25_kernel_with_common_terms():
         pa.table({"query_id": [str(i) for i in range(60)], "terms": asked, "weights": weights, "avgdl": [avgdl] * 60})
     )
     assert loaded["common"].any() and not loaded["common"].all()
-    got = scorer.score(loaded, pa.table({"tokens": pa.array(docs, pa.list_(pa.string()))}))
+    chunks = scorer.prepare(loaded, pa.table({"tokens": pa.array(docs, pa.list_(pa.string()))}))
+    got = np.hstack([scorer.score(loaded, chunks, i, min(i + 7, 50)) for i in range(0, 50, 7)])
     for i, terms in enumerate(asked):
         for j, doc in enumerate(docs):
             want = 0.0
