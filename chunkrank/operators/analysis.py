@@ -17,7 +17,7 @@ from chunkrank.operators.metrics import (
 )
 from chunkrank.operators.topk import CHUNK, PARENT, TASKS_PER_CORE, best_targets, rank_targets
 from chunkrank.operators.views import label_positions
-from chunkrank.session import ensure_checkpoint_dir
+from chunkrank.session import materialised
 
 # Numbers of sampled parents, and the trials made for each.
 SAMPLE_SIZES = (1, 2, 5, 10, 20, 50, 100, 150, 200)
@@ -140,15 +140,14 @@ def scaling_samples(
             .select("dataset", "n", "trial", "parent")
         )
 
-    ensure_checkpoint_dir(corpus.sparkSession)
-    likely = smallest(drawn.filter(F.substring("digest", 1, 15) < F.col("limit"))).checkpoint()
+    likely = materialised(smallest(drawn.filter(F.substring("digest", 1, 15) < F.col("limit"))))
     full = likely.groupBy("dataset", "n", "trial").agg(F.count("*").alias("found")).filter("found = n")
     every = trials.select("dataset", "n", numbered)
     short = every.join(full, ["dataset", "n", "trial"], "left_anti")
     if short.isEmpty():
         return likely
     again = smallest(drawn.join(F.broadcast(short), ["dataset", "n", "trial"], "left_semi"))
-    return likely.join(short, ["dataset", "n", "trial"], "left_anti").unionByName(again).checkpoint()
+    return materialised(likely.join(short, ["dataset", "n", "trial"], "left_anti").unionByName(again))
 
 
 TRIAL = ("dataset", "n", "trial")

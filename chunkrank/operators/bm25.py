@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chunkrank.functions.text import tokens
 from chunkrank.schema import one_per_dataset
-from chunkrank.session import ensure_checkpoint_dir
+from chunkrank.session import materialised
 
 # The usual Okapi parameters.
 K1 = 1.5
@@ -42,8 +42,7 @@ def term_counts(corpus: DataFrame) -> DataFrame:
         .groupBy("dataset", "term")
         .agg(F.count("*").alias("df"), F.sum("length").alias("total"))
     )
-    ensure_checkpoint_dir(corpus.sparkSession)
-    return counts.checkpoint()
+    return materialised(counts)
 
 
 def corpus_size(counts: DataFrame) -> DataFrame:

@@ -250,12 +250,14 @@ def _grid_form(
     counts = one_per_dataset(counts)
 
     def placed(side: DataFrame, id_name: str, own: str, other: str) -> DataFrame:
-        return (
+        spread = (
             side.join(counts, keys)
             .withColumn(own, F.pmod(F.xxhash64(id_name), F.col(f"{own}s")).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
             .drop("_q_cells", "_d_cells")
         )
+        # Both sides may come from one table; new names keep their columns apart.
+        return spread.select(*[F.col(name).alias(name) for name in spread.columns])
 
     cell = [*keys, "_q_cell", "_d_cell"]
     left = placed(queries, "query_id", "_q_cell", "_d_cell").groupBy(*cell)

@@ -22,7 +22,7 @@ from chunkrank.operators.scorers import Bm25, Dense, MaxSim
 from chunkrank.operators.topk import CHUNK, PARENT, best_targets, rank_targets
 from chunkrank.operators.views import label_positions
 from chunkrank.schema import RetrievalSet, require_columns
-from chunkrank.session import ensure_checkpoint_dir
+from chunkrank.session import materialised
 
 PARENT_DEPTH = 10  # only nDCG@10 is reported for parents
 
@@ -254,7 +254,6 @@ def evaluate(
 
 def timed(stage: DataFrame) -> tuple[DataFrame, float]:
     """Materialise a stage (vectors, tokens) in the shared folder; seconds of wall clock."""
-    ensure_checkpoint_dir(stage.sparkSession)
     start = time.perf_counter()
-    kept = stage.checkpoint()
+    kept = materialised(stage)
     return kept, time.perf_counter() - start

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", name: str = "chunkrank") -> SparkSession:
@@ -38,7 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chunkrank-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` write below the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def materialised(table: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and go on from the copy.
+
+    Cuts the lineage where several jobs read one result. Unlike a checkpoint the copy is
+    columnar and has a known size, so later scans prune and joins pick the right side.
+    """
+    path = shared_dir(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chunkrank.functions import ids
 from chunkrank.operators.views import cut_by_words, words
 from chunkrank.schema import RetrievalSet
-from chunkrank.session import ensure_checkpoint_dir
+from chunkrank.session import materialised
 from chunkrank.sources.readers import length_tables, open_table
 
 LENGTH_BUCKETS = (256, 1024, 4096)
@@ -133,8 +133,7 @@ def passage_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.size(words(F.expr("left(text, instr(text, passage) - 1)"))).alias("start_word"),
         )
     )
-    ensure_checkpoint_dir(spark)
-    return found.checkpoint()
+    return materialised(found)
 
 
 def passages(spark: SparkSession, sf_dir: str, query_prefix: str = "q") -> RetrievalSet:
