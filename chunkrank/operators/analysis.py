@@ -168,6 +168,11 @@ def sampled(rows: DataFrame, samples: DataFrame, id_name: str) -> DataFrame:
     return tagged.join(samples, ["dataset", "parent"]).drop("parent")
 
 
+def trial_labels(qrels: DataFrame, samples: DataFrame) -> DataFrame:
+    """Labels of the sampled parents, once per trial; written, as several steps start from them."""
+    return materialised(sampled(qrels, samples, "target_id").select(*TRIAL, "query_id", "target_id"))
+
+
 def scaling_metrics(run: DataFrame, labels: DataFrame, samples: DataFrame) -> DataFrame:
     """Mean nDCG@10 over the trials of each size.
 
@@ -201,7 +206,7 @@ def scale_scored(
     and not by queries x corpus. Every trial is a key of the same top-k job.
     """
     samples = broadcast_if_small(scaling_samples(chunks, sizes, seed))
-    labels = sampled(qrels, samples, "target_id").select(*TRIAL, "query_id", "target_id")
+    labels = trial_labels(qrels, samples)
     asked = labels.select(*TRIAL, "query_id").distinct().join(queries, ["dataset", "query_id"])
     offered = sampled(chunks, samples, "chunk_id")
     found = best_targets(
@@ -220,7 +225,7 @@ def scale_run(
 ) -> DataFrame:
     """Scaling of a supplied run. Per query and parent only the ten best chunks can matter."""
     samples = broadcast_if_small(scaling_samples(corpus, sizes, seed))
-    labels = sampled(qrels, samples, "target_id").select(*TRIAL, "query_id", "target_id")
+    labels = trial_labels(qrels, samples)
     parent = scores.withColumn("parent", ids.parent_id(F.col("target_id")))
     best = rank_run(parent, ("dataset", "parent"), 10, ignore_identical_ids).drop("rank")
     asked = labels.select(*TRIAL, "query_id").distinct()

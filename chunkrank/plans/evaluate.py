@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,16 @@ from chunkrank.operators.views import label_positions
 from chunkrank.schema import RetrievalSet, require_columns
 from chunkrank.session import materialised
 
+# method: (token vectors, chunks of a document encoded together)
+VECTOR_METHODS = {
+    "dense": (False, False),
+    "sentence_transformer": (False, False),
+    "contextual": (False, True),
+    "maxsim": (True, False),
+    "colbert": (True, False),
+    "late_interaction": (True, True),
+    "li": (True, True),
+}
 PARENT_DEPTH = 10  # only nDCG@10 is reported for parents
 
 
@@ -35,6 +45,7 @@ class Scored:
     chunks: DataFrame
     qrels: DataFrame
     scorer: object
+    runtime: float | None = None  # seconds spent encoding the chunks or indexing their terms
 
 
 def dense(data: RetrievalSet, mean_over_docs: bool = False) -> Scored:
@@ -66,10 +77,12 @@ def lexical(
     """``text`` (or ``tokens``) columns, compared by BM25."""
     corpus = bm25.tokenised(data.corpus, sentinels)
     queries = bm25.tokenised(data.queries, sentinels)
+    start = time.perf_counter()
     counts = bm25.term_counts(corpus)
-    return Scored(
-        bm25.weighted_queries(queries, counts, epsilon), corpus, data.qrels, Bm25(k1, b)
-    )
+    runtime = time.perf_counter() - start
+    # Small next to the index it is joined from, and read by every later step.
+    weighted = materialised(bm25.weighted_queries(queries, counts, epsilon))
+    return Scored(weighted, corpus, data.qrels, Bm25(k1, b), runtime)
 
 
 def encoded(
@@ -105,30 +118,36 @@ def encoded(
 
 def scored_by(
     data: RetrievalSet,
-    method: str,
+    method: str | Callable[[RetrievalSet], Scored],
     factory: encode.EncoderFactory | None = None,
     contextual_factory=None,
     add_prefix: bool = False,
+    batch_size: int = 128,
     mean_over_docs: bool = False,
     **options,
 ) -> Scored:
-    """Pick a scorer by name. Vectors already present are used as they are."""
-    ready = "token_vectors" in data.corpus.columns or "vector" in data.corpus.columns
+    """Pick a scorer by name, or call one of your own.
+
+    Vectors already present are used as they are; else the plug-in's are computed once and
+    written, as encoding costs far more than reading.
+    """
+    if callable(method):
+        return method(data, **options)
     if method == "bm25":
         return lexical(data, **options)
     if method == "merged_contextual":
         raise NotImplementedError("merged contextual vectors have no document encoder")
-    if method in ("dense", "sentence_transformer", "contextual"):
-        if not ready:
-            context = contextual_factory if method == "contextual" else None
-            data = encoded(data, factory, context, False, add_prefix)
-        return dense(data, mean_over_docs)
-    if method in ("maxsim", "colbert", "late_interaction", "li"):
-        if not ready:
-            context = contextual_factory if method in ("late_interaction", "li") else None
-            data = encoded(data, factory, context, True, add_prefix)
-        return maxsim(data, **options)
-    raise ValueError(f"unknown method: {method}")
+    if method not in VECTOR_METHODS:
+        raise ValueError(f"unknown method: {method}")
+    late, by_document = VECTOR_METHODS[method]
+    seconds = None
+    if ("token_vectors" if late else "vector") not in data.corpus.columns:
+        context = contextual_factory if by_document else None
+        data = encoded(data, factory, context, late, add_prefix, batch_size)
+        corpus, seconds = timed(data.corpus)
+        data = data.but(corpus=corpus, queries=materialised(data.queries))
+    scored = maxsim(data, **options) if late else dense(data, mean_over_docs)
+    return replace(scored, runtime=seconds)
 
 
 def with_positional_ids(data: RetrievalSet) -> RetrievalSet:
@@ -215,7 +234,7 @@ def require_sound(data: RetrievalSet) -> None:
 
 def evaluate(
     data: RetrievalSet,
-    method: str = "dense",
+    method: str | Callable[[RetrievalSet], Scored] = "dense",
     compute_positional_metrics: bool = False,
     max_sim_over_docs: bool = True,
     run_scaling_laws: bool = False,
@@ -224,12 +243,17 @@ def evaluate(
     ignore_identical_ids: bool = True,
     compat_positional_ids: bool = False,
     check: bool = True,
+    runtime: bool = False,
     form: str = "auto",
     sizes: Sequence[int] = SAMPLE_SIZES,
     seed: int = 42,
     **method_options,
 ) -> DataFrame:
-    """Rows (dataset, metric, value). ``mean_over_docs`` applies to dense vectors only."""
+    """Rows (dataset, metric, value). ``mean_over_docs`` applies to dense vectors only.
+
+    ``runtime`` adds the seconds of encoding or indexing the chunks; data sets evaluated
+    together share that stage and report the same number.
+    """
     if check:
         require_sound(data)
     if compat_positional_ids:
@@ -249,6 +273,11 @@ def evaluate(
                 ignore_identical_ids,
             )
         )
+    if runtime and scored.runtime is not None:
+        name, seconds = F.lit("runtime").alias("metric"), F.lit(scored.runtime).alias("value")
+        metrics = metrics.unionByName(
+            scored.qrels.select("dataset").distinct().select("dataset", name, seconds)
+        )
     return metrics
 
 

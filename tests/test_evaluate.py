@@ -249,3 +249,11 @@ def test_suite_equals_its_parts(spark, sf):
 def test_timed_stage(spark, texts):
     kept, seconds = plan.timed(hash_encode(texts[0].corpus))
     assert seconds > 0 and kept.count() == 40
+
+
+def test_own_scorer(texts):
+    """A callable takes the place of a named method."""
+    data = texts[0]
+    own = values(evaluate(data, lambda d: plan.lexical(d, k1=1.2), runtime=True))
+    assert own.pop(("d", "runtime")) > 0
+    assert own == values(evaluate(data, "bm25", k1=1.2))

@@ -176,3 +176,35 @@ def test_sink_keeps_suites_apart(spark, tmp_path):
         ("b", 0.25, "triples"),
     ]
     assert spark.read.json(f"{target}/run").first().use_prefix is True
+
+
+def test_run_suites(spark, tmp_path, chunked):
+    from chunkrank.plans.suites import run_suites
+
+    base, name = chunked.rsplit("/", 1)
+    task = tmp_path / "nanobeir/NanoNQ"
+    write(spark, task / "corpus/train", [("d1", "x y"), ("d2", "y z")], "_id string, text string")
+    write(spark, task / "queries/train", [("q1", "z")], "_id string, text string")
+    write(spark, task / "qrels/train", [("q1", "d2")], "`query-id` string, `corpus-id` string")
+    length = tmp_path / "LongEmbed/needle"
+    write(spark, length / "corpus", [("d1", "x", 256), ("d2", "y", 512)], "doc_id string, text string, context_length int")
+    write(spark, length / "queries", [("7_256", "x"), ("8_512", "y")], "qid string, text string")
+    write(spark, length / "qrels", [("7_256", "d1"), ("8_512", "d2")], "qid string, doc_id string")
+    target, skipped = run_suites(
+        spark,
+        base,
+        str(tmp_path / "out"),
+        "none",
+        "words",
+        "bm25",
+        names=["mine", "missing"],
+        known={"mine": {"path": name}},
+        triple_tasks=["NanoNQ"],
+        length_tasks=["needle"],
+    )
+    assert skipped == ["missing"]
+    found = {(r.suite, r.dataset, r.metric): r.value for r in sinks.read_metrics(spark, target).collect()}
+    assert found["triples", "NanoNQ", "ndcg_at_1"] == 1.0
+    assert found["lengths", "needle_avg", "recall_at_1"] == 1.0
+    assert found["main", "mine", "runtime"] > 0
+    assert {s for s, _, _ in found} == {"main", "triples", "lengths"}
