@@ -371,33 +371,14 @@ def pool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(encode.pool_tokens(w.chunk_token_rows(spark, sf_dir)), "chunk_id")
 
 
-def text_sizes():
-    """A plug-in: characters and words of every text."""
-    return lambda texts: [[len(t), t.count(" ") + 1] for t in texts]
-
-
-def document_sizes():
-    """A contextual plug-in: the chunk's place, and the words of its whole document."""
-    import re
-
-    def model(documents):
-        out = []
-        for texts in documents:
-            total = sum(len([t for t in re.split(r"[\W_]+", text.lower()) if t]) for text in texts)
-            out.append([[place + 1, total] for place in range(len(texts))])
-        return out
-
-    return model
-
-
 def plugin_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode.encode(w.conversations(spark, sf_dir).corpus, text_sizes, prompt=DOCUMENT_PROMPT)
+    rows = encode.encode(w.conversations(spark, sf_dir).corpus, w.text_sizes, prompt=DOCUMENT_PROMPT)
     size = F.col("vector").cast("array<long>")
     return rows.select("chunk_id", size[0].alias("chars"), size[1].alias("words"))
 
 
 def plugin_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode.encode_in_context(w.conversations(spark, sf_dir).corpus, document_sizes)
+    rows = encode.encode_in_context(w.conversations(spark, sf_dir).corpus, w.document_sizes)
     size = F.col("vector").cast("array<long>")
     return rows.select("chunk_id", size[0].alias("place"), size[1].alias("document_tokens"))
 
@@ -407,8 +388,9 @@ def plugin_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run description beside the metrics it belongs to."""
-    about = sinks.run_metadata(spark, "builtin/dot", "dot", "dense", date="2000-01-01 00:00:00")
-    return dense_ndcg_at_10(spark, sf_dir).crossJoin(about)
+    about = sinks.run_metadata(spark, "builtin/dot", "dot", "dense", runtime=0.0, date="2000-01-01 00:00:00")
+    found = dense_ndcg_at_10(spark, sf_dir).withColumn("model_name", F.lit("dot"))
+    return found.join(F.broadcast(about), "model_name")
 
 
 def metrics_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ def local_session(cpus: int | str = "*", name: str = "chunkrank") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        # Vector means and hit lists keep one small buffer per key; sorting them at 128 keys
+        # is slower than hashing.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,3 +287,23 @@ def sweep(spark: SparkSession, sf_dir: str) -> RetrievalSet:
     )
     queries = table(spark, sf_dir, "benchmark").select("item_id", "text", size).select(name, query_id, "text")
     return answerable(RetrievalSet(corpus, queries, qrels))
+
+
+# --- plug-ins whose vectors can be checked by counting --------------------------------------
+
+
+def text_sizes():
+    """A plug-in: characters and words of every text."""
+    return lambda texts: [[len(t), t.count(" ") + 1] for t in texts]
+
+
+def document_sizes():
+    """A contextual plug-in: the chunk's place, and the words of its whole document."""
+    def model(documents):
+        out = []
+        for texts in documents:
+            total = sum(len([t for t in re.split(r"[\W_]+", text.lower()) if t]) for text in texts)
+            out.append([[place + 1, total] for place in range(len(texts))])
+        return out
+
+    return model

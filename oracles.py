@@ -616,6 +616,18 @@ shifted AS (SELECT dataset, (query_pos)::VARCHAR AS query_id, text FROM asked)""
         SWEEP, bm25(), ranked(), per_query(), macro(), PARENT_MAX, WITH_PARENTS
     )
 
+    # sinks
+    sql["metrics_sink_roundtrip"] = sql["dense_metrics"]
+    sql["run_metadata"] = query(
+        *dense_run,
+        per_query(),
+        macro(),
+        """SELECT dataset, metric, value, 'builtin/dot' AS model_path, 'dot' AS model_name,
+                  'dense' AS model_type, '2000-01-01 00:00:00' AS date, false AS extended_context,
+                  false AS use_prefix, false AS colbert_model, 0.0::DOUBLE AS runtime
+           FROM means WHERE metric = 'ndcg_at_10'""",
+    )
+
     # encoders
     rows = "SELECT chunk_id, dim, round(value, 6) AS value FROM encoded"
     sql["hash_encode"] = query(CONVERSATIONS, encoded(), rows)

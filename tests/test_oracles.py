@@ -12,8 +12,7 @@ def con(sf):
 
 
 def test_contract():
-    assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"run_metadata", "metrics_sink_roundtrip"}
+    assert set(contract.oracle_sql()) == set(contract.queries())
 
 
 def test_entry(spark):
