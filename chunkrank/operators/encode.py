@@ -76,9 +76,13 @@ def encode_in_context(
         [corpus.schema["dataset"], corpus.schema["chunk_id"], T.StructField(name, kind)]
     )
 
+    loaded = []  # filled on the executor: one model per task, not per document
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not loaded:
+            loaded.append(factory())
         pdf = pdf.sort_values("internal_id", kind="stable")
-        vectors = factory()([pdf["_text"].tolist()])[0]
+        vectors = loaded[0]([pdf["_text"].tolist()])[0]
         return pd.DataFrame(
             {
                 "dataset": pdf["dataset"],

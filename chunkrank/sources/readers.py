@@ -19,12 +19,17 @@ from chunkrank.schema import RetrievalSet, id_column, require_columns
 
 
 def open_table(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: T.StructType | None = None,
+    in_order: bool = False,
 ) -> DataFrame:
+    """``in_order`` keeps the scan as it is, for tables whose rows are numbered."""
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return spread(reader.load(path))
+    return reader.load(path) if in_order else spread(reader.load(path))
 
 
 SMALL_TABLE_SPLITS = 32
@@ -43,7 +48,8 @@ def spread(scan: DataFrame) -> DataFrame:
 def with_row_position(df: DataFrame, name: str) -> DataFrame:
     """Number the rows 0, 1, … in scan order, without sorting or moving them.
 
-    Each split numbers its own rows; only one count per split is brought together.
+    Each split numbers its own rows; only one count per split is brought together. Within a
+    file that is the file's order; a source of several files should bring its own column.
     """
     if name in df.columns:
         return df
@@ -225,7 +231,7 @@ def read_chunked(
     schemas = schemas or {}
     return chunked_tables(
         open_table(spark, f"{path}/{doc_key}/{split}", fmt, schemas.get("documents")),
-        open_table(spark, f"{path}/{query_key}/{split}", fmt, schemas.get("queries")),
+        open_table(spark, f"{path}/{query_key}/{split}", fmt, schemas.get("queries"), in_order=True),
         dataset or path.rstrip("/").rsplit("/", 1)[-1],
         query_prompt,
         doc_prompt,
@@ -247,8 +253,8 @@ def read_triples(
     schemas = schemas or {}
     return triple_tables(
         open_table(spark, f"{path}/{doc_key}/{split}", fmt, schemas.get("corpus")),
-        open_table(spark, f"{path}/{query_key}/{split}", fmt, schemas.get("queries")),
-        open_table(spark, f"{path}/qrels/{split}", fmt, schemas.get("qrels")),
+        open_table(spark, f"{path}/{query_key}/{split}", fmt, schemas.get("queries"), in_order=True),
+        open_table(spark, f"{path}/qrels/{split}", fmt, schemas.get("qrels"), in_order=True),
         dataset or path.rstrip("/").rsplit("/", 1)[-1],
         query_prompt,
         doc_prompt,
@@ -269,8 +275,8 @@ def read_length_tasks(
     schemas = schemas or {}
     return length_tables(
         open_table(spark, f"{path}/{task}/{doc_key}", fmt, schemas.get("corpus")),
-        open_table(spark, f"{path}/{task}/{query_key}", fmt, schemas.get("queries")),
-        open_table(spark, f"{path}/{task}/qrels", fmt, schemas.get("qrels")),
+        open_table(spark, f"{path}/{task}/{query_key}", fmt, schemas.get("queries"), in_order=True),
+        open_table(spark, f"{path}/{task}/qrels", fmt, schemas.get("qrels"), in_order=True),
         task,
         context_lengths,
         query_prompt,

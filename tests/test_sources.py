@@ -62,6 +62,14 @@ def test_row_positions_follow_the_scan(spark):
     assert numbered.filter("place <> value").count() == 0
 
 
+def test_queries_of_a_file_are_numbered_in_order(spark, tmp_path, chunked):
+    many = [(f"text {i}", "a_1") for i in range(500)]
+    write(spark, tmp_path / "set/long/train", many, "query string, chunk_id string")
+    data = readers.read_chunked(spark, chunked, query_key="long")
+    got = {r.query_id: r.text for r in data.queries.collect()}
+    assert got == {str(i): text for i, (text, _) in enumerate(many)}
+
+
 @pytest.mark.parametrize("bad", ["a_b_1", "a", "a_x"])
 def test_bad_ids_fail(spark, bad):
     df = spark.createDataFrame([(bad,)], "chunk_id string")

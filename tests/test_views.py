@@ -178,6 +178,26 @@ def test_token_level_context(spark, corpus):
     ]
 
 
+def test_contextual_model_is_loaded_once_per_task(spark):
+    chunks = spark.range(40).select(
+        F.lit("d").alias("dataset"),
+        F.col("id").cast("string").alias("doc_id"),
+        F.lit(0).alias("internal_id"),
+        F.concat(F.col("id").cast("string"), F.lit("_0")).alias("chunk_id"),
+        F.lit("text").alias("text"),
+    )
+
+    def factory():
+        import uuid
+
+        mark = float(uuid.uuid4().int % 2**20)
+        return lambda docs: [[[mark] for _ in d] for d in docs]
+
+    got = encode.encode_in_context(chunks, factory)
+    marks = got.select(F.spark_partition_id().alias("p"), F.col("vector")[0].alias("m")).distinct()
+    assert marks.groupBy("p").count().filter("count > 1").count() == 0
+
+
 def test_hash_encoder(spark, corpus):
     got = encode.hash_encode(corpus, dim=16)
     for r in got.collect():
