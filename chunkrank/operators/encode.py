@@ -22,9 +22,12 @@ from chunkrank.functions.text import prompted, tokens, truncated
 from chunkrank.functions.vectors import l2_normalised, mean_vector
 from chunkrank.operators.views import SEGMENT, segment_of
 from chunkrank.schema import one_per_dataset
+from chunkrank.session import materialised
 
 VECTOR = T.ArrayType(T.FloatType())
 TOKEN_VECTORS = T.ArrayType(VECTOR)
+HOT_CHUNKS = 100_000
+SALTS = 64
 EncoderFactory = Callable[[], Callable[[list[str]], Sequence]]
 
 
@@ -162,15 +165,29 @@ class HashedTokens:
 def blend_with_document(vectors: DataFrame, alpha: float = 0.5) -> DataFrame:
     """Built-in contextual encoding: chunk vector + alpha x mean vector of its document.
 
-    The mean is one row per document and combines before the shuffle; the join back is on the
-    document, split by adaptive execution where one document is very large.
+    Means combine before the shuffle. For the join back, documents of more than ``HOT_CHUNKS``
+    chunks are spread over ``SALTS`` keys; only their ids are broadcast, and there is at most
+    one such id per ``HOT_CHUNKS`` chunks of the corpus.
     """
-    means = vectors.groupBy("dataset", "doc_id").agg(mean_vector(F.col("vector")).alias("_mean"))
+    document = ["dataset", "doc_id"]
+    means = materialised(
+        vectors.groupBy(*document).agg(
+            mean_vector(F.col("vector")).alias("_mean"), F.count("*").alias("_chunks")
+        )
+    )
+    hot = F.col("_chunks") > HOT_CHUNKS
+    hot_ids = F.broadcast(means.filter(hot).select(*document, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")
+    salted = vectors.join(hot_ids, document, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+    )
+    last = F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0))
+    copies = means.select(*document, "_mean", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
     mixed = F.zip_with("vector", "_mean", lambda v, m: v.cast("double") + F.lit(float(alpha)) * m)
     return (
-        vectors.join(means, ["dataset", "doc_id"])
+        salted.join(copies, [*document, "_salt"])
         .withColumn("vector", l2_normalised(mixed))
-        .drop("_mean")
+        .select(*vectors.columns)
     )
 
 

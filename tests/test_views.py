@@ -209,6 +209,18 @@ def test_hash_encoder(spark, corpus):
     assert rows(cut, "chunk_id", "vector") == rows(whole, "chunk_id", "vector")
 
 
+def test_hot_documents_are_salted(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows_ = [("d", f"hot_{i}", "hot", rng.normal(size=3).tolist()) for i in range(50)]
+    rows_ += [("d", f"{i}_0", str(i), rng.normal(size=3).tolist()) for i in range(20)]
+    vectors = spark.createDataFrame(rows_, "dataset string, chunk_id string, doc_id string, vector array<double>")
+    plain = encode.blend_with_document(vectors)
+    monkeypatch.setattr(encode, "HOT_CHUNKS", 10)
+    monkeypatch.setattr(encode, "SALTS", 4)
+    assert rows(encode.blend_with_document(vectors)) == rows(plain)
+    assert plain.count() == 70
+
+
 def test_document_means(spark):
     rows_ = [("d", "a_0", "a", [1.0, 3.0]), ("d", "a_1", "a", [3.0, 5.0]), ("d", "b_0", "b", [7.0, 0.0])]
     vectors = spark.createDataFrame(rows_, "dataset string, chunk_id string, doc_id string, vector array<double>")
