@@ -464,9 +464,20 @@ REGISTERED: tuple[Query, ...] = (
 )
 
 
+# --- training-data operators -----------------------------------------------------------------
+
+try:
+    from chunkrank.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as e:
+    # The subpackage can be left out; anything else that is missing is an error.
+    if not (e.name or "").startswith(("chunkrank.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in REGISTERED}
+    return {q.__name__: q for q in REGISTERED} | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm.oracle_sql() if llm else {})
