@@ -61,9 +61,9 @@ CLASSES = (
 
 ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(rb"[A-Za-z]*([/_=+-]+[A-Za-z]*)*[0-9]{0,4}"),  # words joined by signs, with a counter
-    re.compile(rb"([/_=+-]*([A-Z]?[a-z]+|[0-9]+))+[/_=+-]*(?<=[a-z/_=+-])"),  # path or camel case
-    re.compile(rb"(?i:.*(example|placeholder|changeme|xxxx|0000|1234567|abcdef).*)"),
+    re.compile(rb"[A-Za-z]*+(?:[/_=+-][A-Za-z]*+)*+[0-9]{0,4}"),  # words joined by signs, with a counter
+    re.compile(rb"(?:[/_=+-]|[A-Z]?[a-z]{4,}+|[0-9]{1,6}+)++"),  # paths, camel case with numbers
+    re.compile(rb"(?is:.*(example|placeholder|changeme|xxxx|0000|1234567|abcdef).*)"),
     re.compile(rb"[0-9]{4}-?[0-9]{2}-?[0-9]{2}.*"),  # dates and time stamps
 )
 
