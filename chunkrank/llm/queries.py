@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkrank.llm import exact, quality, secrets
+from chunkrank.llm import exact, packing, quality, secrets, subwords
 from chunkrank.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.digests(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.marked(read(spark, sf_dir, "documents")).drop("place")
 
@@ -27,7 +37,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summaries(read(spark, sf_dir, "documents"))
 
 
-REGISTERED: tuple[Query, ...] = (op5_exact_dedup, op7_quality_rules, op8_secret_scans)
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op5_exact_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing)
 
 
 def queries() -> dict[str, Query]:
