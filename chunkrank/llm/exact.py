@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkrank.llm.tables import materialised, row_column
+from chunkrank.llm.tables import materialised, replayable, row_column
 
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 NULL_ID = (1 << 63) - 1
@@ -105,7 +105,7 @@ def merged_runs(found: DataFrame, fan_in: int = 8, lanes: int | None = None) ->
 
 def marked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fan_in: int = 8) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, place."""
-    found = digests(documents, doc_id, text)
+    found = digests(replayable(documents), doc_id, text)
     merged = materialised(merged_runs(found, fan_in)).select("digest", "first", F.col("rows").alias("group_size"))
     return found.join(merged, "digest").select(
         "doc_id",
@@ -118,6 +118,7 @@ def marked(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fan
 
 def kept_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """The rows that stay, with their own columns."""
+    documents = replayable(documents)
     rows = documents.select(row_column(documents).alias("row"), F.monotonically_increasing_id().alias("place"))
     stay = materialised(merged_runs(digests(documents, text=text))).select(F.col("first.place").alias("stays"))
     return rows.join(stay, F.col("place") == F.col("stays"), "left_semi").select("row.*")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,15 +14,25 @@ from pyspark.sql import types as T
 
 from chunkrank.session import materialised
 
-__all__ = ["map_batches", "materialised", "read", "row_column", "text_or_empty"]
+__all__ = ["map_batches", "materialised", "read", "replayable", "row_column"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(name: str = "text") -> F.Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def replayable(df: DataFrame) -> DataFrame:
+    """A table whose rows have the same numbers in every pass, for monotonically_increasing_id.
+
+    Files read without a shuffle are such a table as they are; anything else is written once.
+    """
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain()
+    plan = [x.strip(" +-:*()0123456789") for x in shown.getvalue().splitlines()[1:]]
+    if all(re.match(r"$|ColumnarToRow|Project|Filter|FileScan|InputAdapter", x) for x in plan):
+        return df
+    return materialised(df)
 
 
 def row_column(df: DataFrame) -> F.Column:
