@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkrank.llm import archives, exact, packing, quality, secrets, subwords
+from chunkrank.llm import archives, exact, main_text, packing, quality, secrets, subwords
 from chunkrank.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.digests(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(read(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archives.archived(read(spark, sf_dir, "pages"))
     return index.select(
@@ -48,7 +52,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op4_warc, op5_exact_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing)
+REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op4_warc, op5_exact_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing)
 
 
 def queries() -> dict[str, Query]:
