@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkrank.llm import archives, exact, main_text, packing, quality, secrets, subwords
+from chunkrank.llm import archives, exact, main_text, near_dups, packing, quality, secrets, substrings, subwords
 from chunkrank.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(read(spark, sf_dir, "pages"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(read(spark, sf_dir, "documents")).drop("place")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = archives.archived(read(spark, sf_dir, "pages"))
     return index.select(
@@ -38,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.marked(read(spark, sf_dir, "documents")).drop("place")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cleaned(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept"
@@ -52,7 +60,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op4_warc, op5_exact_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing)
+REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op3_minhash_near_dedup, op4_warc, op5_exact_dedup, op6_substring_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing)
 
 
 def queries() -> dict[str, Query]:

@@ -49,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def keyed(values: np.ndarray, key: np.ndarray | int) -> np.ndarray:
     """Hash pairs, e.g. of a hash and the number of its text."""
-    return mix(values ^ mix(np.asarray(key, dtype=np.uint64) + np.uint64(_STEP)))
+    return mix(values ^ mix(np.atleast_1d(np.asarray(key, dtype=np.uint64)) + np.uint64(_STEP)))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -171,6 +171,16 @@ def slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Texts]:
         row = end
 
 
+def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive entries, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:]) if len(values) > size else values[:0]
+        size *= 2
+    rest = width - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest and len(values) > rest else values[: len(values) - rest]
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     order = np.argsort(keys, kind="stable")
