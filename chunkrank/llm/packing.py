@@ -46,6 +46,7 @@ RATE = 12.0
 #: Shares of the rounded solution (fullest sequences first) that best-fit is tried to complete.
 SHARES = (1.0, 0.9, 0.7, 0.4, 0.0)
 
+SIGNS = ".,;:!?%$&*#"
 WHITE = re.compile("[\t\n\x0b\x0c\r]")
 #: Words that a worker remembers before it starts anew (some 250 bytes each).
 REMEMBERED = 700_000
@@ -57,7 +58,12 @@ GROUP_CHARS = 1_000_000
 
 
 class Encoder:
-    """Ids of texts, word by word: no token of the vocabulary crosses ASCII white space."""
+    """Ids of texts, word by word: no token of the vocabulary crosses ASCII white space.
+
+    Nor does one cross from a letter to a sign (apostrophes, which open contractions, aside). So new
+    words of letters are encoded without the signs after them, ASCII ones in lower case, and many at a
+    time: in the ids of a list of words, each word ends with the only token that has an end mark.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -66,16 +72,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _one_by_one(self, names: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(names, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._one_by_one(words)
+        raw = ids.tobytes()
+        bounds = [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def learn(self, names: list[str]) -> None:
-        for name, found in zip(names, self.library.encode_batch_fast(names, add_special_tokens=False)):
-            self.known[name] = np.array(found.ids, dtype="<u4").tobytes()
+        plain, parted, stems, tails = [], [], set(), set()
+        for name in names:
+            stem = name.rstrip(SIGNS)
+            if stem.isalpha():
+                tail = name[len(stem) :]
+                if stem.isascii():
+                    stem = stem.lower()
+                parted.append((name, stem, tail))
+                stems.add(stem)
+                tails.add(tail)
+            else:
+                plain.append(name)
+        known = self.stems
+        if new := [stem for stem in stems if stem not in known]:
+            known.update(zip(new, self._together(new)))
+        if new := [tail for tail in tails if tail not in known]:
+            known.update(zip(new, self._one_by_one(new)))
+        self.known.update([(name, known[stem] + known[tail]) for name, stem, tail in parted])
+        if plain:
+            self.known.update(zip(plain, self._one_by_one(plain)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
+        if len(self.stems) > REMEMBERED // 2:
+            self.stems = {"": b""}
         split = [WHITE.sub(" ", text).split(" ") for text in texts]
         missing = list(set().union(*split).difference(self.known))
         self.learn(missing)
@@ -83,6 +127,8 @@ class Encoder:
         for name in missing:
             if len(name) > LONGEST_REMEMBERED:
                 del self.known[name]
+                self.stems.clear()
+                self.stems[""] = b""
         return out
 
 
