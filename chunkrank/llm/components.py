@@ -48,8 +48,10 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     settled; then all pairs that share a bucket and are still in different components are verified,
     so that components are those of the full graph without listing the pairs of large groups.
     """
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialised(members.join(counted, "key"))
+    # One shuffle of the narrow member rows serves both the count and the join.
+    dealt = members.select("key", "node").repartition("key")
+    counted = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialised(dealt.join(counted, "key"))
     degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = shared.join(degrees, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("behind")).alias("order"))
     hubs = ranked.groupBy("key").agg((-F.max("order")["behind"]).alias("hub"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkrank.llm import archives, exact, main_text, near_dups, packing, quality, secrets, substrings, subwords
+from chunkrank.llm import archives, exact, fuzzy_lines, main_text, near_dups, packing, quality, secrets, substrings, subwords
 from chunkrank.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op3_minhash_near_dedup, op4_warc, op5_exact_dedup, op6_substring_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_lines.cleaned(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op3_minhash_near_dedup, op4_warc, op5_exact_dedup, op6_substring_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing, op10_line_dedup)
 
 
 def queries() -> dict[str, Query]:
