@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkrank.llm.tables import map_batches, row_column
+from chunkrank.llm.tables import map_batches, materialised, row_column
 from chunkrank.llm.words import Texts, keyed, repeated, slices, windows
 
 WINDOW = 8
@@ -175,7 +175,7 @@ def thresholds(counted: DataFrame) -> DataFrame:
 
     Cells hold a few rules each, so the table is as long as there are pairs of language and source.
     """
-    sketch = sketches(counted)
+    sketch = materialised(sketches(counted))
     cells = sketch.select("lang", "source").distinct()
     own = _fences(sketch, ("lang", "source")).select(
         F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), F.col("fences").alias("own")
@@ -195,12 +195,14 @@ def judged(documents: DataFrame, text: str = "text", lang: str = "lang", source:
 
     Cells that no document without base failure reaches have no thresholds and reject nothing more.
     The texts are counted twice, once for the sketches and once for the verdict, which is cheaper
-    than writing them.
+    than writing them. The table of fences is written first, so that Spark knows its size and only
+    moves documents when it is too large to broadcast.
     """
     counted = measured(documents, text).withColumns(
         {"lang": F.col(f"row.`{lang}`"), "source": F.col(f"row.`{source}`")}
     )
-    fences = thresholds(counted.select("lang", "source", "base_failed", *COUNTS)).select(
+    found = materialised(thresholds(counted.select("lang", "source", "base_failed", *COUNTS)))
+    fences = found.select(
         F.col("lang").alias("cell_lang"), F.col("source").alias("cell_source"), "fences"
     )
     cell = F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("source").eqNullSafe(F.col("cell_source"))

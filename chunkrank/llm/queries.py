@@ -7,20 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chunkrank.llm import archives, exact, fuzzy_lines, main_text, near_dups, packing, quality, secrets, substrings, subwords
-from chunkrank.llm.tables import read
+from chunkrank.llm.tables import read, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subwords.digests(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return subwords.digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +52,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +64,7 @@ REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op3_minhash_n
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in REGISTERED}
+    return {q.__name__: q for q in REGISTERED} | {"pipeline": corpus_pipeline.run}
 
 
 OP5_SQL = r"""

@@ -14,13 +14,20 @@ from pyspark.sql import types as T
 
 from chunkrank.session import materialised
 
-__all__ = ["map_batches", "materialised", "read", "replayable", "row_column"]
+__all__ = ["map_batches", "materialised", "read", "replayable", "row_column", "vocabulary"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def replayable(df: DataFrame) -> DataFrame:
     """A table whose rows have the same numbers in every pass, for monotonically_increasing_id.
 
