@@ -40,18 +40,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    codes: DataFrame,
+    may_hold: Callable[[F.Column, F.Column], F.Column],
+) -> DataFrame:
     """(node, component) of all nodes that ``members`` (key, node) brings together and verify accepts.
 
     ``verify`` gets distinct pairs (a, b) and returns those that hold. First every node meets the
     hub of each of its buckets, the member that shares most buckets with others. What hubs connect is
-    settled; then all pairs that share a bucket and are still in different components are verified,
-    so that components are those of the full graph without listing the pairs of large groups.
+    settled; then the pairs that share a bucket and are still in different components are verified,
+    so that components are those of the full graph without listing the pairs of large groups. These
+    pairs must pass ``may_hold`` on their ``codes`` (node, code) while they are joined: what is
+    clearly unlike leaves the join as no row at all.
     """
     # One shuffle of the narrow member rows serves both the count and the join.
     dealt = members.select("key", "node").repartition("key")
     counted = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialised(dealt.join(counted, "key"))
+    shared = materialised(dealt.join(counted.hint("merge"), "key"))
     degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = shared.join(degrees, "node").select("key", "node", F.struct("degree", (-F.col("node")).alias("behind")).alias("order"))
     hubs = ranked.groupBy("key").agg((-F.max("order")["behind"]).alias("hub"))
@@ -70,12 +77,14 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     split = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high")
-    open_ = materialised(placed.join(split.select("key"), "key"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    open_ = materialised(placed.join(split.select("key"), "key").join(codes, "node"))
+    other = open_.select(
+        "key", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("code").alias("code_b")
+    )
     crossing = (
         open_.withColumnRenamed("node", "a")
         .join(other, "key")
-        .filter("component < component_b")
+        .filter((F.col("component") < F.col("component_b")) & may_hold(F.col("code"), F.col("code_b")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
