@@ -189,6 +189,11 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.duplicate_ids(_turns_as_chunks(spark, sf_dir)).select("chunk_id", "copies")
 
 
+def duplicate_ids_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk ids that repeat: the last chunk of an id is the one that is scored."""
+    return evaluate(w.conversation_turns_by_id(spark, sf_dir), "bm25", check=False)
+
+
 def keep_last_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.keep_last(_turns_as_chunks(spark, sf_dir), "turn").select("chunk_id", "text")
 
@@ -357,11 +362,6 @@ def hash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(encode.hash_encode(w.conversations(spark, sf_dir).corpus), "chunk_id")
 
 
-def hash_encode_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = encode.hash_encode(w.conversations(spark, sf_dir).corpus, max_tokens=8)
-    return _elements(rows, "chunk_id")
-
-
 def contextual_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = encode.hash_encode(w.conversations(spark, sf_dir).corpus)
     return _elements(encode.blend_with_document(chunks), "chunk_id")
@@ -425,6 +425,7 @@ REGISTERED: tuple[Query, ...] = (
     evaluated_queries,
     run_shape_check,
     duplicate_ids,
+    duplicate_ids_metrics,
     keep_last_duplicate,
     registry_skip,
     vector_dims,
@@ -454,7 +455,6 @@ REGISTERED: tuple[Query, ...] = (
     suite_metrics,
     chunk_size_sweep,
     hash_encode,
-    hash_encode_truncated,
     contextual_encode,
     pool_tokens,
     plugin_encode,

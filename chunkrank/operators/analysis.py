@@ -15,13 +15,14 @@ from chunkrank.operators.metrics import (
     rank_run,
     to_long,
 )
-from chunkrank.operators.topk import CHUNK, PARENT, TASKS_PER_CORE, best_targets, rank_targets
+from chunkrank.operators.topk import CHUNK, PARENT, best_targets, rank_targets
 from chunkrank.operators.views import label_positions
 from chunkrank.session import materialised
 
 # Numbers of sampled parents, and the trials made for each.
 SAMPLE_SIZES = (1, 2, 5, 10, 20, 50, 100, 150, 200)
 
+DRAW_TASKS_PER_CORE = 4
 DIGESTS_PER_TASK = 200_000
 
 
@@ -115,7 +116,7 @@ def scaling_samples(
     digests = sum(trials_for(n) for n in sizes)
     parents = corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent")).distinct()
     # A row is small but stands for all its trials: more tasks than its bytes suggest.
-    most = TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
+    most = DRAW_TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
     parents = parents.repartition(min(most, 1 + parents.count() * digests // DIGESTS_PER_TASK))
     totals = parents.groupBy("dataset").agg(F.count("*").alias("parents"))
     plan = F.array(*[F.struct(F.lit(int(n)).alias("n"), F.lit(trials_for(n)).alias("trials")) for n in sizes])

@@ -33,10 +33,11 @@ def tokenised(rows: DataFrame, sentinels: Sequence[str] = ()) -> DataFrame:
 def term_counts(corpus: DataFrame) -> DataFrame:
     """The index: chunks holding each term, from one pass over the texts, written once.
 
-    The empty term stands for the chunk itself: its row holds the number of chunks and, in
-    ``total``, their summed length.
+    The null term stands for the chunk itself: its row holds the number of chunks and, in
+    ``total``, their summed length. A supplied empty token is a term like any other.
     """
-    terms = F.array_append(F.array_distinct("tokens"), F.lit(""))
+    held = F.filter(F.array_distinct("tokens"), lambda term: term.isNotNull())
+    terms = F.array_append(held, F.lit(None).cast("string"))
     counts = (
         corpus.select("dataset", F.size("tokens").alias("length"), F.explode(terms).alias("term"))
         .groupBy("dataset", "term")
@@ -46,7 +47,7 @@ def term_counts(corpus: DataFrame) -> DataFrame:
 
 
 def corpus_size(counts: DataFrame) -> DataFrame:
-    return counts.filter("term = ''").select(
+    return counts.filter("term is null").select(
         "dataset", F.col("df").alias("chunks"), (F.col("total") / F.col("df")).alias("avgdl")
     )
 
@@ -54,7 +55,7 @@ def corpus_size(counts: DataFrame) -> DataFrame:
 def term_weights(counts: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Per term: document frequency and idf, negative idf lifted to epsilon x mean idf."""
     raw = (
-        counts.filter("term <> ''")
+        counts.filter("term is not null")
         .join(one_per_dataset(corpus_size(counts)), "dataset")
         .withColumn("raw_idf", F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     )

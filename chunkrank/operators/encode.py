@@ -10,7 +10,6 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,7 +19,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkrank.functions.text import prompted, tokens, truncated
 from chunkrank.functions.vectors import l2_normalised, mean_vector
-from chunkrank.operators.views import SEGMENT, segment_of
 from chunkrank.schema import one_per_dataset
 from chunkrank.session import materialised
 
@@ -65,47 +63,59 @@ def encode_in_context(
     corpus: DataFrame,
     factory: Callable[[], Callable[[list[list[str]]], Sequence]],
     text_col: str = "text",
-    window: int = SEGMENT,
+    prompt: str = "",
+    batch_size: int = 16,
     token_level: bool = False,
 ) -> DataFrame:
-    """A contextual plug-in sees the chunks of a document together, in order.
+    """A contextual plug-in sees all chunks of a document together, in order.
 
-    It receives a list of documents (lists of chunk texts) and returns one vector, or with
-    ``token_level`` one token matrix, per chunk. A document spanning more than ``window``
-    positions is passed on in consecutive windows, so one long document cannot fill a task.
+    It receives up to ``batch_size`` documents (lists of chunk texts) at a time and returns one
+    vector, or with ``token_level`` one token matrix, per chunk. A source without documents gives
+    documents of one chunk. Documents stream past in order, so a task holds one batch of them.
     """
     name, kind = ("token_vectors", TOKEN_VECTORS) if token_level else ("vector", VECTOR)
     schema = T.StructType(
         [corpus.schema["dataset"], corpus.schema["chunk_id"], T.StructField(name, kind)]
     )
+    placed = {"doc_id", "internal_id"} <= set(corpus.columns)
+    rows = corpus.select(
+        "dataset",
+        F.col("doc_id" if placed else "chunk_id").alias("doc_id"),
+        F.col("internal_id").alias("_place") if placed else F.lit(0).alias("_place"),
+        "chunk_id",
+        prompted(F.col(text_col), prompt).alias("_text"),
+    )
 
-    loaded = []  # filled on the executor: one model per task, not per document
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not loaded:
-            loaded.append(factory())
-        pdf = pdf.sort_values("internal_id", kind="stable")
-        vectors = loaded[0]([pdf["_text"].tolist()])[0]
-        return pd.DataFrame(
-            {
-                "dataset": pdf["dataset"],
-                "chunk_id": pdf["chunk_id"],
-                name: [np.asarray(v, dtype=np.float32).tolist() for v in vectors],
-            }
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        arrow = to_arrow_schema(schema)
+        key, names, texts = None, [], []
 
-    return (
-        corpus.select(
-            "dataset",
-            "doc_id",
-            segment_of(F.col("internal_id"), window).alias("_window"),
-            "internal_id",
-            "chunk_id",
-            F.col(text_col).alias("_text"),
-        )
-        .groupBy("dataset", "doc_id", "_window")
-        .applyInPandas(run, schema)
-    )
+        def flush() -> Iterator[pa.RecordBatch]:
+            vectors = [np.asarray(v, dtype=np.float32) for document in model(texts) for v in document]
+            values = [v.tolist() for v in vectors]
+            columns = [[n[0] for n in names], [n[1] for n in names], values]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+            names.clear()
+            texts.clear()
+
+        for batch in batches:
+            for dataset, doc_id, chunk_id, text in zip(
+                *[batch[c].to_pylist() for c in ("dataset", "doc_id", "chunk_id", "_text")]
+            ):
+                if (dataset, doc_id) != key:
+                    if len(texts) == batch_size:
+                        yield from flush()
+                    key = (dataset, doc_id)
+                    texts.append([])
+                texts[-1].append(text)
+                names.append((dataset, chunk_id))
+        if texts:
+            yield from flush()
+
+    order = ("dataset", "doc_id", "_place", "chunk_id")
+    return rows.repartition("dataset", "doc_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _bucket_and_sign(term: str, dim: int) -> tuple[int, float]:

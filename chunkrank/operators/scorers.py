@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK_CELLS = 4_000_000
+QUERY_TOKENS = 16_384  # query tokens in a block of late interaction
 
 
 def _plain(column) -> pa.Array:
@@ -50,6 +51,8 @@ class Dense:
     def elements(self) -> Column:
         return F.size("vector")
 
+    query_elements = elements
+
     def load(self, queries: pa.Table) -> np.ndarray:
         return _matrix(_plain(queries["vector"]))
 
@@ -77,7 +80,9 @@ class MaxSim:
         self.chunk_columns = ("token_vectors", "padded") if pad_floor else ("token_vectors",)
 
     def elements(self) -> Column:
-        return F.size("token_vectors") * F.size(F.element_at("token_vectors", 1))
+        return F.size("token_vectors") * F.coalesce(F.size(F.try_element_at("token_vectors", F.lit(1))), F.lit(1))
+
+    query_elements = elements
 
     @staticmethod
     def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -98,22 +103,39 @@ class MaxSim:
         query_tokens, query_at = queries
         chunk_tokens, chunk_at, padded = chunks
         scores = np.empty((len(query_at) - 1, stop - start))
-        # As many chunks at a time as keep (query tokens x chunk tokens) within a block.
-        room = max(1, BLOCK_CELLS // len(query_tokens))
-        low = start
-        while low < stop:
-            high = int(np.searchsorted(chunk_at, chunk_at[low] + room, side="right")) - 1
-            high = min(max(high, low + 1), stop)
-            tokens = chunk_tokens[chunk_at[low] : chunk_at[high]]
-            starts = chunk_at[low:high] - chunk_at[low]
-            best = np.maximum.reduceat(query_tokens @ tokens.T, starts, axis=1)
-            if padded is not None:
-                short = padded[low:high]
-                best[:, short] = np.maximum(best[:, short], 0.0)
-            scores[:, low - start : high - start] = np.add.reduceat(best, query_at[:-1], axis=0)
-            low = high
+        # Whole queries at a time, then whole chunks, or stretches of one that is too long: at no
+        # time are there more than a block of (query token, chunk token) cells.
+        first = 0
+        while first < len(query_at) - 1:
+            last = int(np.searchsorted(query_at, query_at[first] + QUERY_TOKENS, side="right")) - 1
+            last = min(max(last, first + 1), len(query_at) - 1)
+            own = query_tokens[query_at[first] : query_at[last]]
+            room = max(1, BLOCK_CELLS // len(own))
+            low = start
+            while low < stop:
+                high = int(np.searchsorted(chunk_at, chunk_at[low] + room, side="right")) - 1
+                high = min(max(high, low + 1), stop)
+                best = self._best(own, chunk_tokens, chunk_at[low : high + 1], room)
+                if padded is not None:
+                    short = padded[low:high]
+                    best[:, short] = np.maximum(best[:, short], 0.0)
+                at = query_at[first:last] - query_at[first]
+                scores[first:last, low - start : high - start] = np.add.reduceat(best, at, axis=0)
+                low = high
+            first = last
         return scores
 
+    @staticmethod
+    def _best(own: np.ndarray, chunk_tokens: np.ndarray, at: np.ndarray, room: int) -> np.ndarray:
+        """Best cosine of every query token in every chunk; one long chunk goes by stretches."""
+        if len(at) > 2 or at[1] - at[0] <= room:
+            return np.maximum.reduceat(own @ chunk_tokens[at[0] : at[-1]].T, at[:-1] - at[0], axis=1)
+        best = np.full((len(own), 1), -np.inf)
+        for begin in range(at[0], at[1], room):
+            part = chunk_tokens[begin : min(begin + room, at[1])]
+            best = np.maximum(best, (own @ part.T).max(axis=1, keepdims=True))
+        return best
+
 
 class Bm25:
     """Okapi BM25 over the chunk's own tokens.
@@ -134,6 +156,9 @@ class Bm25:
     def elements(self) -> Column:
         return F.size("tokens")
 
+    def query_elements(self) -> Column:
+        return F.size("terms")
+
     def load(self, queries: pa.Table) -> dict:
         terms = _plain(queries["terms"])
         count = len(terms)

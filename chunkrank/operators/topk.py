@@ -35,13 +35,13 @@ PARENT = "parent"
 SCORE_STEPS = 1e6  # scores are compared after rounding to 6 places
 
 BROADCAST_QUERIES = 8_192
-BROADCAST_BYTES = 256 << 20
+BROADCAST_ELEMENTS = 32_000_000  # numbers or tokens of the queries, 256 MB
 QUERY_CELL = 8_192
 CHUNK_CELL = 65_536
 CELL_ELEMENTS = 32_000_000  # numbers or tokens in a cell, whatever its row count
 BLOCK_CELLS = 4_000_000  # scores held at once by a task
 FEWEST_ROWS = 128
-TASKS_PER_CORE = 4
+MERGE_GROUP = 64  # tasks whose candidates are merged together before all meet
 
 
 class _Best:
@@ -66,7 +66,7 @@ class _Best:
     def add(self, steps: np.ndarray, targets: pa.Array) -> None:
         """``targets`` come by id descending, so among equal scores the first columns win."""
         floor = self.top.min(axis=1)
-        keep = (steps >= floor[:, None]) & np.isfinite(steps)
+        keep = (steps >= floor[:, None]) & (steps > -np.inf)
         crowded = np.flatnonzero(keep.sum(axis=1) > self.k)
         if len(crowded):
             block = steps[crowded]
@@ -143,6 +143,9 @@ class _Task:
             stop = min(start + rows, len(ids))
             scores = self.plan.scorer.score(self.queries, chunks, start, stop)
             steps = np.rint(scores * SCORE_STEPS)
+            if not np.isfinite(steps).all():
+                row, column = np.argwhere(~np.isfinite(steps))[0]
+                raise ValueError(f"score of chunk {ids[start + int(column)]} is not a finite number")
             targets = ids.slice(start, stop - start)
             if self.levels:
                 self.levels[0].hide_identical(steps, targets)
@@ -231,9 +234,7 @@ def _broadcast_form(plan: _Plan, queries: pa.Table, chunks: DataFrame) -> DataFr
         for task in tasks.values():
             yield from task.results()
 
-    # Few, long tasks: each sends at most k rows per query on, however many splits it read.
-    slots = TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.coalesce(slots).mapInArrow(score, plan.schema)
+    return chunks.mapInArrow(score, plan.schema)
 
 
 def _grid_form(
@@ -295,9 +296,11 @@ def best_targets(
     fields = [right.schema[name] for name in keys]
     plan = _Plan(scorer, keys, fields, k, parent_k, ignore_identical_ids)
     if form == "auto":
-        some = left.limit(BROADCAST_QUERIES + 1).toArrow()
-        if some.num_rows <= BROADCAST_QUERIES and some.nbytes <= BROADCAST_BYTES:
-            return _broadcast_form(plan, some, right)
+        # Rows first, then numbers or tokens: nothing is collected before both are known to fit.
+        few = left.limit(BROADCAST_QUERIES + 1)
+        size = few.agg(F.count("*").alias("rows"), F.sum(scorer.query_elements()).alias("elements")).first()
+        if size["rows"] <= BROADCAST_QUERIES and (size["elements"] or 0) <= BROADCAST_ELEMENTS:
+            return _broadcast_form(plan, left.toArrow(), right)
         form = "grid"
     if form != "grid":
         raise ValueError(f"unknown form: {form}")
@@ -307,14 +310,20 @@ def best_targets(
 def rank_targets(
     candidates: DataFrame, keys: Sequence[str] = ("dataset",), k: int = 100, parent_k: int = 0
 ) -> DataFrame:
-    """Final order: score descending, ties by id descending. One shuffle, keyed by query."""
+    """Final order: score descending, ties by id descending, in two levels.
+
+    Every scoring task reports k rows a query. Groups of tasks are merged first, so that what meets
+    in the end is k rows a query and group; both cuts are exact. Rows of one target are merged at
+    either level: several tasks may report the same parent.
+    """
     query = [*keys, "level", "query_id"]
-    order = Window.partitionBy(*query).orderBy(F.desc("score"), F.desc("target_id"))
-    gathered = candidates.repartition(*query)
-    if parent_k:
-        # Several tasks may report the same parent; the rows already lie together.
-        gathered = gathered.groupBy(*query, "target_id").agg(F.max("score").alias("score"))
-        depth = F.when(F.col("level") == PARENT, F.lit(parent_k)).otherwise(F.lit(k))
-    else:
-        depth = F.lit(k)
-    return gathered.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
+    depth = F.when(F.col("level") == PARENT, F.lit(parent_k)).otherwise(F.lit(k)) if parent_k else F.lit(k)
+
+    def best(rows: DataFrame, within: list[str]) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(F.desc("score"), F.desc("target_id"))
+        merged = rows.repartition(*within).groupBy(*within, "target_id").agg(F.max("score").alias("score"))
+        return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
+
+    group = F.floor(F.spark_partition_id() / F.lit(MERGE_GROUP)).alias("_group")
+    merged = best(candidates.select("*", group), [*query, "_group"])
+    return best(merged.drop("_group", "rank"), query).select(*candidates.columns, "rank")

@@ -10,36 +10,26 @@ from pyspark.sql import functions as F
 from chunkrank.functions import ids
 from chunkrank.functions.text import draw, prompted
 
-SEGMENT = 1024
-
-
-def segment_of(number: Column, size: int = SEGMENT) -> Column:
-    return F.floor(number / F.lit(size)).cast("int")
-
-
 def nested(
     rows: DataFrame,
     col: str = "text",
     id_col: str = "chunk_id",
     order_by: str = "internal_id",
-    segment: int = SEGMENT,
 ) -> DataFrame:
     """One row per document with its values and ids as parallel lists.
 
-    Documents longer than ``segment`` positions continue in further rows (segment 1, 2, …):
-    positions number the chunks of a document, so each list is bounded and no document,
-    however long, has to fit one row.
+    A list is as long as its document. Plans keep the long form (document, place, chunk); lists are
+    a form of output.
     """
     item = F.struct(
         F.col(order_by).alias("place"), F.col(id_col).alias("id"), F.col(col).alias("value")
     )
     return (
-        rows.groupBy("dataset", "doc_id", segment_of(F.col(order_by), segment).alias("segment"))
+        rows.groupBy("dataset", "doc_id")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select(
             "dataset",
             "doc_id",
-            "segment",
             F.col("items.value").alias(f"{col}s"),
             F.col("items.id").alias(f"{id_col}s"),
         )
@@ -76,13 +66,13 @@ def flat_queries(queries: DataFrame, prompt: str = "") -> DataFrame:
     return queries.select("dataset", "query_id", prompted(F.col("text"), prompt).alias("text"))
 
 
-def collected_labels(qrels: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Labels of each query as a list in input order, duplicates kept, in bounded segments."""
+def collected_labels(qrels: DataFrame) -> DataFrame:
+    """Labels of each query as one list in input order, duplicates kept."""
     item = F.struct("label_pos", "target_id")
     return (
-        qrels.groupBy("dataset", "query_id", segment_of(F.col("label_pos"), segment).alias("segment"))
+        qrels.groupBy("dataset", "query_id")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
-        .select("dataset", "query_id", "segment", F.col("items.target_id").alias("target_ids"))
+        .select("dataset", "query_id", F.col("items.target_id").alias("target_ids"))
     )
 
 

@@ -111,7 +111,10 @@ def encoded(
         )
     else:
         corpus = encode.encode_in_context(
-            data.corpus, contextual_factory, token_level=token_level
+            data.corpus,
+            contextual_factory,
+            prompt=DOCUMENT_PROMPT if add_prefix else "",
+            token_level=token_level,
         )
     return data.but(queries=queries, corpus=corpus)
 
@@ -143,6 +146,10 @@ def scored_by(
     seconds = None
     if ("token_vectors" if late else "vector") not in data.corpus.columns:
         context = contextual_factory if by_document else None
+        if factory is None:
+            raise ValueError(f"{method} needs a factory for the queries and chunks to encode")
+        if by_document and context is None:
+            raise ValueError(f"{method} needs a contextual_factory for the chunks of a document")
         data = encoded(data, factory, context, late, add_prefix, batch_size)
         corpus, seconds = timed(data.corpus)
         data = data.but(corpus=corpus, queries=materialised(data.queries))
@@ -232,6 +239,20 @@ def require_sound(data: RetrievalSet) -> None:
         raise ValueError(f"query without a label: {bare.asDict()}")
 
 
+def without_earlier_copies(corpus: DataFrame, check: bool = True) -> DataFrame:
+    """Of chunks that share an id the last one counts, by ``chunk_pos``.
+
+    Without that column there is no last one: with ``check`` repeated ids are an error.
+    """
+    if "chunk_pos" in corpus.columns:
+        return checks.keep_last(corpus, "chunk_pos")
+    if check:
+        twice = checks.duplicate_ids(corpus).first()
+        if twice is not None:
+            raise ValueError(f"chunk id occurs more than once, and no chunk_pos tells the last: {twice.asDict()}")
+    return corpus
+
+
 def evaluate(
     data: RetrievalSet,
     method: str | Callable[[RetrievalSet], Scored] = "dense",
@@ -254,6 +275,7 @@ def evaluate(
     ``runtime`` adds the seconds of encoding or indexing the chunks; data sets evaluated
     together share that stage and report the same number.
     """
+    data = data.but(corpus=without_earlier_copies(data.corpus, check))
     if check:
         require_sound(data)
     if compat_positional_ids:

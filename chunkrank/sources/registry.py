@@ -64,6 +64,16 @@ def resolve(requested: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+def empty_set(spark: SparkSession) -> RetrievalSet:
+    """No data set at all: evaluates to no metrics."""
+    name = "dataset string, "
+    return RetrievalSet(
+        spark.createDataFrame([], name + "doc_id string, internal_id int, chunk_id string, text string"),
+        spark.createDataFrame([], name + "query_id string, query_pos long, text string"),
+        spark.createDataFrame([], name + "query_id string, target_id string, label_pos int"),
+    )
+
+
 def merge(sets: Sequence[RetrievalSet]) -> RetrievalSet:
     """Many tasks as one, so that they are evaluated in one job."""
     return reduce(RetrievalSet.union, sets)
@@ -90,7 +100,10 @@ def load_chunked_suite(
         )
         for n in known
     ]
-    return merge(sets), [n for n in names if n not in registry]
+    skipped = [n for n in names if n not in registry]
+    if not sets:
+        return empty_set(spark), skipped
+    return merge(sets), skipped
 
 
 def load_chunk_size_suite(

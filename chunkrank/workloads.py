@@ -25,25 +25,21 @@ def _text_id(*parts: str) -> F.Column:
     return F.concat_ws("_", *[F.col(p).cast("string") for p in parts])
 
 
-# --- conversations: assistant turns are the chunks, the user turn before asks for one --------
+# --- conversations: every turn is a chunk, every user turn asks for the turn after it --------
 
 
 def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunked documents layout: chunk_id, chunk."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    turns = table(spark, sf_dir, "conversations")
     return turns.select(_text_id("conv_id", "turn").alias("chunk_id"), F.col("text").alias("chunk"))
 
 
 def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunked queries layout: query_id, query, chunk_id."""
-    turns = table(spark, sf_dir, "conversations")
-    asked = turns.filter("role = 'user'").select(
-        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("own"), F.col("text").alias("query")
-    )
-    answers = turns.filter("role = 'assistant'").select("conv_id", "turn")
-    return asked.join(answers, ["conv_id", "turn"]).select(
+    """Chunked queries layout: query_id, query, chunk_id; the last turns ask for a chunk that is not there."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return turns.select("conv_id", F.col("turn").alias("own"), (F.col("turn") + 1).alias("turn"), "text").select(
         F.concat(F.lit("q"), _text_id("conv_id", "own")).alias("query_id"),
-        "query",
+        F.col("text").alias("query"),
         _text_id("conv_id", "turn").alias("chunk_id"),
     )
 
@@ -52,6 +48,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> RetrievalSet:
     chunk_id = F.col("chunk_id")
     name = F.lit("conversations").alias("dataset")
     asked = conversation_questions(spark, sf_dir)
+    answers = conversation_documents(spark, sf_dir).select("chunk_id")
     return RetrievalSet(
         conversation_documents(spark, sf_dir).select(
             name,
@@ -68,8 +65,20 @@ def conversations(spark: SparkSession, sf_dir: str) -> RetrievalSet:
             ids.number_of(chunk_id).alias("internal_id"),
             "chunk_id",
         ),
-        asked.select(name, "query_id", F.col("chunk_id").alias("target_id"), F.lit(0).alias("label_pos")),
+        asked.join(answers, "chunk_id", "left_semi").select(
+            name, "query_id", F.col("chunk_id").alias("target_id"), F.lit(0).alias("label_pos")
+        ),
+    )
+
+
+def conversation_turns_by_id(spark: SparkSession, sf_dir: str) -> RetrievalSet:
+    """Chunks named by their conversation alone, so that ids repeat: the last turn counts."""
+    data = conversations(spark, sf_dir)
+    corpus = data.corpus.select(
+        "dataset", "doc_id", F.col("internal_id").alias("chunk_pos"), F.col("doc_id").alias("chunk_id"), "text"
     )
+    qrels = data.qrels.withColumn("target_id", ids.parent_id(F.col("target_id")))
+    return data.but(corpus=corpus, qrels=qrels)
 
 
 # --- document lines as chunks ----------------------------------------------------------------

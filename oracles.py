@@ -15,15 +15,30 @@ CONVERSATIONS = """
 corpus AS (
   SELECT 'conversations' AS dataset, conv_id::VARCHAR AS doc_id, turn::INT AS internal_id,
          conv_id || '_' || turn AS chunk_id, text
-  FROM conversations WHERE role = 'assistant'),
+  FROM conversations),
 asked AS (
-  SELECT 'conversations' AS dataset, 'q' || u.conv_id || '_' || u.turn AS query_id, u.text,
-         a.conv_id::VARCHAR AS doc_id, a.turn::INT AS internal_id,
-         a.conv_id || '_' || a.turn AS chunk_id
-  FROM conversations u JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'),
-qrels AS (SELECT dataset, query_id, chunk_id AS target_id, 0 AS label_pos FROM asked)
+  SELECT 'conversations' AS dataset, 'q' || conv_id || '_' || turn AS query_id, text,
+         conv_id::VARCHAR AS doc_id, (turn + 1)::INT AS internal_id,
+         conv_id || '_' || (turn + 1) AS chunk_id
+  FROM conversations WHERE role = 'user'),
+qrels AS (
+  SELECT a.dataset, a.query_id, a.chunk_id AS target_id, 0 AS label_pos
+  FROM asked a JOIN corpus c ON c.chunk_id = a.chunk_id)
+"""
+
+LAST_TURNS = """
+corpus AS (
+  SELECT 'conversations' AS dataset, conv_id::VARCHAR AS doc_id, conv_id::VARCHAR AS chunk_id,
+         arg_max(text, turn) AS text
+  FROM conversations GROUP BY conv_id),
+asked AS (
+  SELECT 'conversations' AS dataset, 'q' || conv_id || '_' || turn AS query_id, text
+  FROM conversations WHERE role = 'user'),
+qrels AS (
+  SELECT 'conversations' AS dataset, 'q' || u.conv_id || '_' || u.turn AS query_id,
+         u.conv_id::VARCHAR AS target_id, 0 AS label_pos
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user')
 """
 
 LINES = r"""
@@ -390,9 +405,8 @@ encoded AS (
 """
 
 
-def encoded(limit: int | None = None) -> str:
-    words = TOKENISE.format("text")
-    return ENCODED.replace("{words}", f"({words})[1:{limit}]" if limit else words)
+def encoded() -> str:
+    return ENCODED.replace("{words}", TOKENISE.format("text"))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -456,7 +470,7 @@ def oracle_sql() -> dict[str, str]:
     sql["collect_labels"] = query(
         passages(),
         """SELECT query_id, array_to_string(list(target_id ORDER BY label_pos), ' ') AS target_ids
-           FROM qrels GROUP BY query_id, label_pos // 1024""",
+           FROM qrels GROUP BY query_id""",
     )
     sql["context_filter_docs"] = query(
         LENGTHS,
@@ -563,6 +577,10 @@ shifted AS (SELECT dataset, (query_pos)::VARCHAR AS query_id, text FROM asked)""
         passages(), LABELLED_ONLY, bm25("asked_labelled"), ranked(), per_query(), macro(), PARENT_MAX, WITH_PARENTS
     )
 
+    sql["duplicate_ids_metrics"] = query(
+        LAST_TURNS, bm25(), ranked(), per_query(), macro(), PARENT_MAX, WITH_PARENTS
+    )
+
     # analyses
     sql["parent_max_metrics"] = query(
         CONVERSATIONS, bm25(), PARENT_MAX, "SELECT dataset, metric, value FROM parent_means"
@@ -631,7 +649,6 @@ shifted AS (SELECT dataset, (query_pos)::VARCHAR AS query_id, text FROM asked)""
     # encoders
     rows = "SELECT chunk_id, dim, round(value, 6) AS value FROM encoded"
     sql["hash_encode"] = query(CONVERSATIONS, encoded(), rows)
-    sql["hash_encode_truncated"] = query(CONVERSATIONS, encoded(8), rows)
     sql["plugin_encode"] = query(
         CONVERSATIONS,
         """SELECT chunk_id, length(text) + 17 AS chars, len(string_split(text, ' ')) + 1 AS words
@@ -689,9 +706,9 @@ def suite_inputs() -> str:
 
     def renamed(ctes: str, suffix: str) -> str:
         for name in ("corpus", "asked", "qrels"):
-            ctes = ctes.replace(f"{name} AS", f"{name}_{suffix} AS").replace(
-                f"FROM {name})", f"FROM {name}_{suffix})"
-            )
+            ctes = ctes.replace(f"{name} AS", f"{name}_{suffix} AS")
+            for use in (f"FROM {name})", f"FROM {name} a ", f"JOIN {name} c "):
+                ctes = ctes.replace(use, use.replace(name, f"{name}_{suffix}"))
         return ctes.strip()
 
     return ",\n".join(

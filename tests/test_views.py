@@ -25,31 +25,43 @@ def corpus(spark):
 
 def test_nested_lists_follow_positions(corpus):
     nested = views.nested(corpus)
-    assert rows(nested, "doc_id", "segment", "chunk_ids", "texts") == [
-        ("10", 0, ["10_0", "10_1"], ["a", "b b b"]),
-        ("2", 0, ["2_0"], ["c c c c"]),
+    assert rows(nested, "doc_id", "chunk_ids", "texts") == [
+        ("10", ["10_0", "10_1"], ["a", "b b b"]),
+        ("2", ["2_0"], ["c c c c"]),
     ]
     flat = views.flatten(nested, "texts", "chunk_ids", "text", "chunk_id")
     assert rows(flat, "chunk_id", "text") == rows(corpus, "chunk_id", "text")
 
 
-def test_long_documents_continue_in_segments(spark):
-    long = spark.range(10).select(
+def test_long_documents_stay_whole(spark):
+    long = spark.range(3000).select(
         F.lit("d").alias("dataset"),
         F.lit("hot").alias("doc_id"),
         F.col("id").cast("int").alias("internal_id"),
         F.concat(F.lit("hot_"), F.col("id").cast("string")).alias("chunk_id"),
         F.col("id").cast("string").alias("text"),
     )
-    nested = views.nested(long, segment=4)
-    assert rows(nested, "segment", "texts") == [
-        (0, ["0", "1", "2", "3"]),
-        (1, ["4", "5", "6", "7"]),
-        (2, ["8", "9"]),
-    ]
-    seen = encode.encode_in_context(long, lambda: lambda docs: [[[len(t)] for t in d] for d in docs], window=4)
-    # the plug-in gets single characters here, in windows of four
-    assert rows(seen, "chunk_id", "vector") == [(f"hot_{i}", [1.0]) for i in range(10)]
+    assert rows(views.nested(long), "texts") == [([str(i) for i in range(3000)],)]
+    seen = encode.encode_in_context(long, lambda: lambda docs: [[[len(d)] for _ in d] for d in docs])
+    assert rows(seen, "vector") == [([3000.0],)] * 3000
+
+
+def test_context_in_order_by_batches_and_without_documents(spark):
+    chunks = spark.range(40).select(
+        F.lit("d").alias("dataset"),
+        F.floor(F.col("id") / 2).cast("string").alias("doc_id"),
+        (1 - F.col("id") % 2).cast("int").alias("internal_id"),
+        F.col("id").cast("string").alias("chunk_id"),
+        F.col("id").cast("string").alias("text"),
+    )
+
+    def factory():
+        return lambda docs: [[[len(docs), int(d[0].removeprefix("p: ")), i] for i, _ in enumerate(d)] for d in docs]
+
+    whole = {r.chunk_id: r.vector for r in encode.encode_in_context(chunks, factory, prompt="p: ", batch_size=3).collect()}
+    assert all(v[0] <= 3 and v[1] == int(n) // 2 * 2 + 1 and v[2] == 1 - int(n) % 2 for n, v in whole.items())
+    alone = encode.encode_in_context(chunks.drop("doc_id", "internal_id"), factory).collect()
+    assert all(r.vector[1] == int(r.chunk_id) and r.vector[2] == 0 for r in alone)
 
 
 def test_singletons_and_prompts(corpus):
@@ -79,7 +91,6 @@ def test_label_lists_keep_order_and_duplicates(spark):
         "dataset string, query_id string, target_id string, label_pos int",
     )
     assert rows(views.collected_labels(qrels), "target_ids") == [(["b", "a", "b"],)]
-    assert rows(views.collected_labels(qrels, segment=2), "target_ids") == [(["b"],), (["b", "a"],)]
 
 
 def test_cut_by_words(spark):
