@@ -121,4 +121,5 @@ def kept_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     documents = replayable(documents)
     rows = documents.select(row_column(documents).alias("row"), F.monotonically_increasing_id().alias("place"))
     stay = materialised(merged_runs(digests(documents, text=text))).select(F.col("first.place").alias("stays"))
-    return rows.join(stay, F.col("place") == F.col("stays"), "left_semi").select("row.*")
+    # Sorted at every size: the rows that stay grow with the table.
+    return rows.join(stay.hint("merge"), F.col("place") == F.col("stays"), "left_semi").select("row.*")
