@@ -8,8 +8,8 @@ repeated window. Runs of such windows are the maximal repeats.
 2. Every window has the smallest hash of its 5-word grams as anchor. Windows that are equal have
    equal anchors, so only those whose anchor occurs in two texts, or twice in one, can repeat. Counting
    anchors combines before the shuffle.
-3. Each remaining suffix is a row: its first words as four edge labels (hashes of a quarter of the
-   window each) and its place. Groups share a prefix of variable length: half a window, or the whole
+3. Each remaining suffix is a row: its first words as three edge labels (32-bit hashes of a quarter,
+   a quarter and half of the window) and its place. Groups share a prefix of variable length: half a window, or the whole
    window where the anchor is in very many texts, and such a group is split further by text.
 4. Rows of a group are sorted by edge labels and place. Neighbours that share all labels hang under
    one deep node; the first is its earliest leaf. The subtree is read off the sorted rows as they
@@ -17,7 +17,7 @@ repeated window. Runs of such windows are the maximal repeats.
    once more.
 5. Marked window starts go back to their texts, which lose the words these windows cover.
 
-Windows are compared by 128 bits of labels.
+Windows are compared by the 96 bits of their labels.
 
 Defined cases: null texts have no words; texts shorter than a window lose nothing; earlier means a
 smaller id (null last), then an earlier row, then an earlier start; an empty table gives an empty result.
@@ -40,7 +40,6 @@ from chunkrank.llm.words import Texts, keyed, repeated, slices, sliding_minimum,
 
 LEAST = 20
 GRAM = 5
-LABELS = 4
 #: Windows whose anchor is in more texts than this are grouped by their whole length, and in parts.
 MANY_TEXTS = 500
 PARTS = 64
@@ -142,8 +141,12 @@ def candidates(documents: DataFrame, least: int) -> DataFrame:
 
 
 def suffixes(texts: DataFrame, least: int) -> DataFrame:
-    """The suffixes that may be repeated: edge labels (two in a number), place, and group."""
-    quarter = least // LABELS
+    """The suffixes that may be repeated: edge labels (the first two in one number), place, and group.
+
+    ``split`` is 0 in cold groups and tells the parts of hot ones from 1 on.
+    """
+    sizes = (least // 4, least // 4, least - least // 4 * 2)
+    offsets = (0, sizes[0], sizes[0] + sizes[1])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -162,24 +165,23 @@ def suffixes(texts: DataFrame, least: int) -> DataFrame:
                 held.append(np.isin(own, keyed(flat, row)))
             keep = held[0] | held[1]
             starts, rows, hot = starts[keep], rows[keep], held[1][keep]
-            # Labels of the four quarters; the last one takes what the others leave.
-            sizes = [quarter] * (LABELS - 1) + [least - quarter * (LABELS - 1)]
             label = [
-                windows(part.word_hashes, n)[starts + quarter * i] >> np.uint64(32) if len(starts) else starts.view(np.uint64)
-                for i, n in enumerate(sizes)
+                windows(part.word_hashes, n)[starts + at] >> np.uint64(32) if len(starts) else starts.view(np.uint64)
+                for n, at in zip(sizes, offsets)
             ]
             head = (label[0] << np.uint64(32)) | label[1]
-            tail = (label[2] << np.uint64(32)) | label[3]
-            split = np.where(hot, places[part.first + rows] % PARTS, -1)
+            tail = label[2].astype(np.uint32).view(np.int32)
+            split = np.where(hot, places[part.first + rows] % PARTS + 1, 0)
             at = starts - part.first_word[rows]
             for column, values in zip(
-                out, (_signed(head), _signed(tail), ids[part.first + rows], places[part.first + rows], at, split)
+                out, (_signed(head), tail, ids[part.first + rows], places[part.first + rows], at, split)
             ):
                 column.append(values)
-        arrays = [pa.array(_joined(c)) for c in out[:4]] + [pa.array(_joined(c).astype(np.int32)) for c in out[4:]]
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
+        arrays = [pa.array(_joined(c, k).astype(k)) for c, k in zip(out, kinds)]
         return pa.RecordBatch.from_arrays(arrays, names=["head", "tail", "id_order", "place", "start", "split"])
 
-    return map_batches(texts, cut, "head long, tail long, id_order long, place long, start int, split int")
+    return map_batches(texts, cut, "head long, tail int, id_order long, place long, start int, split int")
 
 
 ORDER = ("head", "tail", "split", "id_order", "place", "start")
@@ -208,12 +210,12 @@ def _leaves(rows: DataFrame) -> DataFrame:
 def repeats(found: DataFrame) -> DataFrame:
     """(place, start) of every window that is not the earliest of its kind."""
     # A cold group is a prefix of half a window; a hot one the whole window and a part of the texts.
-    prefix = F.when(F.col("split") < 0, F.col("head")).otherwise(F.xxhash64("head", "tail", "split"))
+    prefix = F.when(F.col("split") == 0, F.col("head")).otherwise(F.xxhash64("head", "tail", "split"))
     partitioned = found.withColumn("prefix", prefix).repartition("prefix").drop("prefix")
     leaves = _leaves(partitioned.sortWithinPartitions(*ORDER))
     cold = leaves.filter("not first")
     # Earliest leaves of the parts of a split node: at most one a part, so these groups are small.
-    parts = leaves.filter("first and split >= 0")
+    parts = leaves.filter("first and split > 0")
     mine = F.struct("id_order", "place", "start")
     node = parts.groupBy("head", "tail").agg(F.min(mine).alias("earliest"))
     later = parts.join(node, ["head", "tail"]).filter(mine != F.col("earliest"))
