@@ -297,11 +297,13 @@ def test_fuzzy_lines_hold_what_is_alone(spark, sf, texts):
 
 
 def test_simhash_is_the_majority(spark):
-    rows = [("the quick brown fox jumps",), ("a",), ("x " * 300 + "y z w",), ("b " * 127 + "c",)]
-    hashes = F.transform(F.split("s", " "), lambda w: F.xxhash64(w))
-    for r in spark.createDataFrame(rows, "s string").select(fuzzy_lines.simhash(F.col("s")).alias("c"), hashes.alias("h")).collect():
-        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
-        assert bits - (1 << 64 if bits >> 63 else 0) == r.c
+    rows = [(1, "the quick brown fox jumps"), (2, "a"), (3, "x " * 300 + "y z w"), (4, "b " * 127 + "c"), (5, "é " * 126 + "c")]
+    lines = spark.createDataFrame(rows, "node long, norm string")
+    hashes = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+    of = {r.node: r.h for r in lines.select("node", hashes.alias("h")).collect()}
+    for r in fuzzy_lines.simhashes(lines).collect():
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in of[r.node]) > len(of[r.node]))
+        assert bits - (1 << 64 if bits >> 63 else 0) == r.code
 
 
 def test_pipeline(spark, sf):
