@@ -158,12 +158,23 @@ class Codec:
         """Encode segments, decode their ids, and compare both with the library in one call each.
 
         A name is the segment without its first mark. Joined by spaces the names form a text of
-        just these segments. As the ids decode to that text, every segment decodes to itself.
+        just these segments, as long as each holds more than marks; a segment of marks ends a text
+        and is compared behind a letter. As the ids decode to the text, every segment decodes to itself.
         """
+        blank = [name for name in names if not name.strip(MARK)]
+        for name in blank:
+            self.known[name] = self.encode_segment(MARK + name)
+            together = f"{self.encode_segment(MARK + 'a')},{self.known[name]}"
+            wanted = self.library.encode("a " + " " * len(name))
+            if ",".join(map(str, wanted)) != together or self.decode(wanted)[1:] != "a " + " " * len(name):
+                raise MismatchError("a segment of marks differs from the library's")
+        names = [name for name in names if name.strip(MARK)]
+        if not names:
+            return
         encoded = [self.encode_segment(MARK + name) for name in names]
         text = " ".join(names).replace(MARK, " ")
         together = ",".join(encoded)
-        wanted = self.library.encode(text) if text else [*map(int, together.split(","))]
+        wanted = self.library.encode(text)
         if ",".join(map(str, wanted)) != together:
             raise MismatchError("a segment's ids differ from the library's")
         if not self.decode(wanted)[1:] == self.library.decode(wanted) == text:
