@@ -3,7 +3,7 @@
 Spark's text sink writes the records: the separator it puts after each row is the blank line that
 ends a WARC record. Every record begins with the id of its archive, a fresh UUID; version line and id
 together are the separator for reading, so payloads with blank lines or quoted WARC records do not
-matter, and files split for reading. Length and digest of every payload are checked on reading.
+matter, and plain files split for reading. Length and digest of every payload are checked on reading.
 
 The index is an external merge. Every reading task sorts its captures by URL key and time and
 writes them as a run. The runs are dealt out by ranges of (URL key, time, page), so that even one URL
@@ -125,14 +125,17 @@ def write_archives(
     url: str = "url",
     html: str = "html",
     least_bytes: int = 0,
+    compression: str = "gzip",
 ) -> str:
     """Write WARC files below the folder; returns the id of the archive, which reading needs.
 
+    A gzip file holds all its records as one stream and is read by one task; its size is that of a
+    shuffle partition. Files written with ``compression="none"`` split for reading.
     Payloads of at least ``least_bytes`` are stored once; later pages with the same one revisit it.
     """
     archive = str(uuid.uuid4())
     found = records(replayable(pages), archive, page_id, url, html, least_bytes)
-    found.write.option("lineSep", BLANK).text(folder)
+    found.write.option("lineSep", BLANK).option("compression", compression).text(folder)
     return archive
 
 
