@@ -24,6 +24,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,8 @@ class Encoder:
     """Ids of texts, word by word: no token of the vocabulary crosses ASCII white space.
 
     Nor does one cross from a letter to a sign (apostrophes, which open contractions, aside). So new
-    words of letters are encoded without the signs after them, ASCII ones in lower case, and many at a
-    time: in the ids of a list of words, each word ends with the only token that has an end mark.
+    words that the vocabulary's NFC and lower-casing leave all letters are encoded without the signs
+    after them, ASCII ones in lower case, and many at a time: in the ids of a list of words, each word ends with the only token that has an end mark.
     """
 
     def __init__(self, path: str) -> None:
@@ -96,7 +97,7 @@ class Encoder:
         plain, parted, stems, tails = [], [], set(), set()
         for name in names:
             stem = name.rstrip(SIGNS)
-            if stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha()):
                 tail = name[len(stem) :]
                 if stem.isascii():
                     stem = stem.lower()

@@ -5,12 +5,14 @@ import random
 import re
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chunkrank.llm import fuzzy_lines  # noqa: E402
+from chunkrank.llm import fuzzy_lines, packing  # noqa: E402
+from chunkrank.llm.tables import vocabulary  # noqa: E402
 
 
 def test_fuzzy_lines_find_edited_lines(spark, sf):
@@ -38,3 +40,13 @@ def test_fuzzy_lines_find_edited_lines(spark, sf):
     )
     assert len(near) >= 200
     assert sum(r.norm in of and of[r.norm] == of.get(r.b) for r in near) >= 0.85 * len(near)
+
+
+def test_words_with_signs_are_encoded_as_the_library_does():
+    """Every letter before a sign, those that normalise to letter + mark before each sign."""
+    own = packing.Encoder(vocabulary("word_bpe_49k.json"))
+    marks = ["হয়", "क़", "שׁ", "BİLGİ", "İ", "ড়", "ਸ਼", "יִ"]
+    names = [m + s for m in marks for s in packing.SIGNS] + [c + "," for c in map(chr, range(0x80, 0x32000)) if c.isalpha()]
+    own.learn(names)
+    wanted = own.library.encode_batch_fast(names, add_special_tokens=False)
+    assert [n for n, w in zip(names, wanted) if np.frombuffer(own.known[n], "<u4").tolist() != w.ids] == []
