@@ -3,9 +3,10 @@
 Candidate strings are unbroken runs of key characters. A window slides over each run; the counts of
 its characters change by one in and one out, and so does the sum of c*log2(c) that gives the
 entropy. Each character class has its own threshold: hexadecimal runs cannot reach what base64 runs
-reach. Windows over the threshold merge into spans. Spans that the allow-list explains (UUIDs, data
-URIs of images, paths and host names, dictionary-like camel case, counters, placeholders) or that a
-pattern has found are left out.
+reach. Windows over the threshold merge into spans. Runs that the allow-list explains as a whole (UUIDs,
+paths and host names, dictionary-like camel case, counters) are left out. A date or time stamp at the
+start of a run, and a placeholder between signs, explain only themselves: what they leave of the run is
+scanned as runs of its own. What a pattern has found is cut out of a span, the rest of it stays.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned alone; an empty table
 gives an empty result. Offsets count code points and ends are exclusive.
@@ -63,8 +64,16 @@ ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(rb"[A-Za-z]*+(?:[/_=+-][A-Za-z]*+)*+[0-9]{0,4}"),  # words joined by signs, with a counter
     re.compile(rb"(?:[/_=+-]|[A-Z]?[a-z]{4,}+|[0-9]{1,6}+)++"),  # paths, camel case with numbers
-    re.compile(rb"(?is:.*(example|placeholder|changeme|xxxx|0000|1234567|abcdef).*)"),
-    re.compile(rb"[0-9]{4}-?[0-9]{2}-?[0-9]{2}.*"),  # dates and time stamps
+)
+
+# Parts of runs that explain themselves and nothing beside them.
+DATE = re.compile(
+    rb"(?:19|20)[0-9]{2}(-?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])"
+    rb"(?:[T_-]?(?:[01][0-9]|2[0-3])-?[0-5][0-9](?:-?[0-5][0-9][0-9]{0,9})?Z?)?(?![A-Za-z0-9])"
+)
+PLACEHOLDER = re.compile(
+    rb"(?i)(?<![A-Za-z0-9])"
+    rb"(?:example|placeholder|changeme|x{4,}|0{4,}|0?1234567(?:8(?:90?)?)?|abcdef(?:g(?:h(?:ij?)?)?)?)+(?![A-Za-z0-9])"
 )
 
 
@@ -96,23 +105,54 @@ def high_entropy(run: bytes, threshold: float, width: int = WINDOW) -> list[tupl
     return spans
 
 
+def _explained(run: bytes) -> bool:
+    return not DIGIT.search(run) or any(p.fullmatch(run) for p in ALLOWED)
+
+
+def _parts(run: bytes) -> list[tuple[int, int]]:
+    """What dates and placeholders leave of a run."""
+    date = DATE.match(run)
+    at = date.end() if date else 0
+    parts = []
+    for match in PLACEHOLDER.finditer(run, at):
+        parts.append((at, match.start()))
+        at = match.end()
+    return [(a, b) for a, b in [*parts, (at, len(run))] if b - a >= WINDOW]
+
+
 def _surprising(text: bytes) -> list[tuple[int, int]]:
     found = []
     for match in RUN.finditer(text):
-        run = match.group()
-        if not DIGIT.search(run) or any(p.fullmatch(run) for p in ALLOWED):
+        if _explained(match.group()):
             continue
-        threshold = next(c.threshold for c in CLASSES if c.characters.fullmatch(run))
-        found += [(match.start() + a, match.start() + b) for a, b in high_entropy(run, threshold)]
+        for first, last in _parts(match.group()):
+            part = match.group()[first:last]
+            if _explained(part):
+                continue
+            threshold = next(c.threshold for c in CLASSES if c.characters.fullmatch(part))
+            at = match.start() + first
+            found += [(at + a, at + b) for a, b in high_entropy(part, threshold)]
     return found
 
 
+def _rest(text: bytes, a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans, in order, leave of a span; words that lead to an assignment are explained."""
+    rest = []
+    for start, end, kind in base:
+        if start < b and a < end:
+            if a < start and not (kind == 0 and _explained(text[a:start])):
+                rest.append((a, start))
+            a = max(a, end)
+    return [*rest, (a, b)] if a < b else rest
+
+
 def spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) in bytes, ordered; the base kinds, and what the entropy adds to them."""
     base = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGN]
     base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    more = [(a, b, 3) for a, b in _surprising(text) if not any(a < e and s < b for s, e, _ in base)]
+    base.sort()
+    more = [(*x, 3) for a, b in _surprising(text) for x in _rest(text, a, b, base)]
     return sorted(base + more, key=lambda x: (x[0], x[2], x[1]))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chunkrank.llm import fuzzy_lines, packing  # noqa: E402
+from chunkrank.llm import fuzzy_lines, packing, secrets  # noqa: E402
 from chunkrank.llm.tables import vocabulary  # noqa: E402
 
 
@@ -50,3 +50,28 @@ def test_words_with_signs_are_encoded_as_the_library_does():
     own.learn(names)
     wanted = own.library.encode_batch_fast(names, add_special_tokens=False)
     assert [n for n, w in zip(names, wanted) if np.frombuffer(own.known[n], "<u4").tolist() != w.ids] == []
+
+
+KEY = "q7Rk2ZpX9vBt4LmW8sYd3NcF6hJg1TqA"
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        (f"see /srv/example/{KEY} now", KEY),
+        (f"id 123456789012-{KEY} end", KEY),
+        (f"log 20240115-{KEY} end", KEY),
+        (f"blob {KEY[:20]}0000{KEY[20:]} end", f"{KEY[:20]}0000{KEY[20:]}"),
+        (f"key {KEY[:20]}{'0a1b2c3d4e5f' * 2} end", KEY[:20]),
+    ],
+)
+def test_secrets_beside_what_the_allow_list_explains(text, wanted):
+    covered = {i for a, b, _ in secrets.spans(text.encode()) for i in range(a, b)}
+    at = text.index(wanted)
+    assert covered.issuperset(range(at, at + len(wanted)))
+    assert not any(text[i] == " " for i in covered)
+
+
+@pytest.mark.parametrize("text", ["20240115T123000Z-backup-server", "key-1234567890abcdef-example", "my_example_xxxxxxxxxxxxxxxx"])
+def test_dates_and_placeholders_alone_are_no_secrets(text):
+    assert secrets.spans(text.encode()) == []
