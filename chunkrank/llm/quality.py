@@ -2,8 +2,10 @@
 
 Every document gets five counts (numpy, whole texts). Repeated words are bounded by the base already. A document without base failure feeds its
 ratios into sketches: histograms over logarithmic buckets, which bound the relative error of every
-quantile and merge by adding counts. Sketches of small (language, source) cells are replaced by the
-merged sketch of the language, and those by that of all documents. A ratio beyond the fence
+quantile and merge by adding counts. The quantiles of a (language, source) cell are those of its own
+sketch and that of its language, which counts as ``LEAST_DOCUMENTS`` documents; so does the sketch of all
+documents in that of a language, except for the word length, which differs between languages. A cell
+thus has fences at every size, and they move from its language's to its own as it grows. A ratio beyond the fence
 ``median + reach * (upper quartile - median)`` (and at least ``slack`` over the median) rejects a
 document; the mean word length has a lower fence too.
 
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkrank.llm.tables import map_batches, materialised, row_column
@@ -31,8 +33,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 #: Relative width of a sketch bucket.
 GAMMA = 1.02
-#: A cell needs so many documents to have thresholds of its own.
-LEAST_DOCUMENTS = 200
+#: The sketch a cell is shrunk towards counts as so many documents: with this many the cell weighs as much.
+LEAST_DOCUMENTS = 50
 
 
 @dataclass(frozen=True)
@@ -43,12 +45,14 @@ class Rule:
     reach: float
     slack: float
     both_sides: bool = False
+    #: Whether languages are comparable, so that small ones lean on all documents.
+    any_language: bool = True
 
 
 RULES = (
     Rule("symbols_per_word", 6.0, 0.1),
     Rule("dup_lines_per_word", 12.0, 0.05),
-    Rule("chars_per_word", 6.0, 1.4, both_sides=True),
+    Rule("chars_per_word", 6.0, 1.4, both_sides=True, any_language=False),
 )
 
 
@@ -107,15 +111,6 @@ def _bucket(value: F.Column) -> F.Column:
     return F.when(value > 0, F.greatest(step, F.lit(0))).otherwise(-1)
 
 
-def _middle(bucket: F.Column) -> F.Column:
-    """The value whose relative distance to the ends of its bucket is the same."""
-    value = F.lit(1e-9) * F.pow(F.lit(GAMMA), bucket) * F.lit(2 / (1 + GAMMA))
-    return F.when(bucket < 0, F.lit(0.0)).otherwise(value)
-
-
-LEVELS = (("lang", "source"), ("lang",), ())
-
-
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, rule, bucket, documents): one sketch per cell, mergeable by addition."""
     fed = counted.filter(~F.col("base_failed"))
@@ -129,65 +124,67 @@ def sketches(counted: DataFrame) -> DataFrame:
     )
 
 
-def _quantiles(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Median and upper and lower quartile of each merged sketch with enough documents."""
-    merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("documents").alias("documents"))
-    cell = Window.partitionBy(*keys, "rule")
-    running = merged.withColumns(
-        {
-            "upto": F.sum("documents").over(cell.orderBy("bucket")),
-            "total": F.sum("documents").over(cell),
-        }
-    ).filter(F.col("total") >= LEAST_DOCUMENTS)
+def _middle(bucket: int) -> float:
+    """The value whose relative distance to the ends of its bucket is the same."""
+    return 0.0 if bucket < 0 else 1e-9 * GAMMA**bucket * 2 / (1 + GAMMA)
 
-    def quantile(q: float) -> F.Column:
-        reached = F.col("upto") >= F.ceil(F.col("total") * q)
-        return _middle(F.min(F.when(reached, F.col("bucket"))))
 
-    return running.groupBy(*keys, "rule").agg(
-        quantile(0.25).alias("low"), quantile(0.5).alias("median"), quantile(0.75).alias("high")
-    )
+Sketch = dict[int, float]
 
 
-def _fences(sketch: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per cell: the fences of all rules as a map rule -> (from, to)."""
-    def fact(rule: Rule) -> F.Column:
-        return F.struct(
-            F.lit(rule.reach).alias("reach"), F.lit(rule.slack).alias("slack"), F.lit(rule.both_sides).alias("both")
-        )
+def _leaning(own: Sketch, parent: Sketch) -> Sketch:
+    """The sketch with the parent's, scaled to ``LEAST_DOCUMENTS`` documents, added to it."""
+    scale = LEAST_DOCUMENTS / sum(parent.values())
+    return {b: own.get(b, 0) + scale * parent.get(b, 0) for b in sorted({*own, *parent})}
 
-    facts = F.create_map(*[x for r in RULES for x in (F.lit(r.name), fact(r))])
-    rows = _quantiles(sketch, keys).withColumn("f", F.element_at(facts, F.col("rule")))
-    over = F.greatest(F.col("f.reach") * (F.col("high") - F.col("median")), F.col("f.slack"))
-    under = F.greatest(F.col("f.reach") * (F.col("median") - F.col("low")), F.col("f.slack"))
-    rows = rows.select(
-        *keys,
-        "rule",
-        F.when(F.col("f.both"), F.col("median") - under).otherwise(F.lit(-1.0)).alias("from"),
-        (F.col("median") + over).alias("to"),
-    )
-    entries = F.collect_list(F.struct("rule", F.struct("from", "to")))
-    return rows.groupBy(*keys).agg(F.map_from_entries(entries).alias("fences"))
+
+def _fence(rule: Rule, own: Sketch, of_lang: Sketch, of_all: Sketch) -> tuple[float, float]:
+    merged = _leaning(own, _leaning(of_lang, of_all) if rule.any_language else of_lang)
+    buckets, upto = list(merged), np.cumsum(list(merged.values()))
+    reached = np.searchsorted(upto, upto[-1] * (np.array([0.25, 0.5, 0.75]) - 1e-12))
+    low, median, high = (_middle(buckets[i]) for i in reached)
+    over = max(rule.reach * (high - median), rule.slack)
+    under = max(rule.reach * (median - low), rule.slack)
+    return median - under if rule.both_sides else -1.0, median + over
+
+
+def _fences(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rules = {r.name: r for r in RULES}
+
+    def sketch(entries: list[dict]) -> Sketch:
+        return {x["bucket"]: x["documents"] for x in entries}
+
+    found = [
+        _fence(rules[x["rule"]], *[sketch(x[c]) for c in ("own", "of_lang", "of_all")])
+        for x in batch.select(["rule", "own", "of_lang", "of_all"]).to_pylist()
+    ]
+    ends = [pa.array([x[i] for x in found], pa.float64()) for i in range(2)]
+    arrays = [*[batch.column(c) for c in ("lang", "source", "rule")], *ends]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "rule", "from", "to"])
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """(lang, source, fences) for every cell; small cells take those of the language, then of all.
+    """(lang, source, fences) for every cell: the fences of all rules as a map rule -> (from, to).
 
-    Cells hold a few rules each, so the table is as long as there are pairs of language and source.
+    Cells hold a few rules each, so the table is as long as there are pairs of language and source. The
+    sketches of languages have some hundred buckets each and go to every task.
     """
     sketch = materialised(sketches(counted))
-    cells = sketch.select("lang", "source").distinct()
-    own = _fences(sketch, ("lang", "source")).select(
-        F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), F.col("fences").alias("own")
-    )
-    by_lang = _fences(sketch, ("lang",)).select(F.col("lang").alias("of_lang"), F.col("fences").alias("of_the_lang"))
-    overall = _fences(sketch, ()).select(F.col("fences").alias("of_all"))
-    joined = cells.join(
-        own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left"
-    ).join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    # One row, or none when fewer documents than a cell needs are left.
-    joined = joined.join(F.broadcast(overall), F.lit(True), "left")
-    return joined.select("lang", "source", F.coalesce("own", "of_the_lang", "of_all").alias("fences"))
+
+    def listed(name: str, *keys: str) -> DataFrame:
+        merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("documents").alias("documents"))
+        return merged.groupBy(*keys, "rule").agg(F.collect_list(F.struct("bucket", "documents")).alias(name))
+
+    own = listed("own", "lang", "source")
+    by_lang = listed("of_lang", "lang").select(F.col("lang").alias("lang_"), F.col("rule").alias("rule_"), "of_lang")
+    overall = listed("of_all")
+    joined = own.join(
+        F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("rule") == F.col("rule_"))
+    ).join(F.broadcast(overall), "rule")
+    schema = own.select("lang", "source", "rule").schema.add("from", "double").add("to", "double")
+    rows = map_batches(joined.select("lang", "source", "rule", "own", "of_lang", "of_all"), _fences, schema)
+    entries = F.collect_list(F.struct("rule", F.struct("from", "to")))
+    return rows.groupBy("lang", "source").agg(F.map_from_entries(entries).alias("fences"))
 
 
 def judged(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

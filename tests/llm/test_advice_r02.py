@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chunkrank.llm import fuzzy_lines, packing, secrets  # noqa: E402
+from chunkrank.llm import fuzzy_lines, packing, quality, secrets  # noqa: E402
 from chunkrank.llm.tables import vocabulary  # noqa: E402
 
 
@@ -75,3 +75,19 @@ def test_secrets_beside_what_the_allow_list_explains(text, wanted):
 @pytest.mark.parametrize("text", ["20240115T123000Z-backup-server", "key-1234567890abcdef-example", "my_example_xxxxxxxxxxxxxxxx"])
 def test_dates_and_placeholders_alone_are_no_secrets(text):
     assert secrets.spans(text.encode()) == []
+
+
+def test_quality_fences_at_every_size(spark):
+    """Junk goes from small tables, and a rare language is not judged by the words of another."""
+    prose = "the river had risen in the night and by morning the lower fields lay under water for us all"
+
+    def documents(n, lang, text):
+        return [(text(i), lang, f"source{i % 3}") for i in range(n)]
+
+    english = documents(300, "en", lambda i: f"{prose} {' '.join('abcdefgh'[j] * 4 for j in range(2 + i % 6))}")
+    chinese = documents(5, "zh", lambda i: " ".join(["河水在夜里上涨到了早晨低处的田地已经被水淹没了" * 2 + chr(0x4E00 + i + j) for j in range(30)]))
+    junk = documents(3, "en", lambda i: f"{prose} {' '.join(chr(97 + j) + '#*$%' for j in range(20))}")
+    for rows in ([*english, *chinese, *junk], [*english[:12], *junk], [*english[:196], *junk], [*english[:197], *junk]):
+        docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+        kept = {r.doc_id for r in quality.judged(docs).filter("kept").select("row.doc_id").collect()}
+        assert kept == {i for i, r in enumerate(rows) if r not in junk}
