@@ -32,9 +32,14 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 WORD = re.compile(r"[a-z]+")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
+#: Class words that tell of a sidebar or menu elsewhere.
+ELSEWHERE = re.compile(r"(?<![a-z])(?:no|without|has|with|hide)[-_]+[a-z]+")
 
 # Fixed values of HTML: elements by what they mean for flat text.
-RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "xmp"}
+RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "xmp"}
+#: Without an end tag these go on to the end of the page.
+TO_THE_END = {"script", "style", "title", "textarea", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
@@ -55,6 +60,9 @@ HINTS = set(
     "replies respond reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar "
     "alert complementary contentinfo reactions feedback discussion teaser tags byline widget widgets".split()
 )
+# Words that mark the article, and those of elements that lay out others.
+CONTENT = {"main", "article", "content", "post", "entry", "story"}
+LAYOUT = {"wrap", "wrapper", "container", "layout", "outer", "grid", "row", "columns"}
 
 
 @dataclass(slots=True)
@@ -73,14 +81,15 @@ class Block:
 class _Open:
     tag: str
     boilerplate: bool
-    hinted: bool
+    #: 1 under a layout element with a hint, which the article below it ends; 2 under any other with a hint.
+    hinted: int
     main: bool
 
 
 def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
-    stack = [_Open("", False, False, False)]
+    stack = [_Open("", False, 0, False)]
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -94,7 +103,7 @@ def blocks(html: str) -> list[Block]:
                 top = stack[-1]
                 n_linked = min(len(words), len(references.unescape("".join(linked)).split()))
                 out.append(
-                    Block(" ".join(words), len(words), n_linked, top.boilerplate, top.hinted, top.main, heading, item)
+                    Block(" ".join(words), len(words), n_linked, top.boilerplate, top.hinted > 0, top.main, heading, item)
                 )
             parts.clear()
             linked.clear()
@@ -114,8 +123,9 @@ def blocks(html: str) -> list[Block]:
         closing = match[1] or match[4]
         tag = (match[2] or match[5] or "").lower()
         if tag in RAW and not closing:
-            found = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = found.end() if found else end
+            if not SELF_CLOSED.search(match[3] or match[6] or ""):
+                found = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at = found.end() if found else end if tag in TO_THE_END else at
         elif tag == "a":
             in_link = not closing
             linked.append(" ")
@@ -134,13 +144,20 @@ def blocks(html: str) -> list[Block]:
                     stack.pop()
                 top = stack[-1]
                 named = " ".join("".join(x) for x in NAMED.findall(match[3] or match[6] or "")).lower()
-                words = set(WORD.findall(named))
+                words = set(WORD.findall(ELSEWHERE.sub(" ", named)))
                 hinted = bool(words & HINTS) and tag not in ("html", "body")
-                main = top.main or tag in MAIN or bool(words & {"main", "article", "content", "post", "entry", "story"})
+                main = top.main or tag in MAIN or bool(words & CONTENT)
                 own = tag in BOILERPLATE or (tag == "header" and not top.main)
                 if hinted and tag in MAIN and not words <= {"comment", "comments", "teaser", "related"}:
                     hinted = bool(words & {"comment", "comments", "teaser", "related"})
-                stack.append(_Open(tag, top.boilerplate or own, top.hinted or hinted, main))
+                laid_out = bool(words & LAYOUT)
+                if hinted and not (laid_out and words & CONTENT):
+                    hint = max(top.hinted, 1 if laid_out else 2)
+                elif tag == "main" or (top.hinted == 1 and (tag in MAIN or words & CONTENT)):
+                    hint = 0
+                else:
+                    hint = top.hinted
+                stack.append(_Open(tag, top.boilerplate or own, hint, main))
             heading = not closing and tag in HEADINGS
             item = not closing and tag in ("li", "dt", "dd")
     flush()
@@ -368,6 +385,26 @@ FRAMES = (
     -<footer>@6</footer></article>
     -<aside class=widget>@28</aside>
     """,
+    """
+    -<nav><a href=x>@1</a> <a href=x>@2</a></nav>
+    +<div class="content-sidebar-wrap"><div class=content><h1>@6</h1>
+    +<p>@45 <math><mi>@1</mi><mo>@1</mo></math> @12</p>
+    +<p>@30 <svg width="9"/> @8</p>
+    +<p><object data=x>@20</object></p>
+    +<p>@7</p></div>
+    -<div class=sidebar><p>@33</p>
+    -<p>@11</p></div></div>
+    -<footer>@9</footer>
+    """,
+    """
+    -<div class=topbar>@4</div>
+    -<div class="sidebar-wrapper"><div class=widget>@25</div>
+    +<article><h1>@7</h1>
+    +<p>@52</p>
+    +<p>@4</p>
+    +<p>@36</p></article>
+    -<div class=comments><p>@40</p></div></div>
+    """,
 )
 MAIN_MARK, OTHER_MARK = "\ue000", "\ue001"
 

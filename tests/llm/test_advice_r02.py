@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chunkrank.llm import fuzzy_lines, packing, quality, secrets  # noqa: E402
+from chunkrank.llm import fuzzy_lines, main_text, packing, quality, secrets  # noqa: E402
 from chunkrank.llm.tables import vocabulary  # noqa: E402
 
 
@@ -91,3 +91,31 @@ def test_quality_fences_at_every_size(spark):
         docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
         kept = {r.doc_id for r in quality.judged(docs).filter("kept").select("row.doc_id").collect()}
         assert kept == {i for i, r in enumerate(rows) if r not in junk}
+
+
+PARAGRAPHS = [" ".join(["the river had risen in the night and the farmers walked along the dyke"] * n) for n in (2, 4, 3)]
+
+
+@pytest.mark.parametrize(
+    "before, between, after",
+    [
+        ("<div class='content-sidebar-wrap'><div class='content'>", "", "</div><div class=sidebar><p>see also</p></div></div>"),
+        ("<div class='sidebar-wrapper'><article>", "", "</article></div>"),
+        ("<div class='no-sidebar'>", "", "</div>"),
+        ("<article>", "<svg width='9' height='9'/>", "</article>"),
+        ("<article>", "<math/>", "</article>"),
+        ("<article>", "<p>where <math><mi>velocity</mi></math> holds <object data=x>fallback words</object> for all of us</p>", "</article>"),
+    ],
+)
+def test_main_text_keeps_the_article(before, between, after):
+    page = f"<html><body>{before}<h1>Of rivers</h1><p>{PARAGRAPHS[0]}</p>{between}<p>{PARAGRAPHS[1]}</p><p>{PARAGRAPHS[2]}</p>{after}</body></html>"
+    text = main_text.main_text(page, main_text.trained())
+    assert [p for p in PARAGRAPHS if p not in text.split("\n\n")] == []
+    assert "see also" not in text
+    if "object" in between:
+        assert "where velocity holds fallback words for all of us" in text
+
+
+def test_main_text_drops_comments_below_a_hint():
+    page = f"<html><body><article><p>{PARAGRAPHS[1]}</p></article><div class=comments><div class=content><p>{PARAGRAPHS[0]}</p></div></div></body></html>"
+    assert main_text.main_text(page, main_text.trained()) == PARAGRAPHS[1]
