@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chunkrank.llm import archives, exact, fuzzy_lines, main_text, near_dups, packing, quality, secrets, substrings, subwords
+from chunkrank.llm import (
+    archives,
+    audit_sql,
+    exact,
+    filter_audit,
+    fuzzy_lines,
+    main_text,
+    near_dups,
+    packing,
+    quality,
+    secrets,
+    source_audit,
+    substrings,
+    subwords,
+)
 from chunkrank.llm.tables import read, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +74,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-REGISTERED: tuple[Query, ...] = (op1_sentencepiece, op2_main_text, op3_minhash_near_dedup, op4_warc, op5_exact_dedup, op6_substring_dedup, op7_quality_rules, op8_secret_scans, op9_best_fit_packing, op10_line_dedup)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each source apart."""
+    return source_audit.audited(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five quality filters in all orders: what each step keeps, removes and loses, per language."""
+    return filter_audit.audited(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+REGISTERED: tuple[Query, ...] = (
+    op1_sentencepiece,
+    op2_main_text,
+    op3_minhash_near_dedup,
+    op4_warc,
+    op5_exact_dedup,
+    op6_substring_dedup,
+    op7_quality_rules,
+    op8_secret_scans,
+    op9_best_fit_packing,
+    op10_line_dedup,
+    op11_source_divergence,
+    op13_filter_interaction,
+)
 
 
 def queries() -> dict[str, Query]:
@@ -82,4 +119,8 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, digest AS text_sha256 FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {
+        "op5_exact_dedup": OP5_SQL,
+        "op11_source_divergence": audit_sql.SOURCE_AUDIT,
+        "op13_filter_interaction": audit_sql.FILTER_AUDIT,
+    }
