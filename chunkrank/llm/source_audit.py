@@ -2,12 +2,12 @@
 
 Words are strings of any length, so they stay where they were read as long as possible:
 
-1. One pass counts terms per (language, source). A task combines what it reads and writes rows
-   (language, source, term, digest, occurrences, documents); the digest is 64 bits.
-2. From that table only digests and counts are shuffled, to find the digests with enough documents in
-   their language. Only of these the smallest and the largest string are gathered. Where the two
-   differ, terms collide: such a digest is split, its terms are told apart by their strings from then
-   on, and each has to have enough documents of its own.
+1. A first pass shuffles only (digest, documents), combined within batches and tasks, to find the
+   digests (64 bits of the term and its language) with enough documents.
+2. A second pass counts those digests per (language, source), again as numbers. Beside the counts it
+   names the strings it met, each once a batch. Of a digest's strings only the smallest and the largest
+   are gathered. Where the two differ, terms collide: such a digest is split, its terms are told apart
+   by their strings from then on, and each has to have enough documents of its own.
 3. Counts per source and term meet as numbers. Shares are whole billionths, by long division in three
    steps of a thousand, so nothing is rounded and nothing overflows below 9e15 occurrences.
 4. Pairs of sources: terms are dealt into shares of bounded size, and sources into blocks, so a task
@@ -24,8 +24,6 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkrank.llm.runs import byte_class, coded, runs
-from chunkrank.llm.tables import materialised
-from chunkrank.llm.words import Texts, slices
+from chunkrank.llm.tables import map_batches, materialised
+from chunkrank.llm.words import Texts, keyed, slices
 
 LEAST_DOCUMENTS = 10
 TOP = 10
@@ -44,114 +42,156 @@ IN_TERM = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 0x20
 
-#: A task writes its counts when they have become so large, combined or not.
-HELD_BYTES = 48 << 20
 #: Rows of (source, term) in a share of terms, and sources in a block.
 SHARE_ROWS = 500_000
 BLOCK = 256
-#: Kept digests are sent to every task up to so many (16 bytes each), else they meet by a shuffle.
+#: Digests that every task gets as numbers, 8 bytes each; more than these meet by a shuffle.
 SENT_DIGESTS = 1_000_000
 TERM = ("lang", "digest", "split")
 
 
-def _counts(texts: Texts, cells: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Cell, term, occurrences and documents of every term in a slice; ``cells`` has one per row."""
-    found, row = runs(LOWERED[texts.data], texts.offsets, IN_TERM[texts.data])
-    codes, terms = coded(found)
-    size = max(1, len(terms))
-    each, occurrences = np.unique(row * size + codes, return_counts=True)
-    key = cells[each // size] * size + each % size
-    order = np.argsort(key, kind="stable")
-    key, occurrences = key[order], occurrences[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    summed = np.add.reduceat(occurrences, first) if len(first) else first
-    documents = np.diff(np.append(first, len(key)))
-    return key[first] // size, terms.take(pa.array(key[first] % size)), summed, documents
+def _summed(keys: tuple[np.ndarray, ...], numbers: tuple[np.ndarray, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Adds up the numbers of equal keys."""
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], [np.add.reduceat(n[order], first) if len(first) else n for n in numbers]
+
+
+class _Batch:
+    """The terms of an Arrow batch: per distinct (cell, term) its digest, occurrences and documents."""
+
+    def __init__(self, batch: pa.RecordBatch, digest_bits: int, wanted: np.ndarray | None = None):
+        lang, source = (batch.column(n).dictionary_encode() for n in ("lang", "source"))
+        self.langs, self.sources = lang.dictionary, source.dictionary
+        lang_of_row = lang.indices.to_numpy().astype(np.int64)
+        cell_of_row = lang_of_row * max(1, len(self.sources)) + source.indices.to_numpy()
+        name = _texts(self.langs.cast(pa.large_string()))
+        of_lang = name.hashes(name.offsets[:-1], name.offsets[1:])
+        numbers: list[list[np.ndarray]] = [[], [], [], []]
+        strings: list[list] = [[], [], []]
+        for texts in slices(batch.column("text")):
+            found, row = runs(LOWERED[texts.data], texts.offsets, IN_TERM[texts.data])
+            codes, terms = coded(found)
+            if not len(terms):
+                continue
+            size = len(terms)
+            each, occurrences = np.unique(row * size + codes, return_counts=True)
+            cell = cell_of_row[texts.first + each // size]
+            one = np.ones(len(each), np.int64)
+            (term, cell), (occurrences, documents) = _summed((each % size, cell), (occurrences, one))
+            own = _texts(terms)
+            of_term = own.hashes(own.offsets[:-1], own.offsets[1:])
+            lang_no = cell // max(1, len(self.sources))
+            digest = (keyed(of_term[term], of_lang[lang_no]) >> np.uint64(64 - digest_bits)).view(np.int64)
+            if wanted is not None:
+                held = wanted[np.minimum(np.searchsorted(wanted, digest), len(wanted) - 1)] == digest if len(wanted) else digest < digest
+                term, cell, digest, lang_no, occurrences, documents = (x[held] for x in (term, cell, digest, lang_no, occurrences, documents))
+            for column, values in zip(numbers, (digest, cell, occurrences, documents)):
+                column.append(values)
+            for column, values in zip(strings, (digest, cell, terms.take(pa.array(term)))):
+                column.append(values)
+        none = [np.zeros(0, np.int64)]
+        self.digest, self.cell, self.occurrences, self.documents = (np.concatenate(c + none) for c in numbers)
+        self.terms = pa.concat_arrays(strings[2]) if strings[2] else pa.array([], pa.large_string())
+
+    def lang(self, cell: np.ndarray) -> pa.Array:
+        return self.langs.take(pa.array(cell // max(1, len(self.sources))))
+
+    def source(self, cell: np.ndarray) -> pa.Array:
+        return self.sources.take(pa.array(cell % max(1, len(self.sources))))
+
+
+def _texts(strings: pa.Array) -> Texts:
+    """Strings as bytes and offsets, for their hashes."""
+    return next(slices(strings, 1 << 62), Texts(0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+
+
+def _cleaned(documents: DataFrame, columns: tuple[str, str, str]) -> DataFrame:
+    return documents.select(
+        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in zip(columns, ("text", "lang", "source"))]
+    )
 
 
-def partial_counts(documents: DataFrame, columns: tuple[str, str, str] = ("text", "lang", "source"), digest_bits: int = 64) -> DataFrame:
-    """(lang, source, term, digest, occurrences, documents), combined within tasks, written once.
+def frequent_digests(rows: DataFrame, least: int, digest_bits: int = 64) -> DataFrame:
+    """(digest) of terms in ``least`` documents of a language; the digest depends on the language too.
 
-    A row with a null term only says that the source occurs.
+    Only digests and numbers are shuffled, combined by batch and by task before.
     """
-    filled = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in zip(columns, ("text", "lang", "source"))]
-    keys = ["lang", "source", "term"]
-
-    def combined(parts: list[pa.Table]) -> pa.Table:
-        whole = pa.concat_tables(parts).group_by(keys).aggregate([("occurrences", "sum"), ("documents", "sum")])
-        return whole.rename_columns({"occurrences_sum": "occurrences", "documents_sum": "documents"}).select(names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        fresh = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            lang, source = (batch.column(n).dictionary_encode() for n in ("lang", "source"))
-            many = len(source.dictionary)
-            cell_of_row = lang.indices.to_numpy().astype(np.int64) * many + source.indices.to_numpy()
-
-            def rows(cell: np.ndarray, term: pa.Array, occurrences: np.ndarray, documents: np.ndarray) -> pa.Table:
-                at = [lang.dictionary.take(pa.array(cell // many)), source.dictionary.take(pa.array(cell % many))]
-                numbers = [pa.array(x.astype(np.int64)) for x in (occurrences, documents)]
-                return pa.table([*[x.cast(pa.large_string()) for x in (*at, term)], *numbers], names=names)
-
-            own = np.unique(cell_of_row)
-            none = np.zeros(len(own), np.int64)
-            parts = [rows(own, pa.nulls(len(own), pa.large_string()), none, none)]
-            for texts in slices(batch.column("text")):
-                parts.append(rows(*_counts(texts, cell_of_row[texts.first : texts.first + texts.rows])))
-            for part in parts:
-                held.append(part)
-                fresh += part.nbytes
-                if fresh > HELD_BYTES:
-                    held = [combined(held)]
-                    fresh = 0
-                    if held[0].nbytes > HELD_BYTES:
-                        yield from held[0].cast(arrow).to_batches(max_chunksize=1 << 16)
-                        held = []
-        if held:
-            yield from combined(held).cast(arrow).to_batches(max_chunksize=1 << 16)
-
-    names = [*keys, "occurrences", "documents"]
-    arrow = pa.schema([*[(k, pa.string()) for k in keys], ("occurrences", pa.int64()), ("documents", pa.int64())])
-    schema = "lang string, source string, term string, occurrences long, documents long"
-    digest = F.xxhash64("term")
-    if digest_bits < 64:
-        digest = F.shiftrightunsigned(digest, 64 - digest_bits)
-    return materialised(documents.select(*filled).mapInArrow(count, schema).withColumn("digest", digest))
-
-
-def kept_terms(partial: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _Batch(batch, digest_bits)
+        (digest,), (documents,) = _summed((found.digest,), (found.documents,))
+        return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(documents)], names=["digest", "documents"])
+
+    each = map_batches(rows, count, "digest long, documents long")
+    return materialised(each.groupBy("digest").agg(F.sum("documents").alias("n")).filter(F.col("n") >= least).select("digest"))
+
+
+def counted_terms(rows: DataFrame, digests: DataFrame, digest_bits: int = 64, by_text: bool = False) -> DataFrame:
+    """Counts of the terms behind ``digests``, combined by batch: (lang, source, digest, term, n, documents).
+
+    ``term`` is null in these rows; further rows, without a source, have the strings of a digest, each
+    once a batch. ``by_text`` counts every string of a digest by itself instead.
+    """
+    few = digests.count() <= SENT_DIGESTS
+    # At most SENT_DIGESTS numbers, counted just before.
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(digests.toArrow()["digest"].to_numpy())) if few else None
+
+    def rows_of(found: _Batch, digest: np.ndarray, cell: np.ndarray, source: pa.Array, term: pa.Array, *numbers: np.ndarray) -> pa.Table:
+        arrays = [found.lang(cell), source, pa.array(digest), term.cast(pa.string()), *map(pa.array, numbers)]
+        return pa.table(arrays, names=["lang", "source", "digest", "term", "n", "documents"])
+
+    def count(batch: pa.RecordBatch) -> pa.Table:
+        found = _Batch(batch, digest_bits, sent.value if few else None)
+        code, names = coded(found.terms)
+        numbers = (found.occurrences, found.documents)
+        if by_text:
+            (code, digest, cell), summed = _summed((code, found.digest, found.cell), numbers)
+            return rows_of(found, digest, cell, found.source(cell), names.take(pa.array(code)), *summed)
+        (digest, cell), summed = _summed((found.digest, found.cell), numbers)
+        counts = rows_of(found, digest, cell, found.source(cell), pa.nulls(len(cell), pa.string()), *summed)
+        # A string once for each language; any of its sources will do to name that.
+        lang_no = found.cell // max(1, len(found.sources))
+        (code, digest, lang_no), _ = _summed((code, found.digest, lang_no), ())
+        none = np.zeros(len(code), np.int64)
+        cell = lang_no * max(1, len(found.sources))
+        texts = rows_of(found, digest, cell, pa.nulls(len(code), pa.string()), names.take(pa.array(code)), none, none)
+        return pa.concat_tables([counts, texts])
+
+    counted = map_batches(rows, count, "lang string, source string, digest long, term string, n long, documents long")
+    return materialised(counted if few else counted.join(digests, "digest", "left_semi").select(*counted.columns))
+
+
+def kept_terms(rows: DataFrame, least: int = LEAST_DOCUMENTS, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Of the terms in ``least`` documents of their language: counts per source, and texts.
 
     Counts: (lang, source, digest, split, n, total). ``split`` is the term itself where its digest
     stands for several, else empty. Texts: (lang, digest, low), with the text of unsplit digests.
     """
-    terms = partial.filter(F.col("term").isNotNull())
-    often = (
-        terms.select("lang", "digest", "documents").groupBy("lang", "digest").agg(F.sum("documents").alias("n")).filter(F.col("n") >= least)
-    )
-    often = materialised(often.select("lang", "digest"))
-    if often.count() <= SENT_DIGESTS:
-        often = F.broadcast(often)
-    mine = terms.join(often, ["lang", "digest"])
-    texts = materialised(mine.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
-    collided = texts.filter("low <> high").select("lang", "digest", F.lit(True).alias("collided"))
-    counts = mine.select("lang", "digest", "source", F.lit("").alias("split"), "occurrences", "documents")
+    often = frequent_digests(rows, least, digest_bits)
+    found = counted_terms(rows, often, digest_bits)
+    named = found.filter("source is null").groupBy("lang", "digest")
+    texts = materialised(named.agg(F.min("term").alias("low"), F.max("term").alias("high")))
+    collided = texts.filter("low <> high").select("digest").distinct()
+    counts = found.filter("source is not null").select("lang", "source", "digest", F.lit("").alias("split"), "n", "documents")
     if not collided.isEmpty():
-        split = F.when(F.col("collided"), F.col("term")).otherwise(F.lit("")).alias("split")
-        counts = mine.join(collided, ["lang", "digest"], "left").select("lang", "digest", "source", split, "occurrences", "documents")
+        collided = materialised(collided)
+        split = counted_terms(rows, collided, digest_bits, by_text=True).withColumnRenamed("term", "split")
+        counts = counts.join(collided, "digest", "left_anti").unionByName(split)
     each = materialised(
-        counts.groupBy("lang", "digest", "split", "source").agg(F.sum("occurrences").alias("n"), F.sum("documents").alias("documents"))
+        counts.groupBy("lang", "digest", "split", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     )
     totals = each.groupBy(*TERM).agg(F.sum("n").alias("total"), F.sum("documents").alias("documents")).filter(F.col("documents") >= least)
     return materialised(each.drop("documents").join(totals.drop("documents"), list(TERM))), texts.select("lang", "digest", "low")
 
 
-def groups(partial: DataFrame, counts: DataFrame) -> DataFrame:
+def groups(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Every (lang, source): source_no, sources, n_source, n_lang and terms of the language."""
-    found = partial.select("lang", "source").distinct()
+    found = rows.select("lang", "source").distinct()
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_source"))
     terms = counts.groupBy(*TERM).agg(F.first("total").alias("total"))
     of_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("n_lang"))
@@ -269,9 +309,9 @@ def audited(
     digest_bits: int = 64,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` rows for all other sources, ``term`` rows to ``top``."""
-    partial = partial_counts(documents, columns, digest_bits)
-    counts, texts = kept_terms(partial, least)
-    cells = groups(partial, counts)
+    rows = _cleaned(documents, columns)
+    counts, texts = kept_terms(rows, least, digest_bits)
+    cells = groups(rows, counts)
 
     each = pair_values(counts, cells)
     ends = F.inline(F.array(*[F.struct(F.col(x).alias("mine"), F.col(y).alias("other"), "value") for x, y in ("ab", "ba")]))
