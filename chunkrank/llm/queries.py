@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chunkrank.llm import (
     archives,
-    audit_sql,
     exact,
     filter_audit,
     fuzzy_lines,
@@ -20,8 +19,10 @@ from chunkrank.llm import (
     quality,
     secrets,
     source_audit,
+    sql,
     substrings,
     subwords,
+    suffix_arrays,
 )
 from chunkrank.llm.tables import read, vocabulary
 
@@ -79,6 +80,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audited(read(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that documents of smaller ids hold."""
+    return suffix_arrays.cleaned(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five quality filters in all orders: what each step keeps, removes and loses, per language."""
     return filter_audit.audited(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -96,6 +102,7 @@ REGISTERED: tuple[Query, ...] = (
     op9_best_fit_packing,
     op10_line_dedup,
     op11_source_divergence,
+    op12_suffix_array_dedup,
     op13_filter_interaction,
 )
 
@@ -121,6 +128,7 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, digest AS text_sha256 FROM
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": OP5_SQL,
-        "op11_source_divergence": audit_sql.SOURCE_AUDIT,
-        "op13_filter_interaction": audit_sql.FILTER_AUDIT,
+        "op11_source_divergence": sql.SOURCE_AUDIT,
+        "op12_suffix_array_dedup": sql.SUFFIX_ARRAY_DEDUP,
+        "op13_filter_interaction": sql.FILTER_AUDIT,
     }

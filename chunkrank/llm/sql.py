@@ -1,4 +1,4 @@
-"""The audits of sources and filters as DuckDB SQL."""
+"""The operators of this round as DuckDB SQL."""
 
 SOURCE_AUDIT = r"""
 WITH texts AS (
@@ -83,3 +83,31 @@ SELECT part, filter_order, step, filter, kept::BIGINT AS kept, removed::BIGINT A
     (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
 FROM counted
 """
+
+SUFFIX_ARRAY_DEDUP = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS place, doc_id, coalesce(doc_id, 9223372036854775807) AS id_order,
+        hex(encode(coalesce(text, ''))) AS digits
+    FROM documents
+), bytes AS (
+    SELECT place, id_order, p, substr(digits, 2 * p + 1, 2) AS byte, substr(digits, 2 * p + 1, 100) AS string
+    FROM (SELECT *, unnest(range(length(digits) // 2)) AS p FROM texts)
+), firsts AS (
+    SELECT string, min(id_order) AS low FROM bytes WHERE length(string) = 100 GROUP BY string
+), marked AS (
+    SELECT place, p, byte, coalesce(low < id_order, false)::INTEGER AS begins FROM bytes LEFT JOIN firsts USING (string)
+), gone AS (
+    SELECT place, p, byte,
+        max(begins) OVER (PARTITION BY place ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS removed
+    FROM marked
+), spans AS (
+    SELECT *, removed - coalesce(lag(removed) OVER (PARTITION BY place ORDER BY p), 0) = 1 AS opens FROM gone
+), cut AS (
+    SELECT place, count(*) AS n_bytes, sum(removed) AS n_removed, count(*) FILTER (opens) AS n_spans,
+        string_agg(CASE WHEN removed = 0 THEN byte ELSE '' END, '' ORDER BY p) AS kept
+    FROM spans GROUP BY place
+)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (place)
+"""
