@@ -24,6 +24,8 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,8 @@ SHARE_ROWS = 500_000
 BLOCK = 256
 #: Digests that every task gets as numbers, 8 bytes each; more than these meet by a shuffle.
 SENT_DIGESTS = 1_000_000
+#: Text that a task counts at a time, within an Arrow batch.
+PART_BYTES = 8 << 20
 TERM = ("lang", "digest", "split")
 
 
@@ -61,48 +65,54 @@ def _summed(keys: tuple[np.ndarray, ...], numbers: tuple[np.ndarray, ...]) -> tu
     return [k[first] for k in keys], [np.add.reduceat(n[order], first) if len(first) else n for n in numbers]
 
 
-class _Batch:
-    """The terms of an Arrow batch: per distinct (cell, term) its digest, occurrences and documents."""
+class _Cells:
+    """The languages and sources of an Arrow batch, and the (language, source) cell of every row."""
 
-    def __init__(self, batch: pa.RecordBatch, digest_bits: int, wanted: np.ndarray | None = None):
+    def __init__(self, batch: pa.RecordBatch):
         lang, source = (batch.column(n).dictionary_encode() for n in ("lang", "source"))
         self.langs, self.sources = lang.dictionary, source.dictionary
-        lang_of_row = lang.indices.to_numpy().astype(np.int64)
-        cell_of_row = lang_of_row * max(1, len(self.sources)) + source.indices.to_numpy()
+        self.many = max(1, len(self.sources))
+        self.of_row = lang.indices.to_numpy().astype(np.int64) * self.many + source.indices.to_numpy()
         name = _texts(self.langs.cast(pa.large_string()))
-        of_lang = name.hashes(name.offsets[:-1], name.offsets[1:])
-        numbers: list[list[np.ndarray]] = [[], [], [], []]
-        strings: list[list] = [[], [], []]
-        for texts in slices(batch.column("text")):
-            found, row = runs(LOWERED[texts.data], texts.offsets, IN_TERM[texts.data])
-            codes, terms = coded(found)
-            if not len(terms):
-                continue
-            size = len(terms)
-            each, occurrences = np.unique(row * size + codes, return_counts=True)
-            cell = cell_of_row[texts.first + each // size]
-            one = np.ones(len(each), np.int64)
-            (term, cell), (occurrences, documents) = _summed((each % size, cell), (occurrences, one))
-            own = _texts(terms)
-            of_term = own.hashes(own.offsets[:-1], own.offsets[1:])
-            lang_no = cell // max(1, len(self.sources))
-            digest = (keyed(of_term[term], of_lang[lang_no]) >> np.uint64(64 - digest_bits)).view(np.int64)
-            if wanted is not None:
-                held = wanted[np.minimum(np.searchsorted(wanted, digest), len(wanted) - 1)] == digest if len(wanted) else digest < digest
-                term, cell, digest, lang_no, occurrences, documents = (x[held] for x in (term, cell, digest, lang_no, occurrences, documents))
-            for column, values in zip(numbers, (digest, cell, occurrences, documents)):
-                column.append(values)
-            for column, values in zip(strings, (digest, cell, terms.take(pa.array(term)))):
-                column.append(values)
-        none = [np.zeros(0, np.int64)]
-        self.digest, self.cell, self.occurrences, self.documents = (np.concatenate(c + none) for c in numbers)
-        self.terms = pa.concat_arrays(strings[2]) if strings[2] else pa.array([], pa.large_string())
+        self.hashes = name.hashes(name.offsets[:-1], name.offsets[1:])
 
     def lang(self, cell: np.ndarray) -> pa.Array:
-        return self.langs.take(pa.array(cell // max(1, len(self.sources))))
+        return self.langs.take(pa.array(cell // self.many))
 
     def source(self, cell: np.ndarray) -> pa.Array:
-        return self.sources.take(pa.array(cell % max(1, len(self.sources))))
+        return self.sources.take(pa.array(cell % self.many))
+
+
+def _counted(texts: Texts, cells: _Cells, digest_bits: int, wanted: np.ndarray | None) -> tuple[pa.Array, list[np.ndarray]]:
+    """Of a slice: the terms, and per distinct (term, cell) term number, cell, digest, occurrences, documents."""
+    found, row = runs(LOWERED[texts.data], texts.offsets, IN_TERM[texts.data])
+    codes, terms = coded(found)
+    size = max(1, len(terms))
+    each, occurrences = np.unique(row * size + codes, return_counts=True)
+    cell = cells.of_row[texts.first + each // size]
+    (term, cell), numbers = _summed((each % size, cell), (occurrences, np.ones(len(each), np.int64)))
+    own = _texts(terms)
+    digest = keyed(own.hashes(own.offsets[:-1], own.offsets[1:])[term], cells.hashes[cell // cells.many])
+    columns = [term, cell, (digest >> np.uint64(64 - digest_bits)).view(np.int64), *numbers]
+    if wanted is not None:
+        at = np.searchsorted(wanted, columns[2])
+        held = np.zeros(len(term), dtype=bool)
+        held[at < len(wanted)] = wanted[at[at < len(wanted)]] == columns[2][at < len(wanted)]
+        columns = [c[held] for c in columns]
+    return terms, columns
+
+
+def _parts(column: pa.Array) -> Iterator[list[Texts]]:
+    """The slices of a batch, some megabytes of them at a time."""
+    part, size = [], 0
+    for texts in slices(column):
+        part.append(texts)
+        size += len(texts.data)
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _texts(strings: pa.Array) -> Texts:
@@ -123,9 +133,15 @@ def frequent_digests(rows: DataFrame, least: int, digest_bits: int = 64) -> Data
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _Batch(batch, digest_bits)
-        (digest,), (documents,) = _summed((found.digest,), (found.documents,))
-        return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(documents)], names=["digest", "documents"])
+        cells = _Cells(batch)
+        digests, documents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in _parts(batch.column("text")):
+            found = [_counted(texts, cells, digest_bits, None)[1] for texts in part]
+            (digest,), (n,) = _summed((np.concatenate([f[2] for f in found]),), (np.concatenate([f[4] for f in found]),))
+            digests.append(digest)
+            documents.append(n)
+        (digest,), (n,) = _summed((np.concatenate(digests),), (np.concatenate(documents),))
+        return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(n)], names=["digest", "documents"])
 
     each = map_batches(rows, count, "digest long, documents long")
     return materialised(each.groupBy("digest").agg(F.sum("documents").alias("n")).filter(F.col("n") >= least).select("digest"))
@@ -141,26 +157,36 @@ def counted_terms(rows: DataFrame, digests: DataFrame, digest_bits: int = 64, by
     # At most SENT_DIGESTS numbers, counted just before.
     sent = rows.sparkSession.sparkContext.broadcast(np.sort(digests.toArrow()["digest"].to_numpy())) if few else None
 
-    def rows_of(found: _Batch, digest: np.ndarray, cell: np.ndarray, source: pa.Array, term: pa.Array, *numbers: np.ndarray) -> pa.Table:
-        arrays = [found.lang(cell), source, pa.array(digest), term.cast(pa.string()), *map(pa.array, numbers)]
-        return pa.table(arrays, names=["lang", "source", "digest", "term", "n", "documents"])
+    names = ["lang", "source", "digest", "term", "n", "documents"]
+
+    def rows_of(cells: _Cells, cell: np.ndarray, source: pa.Array, digest: np.ndarray, term: pa.Array, *numbers: np.ndarray) -> pa.Table:
+        arrays = [cells.lang(cell), source, pa.array(digest), term.cast(pa.string()), *map(pa.array, numbers)]
+        return pa.table(arrays, names=names)
 
     def count(batch: pa.RecordBatch) -> pa.Table:
-        found = _Batch(batch, digest_bits, sent.value if few else None)
-        code, names = coded(found.terms)
-        numbers = (found.occurrences, found.documents)
-        if by_text:
-            (code, digest, cell), summed = _summed((code, found.digest, found.cell), numbers)
-            return rows_of(found, digest, cell, found.source(cell), names.take(pa.array(code)), *summed)
-        (digest, cell), summed = _summed((found.digest, found.cell), numbers)
-        counts = rows_of(found, digest, cell, found.source(cell), pa.nulls(len(cell), pa.string()), *summed)
-        # A string once for each language; any of its sources will do to name that.
-        lang_no = found.cell // max(1, len(found.sources))
-        (code, digest, lang_no), _ = _summed((code, found.digest, lang_no), ())
-        none = np.zeros(len(code), np.int64)
-        cell = lang_no * max(1, len(found.sources))
-        texts = rows_of(found, digest, cell, pa.nulls(len(code), pa.string()), names.take(pa.array(code)), none, none)
-        return pa.concat_tables([counts, texts])
+        cells = _Cells(batch)
+        out = [rows_of(cells, np.zeros(0, np.int64), pa.nulls(0, pa.string()), np.zeros(0, np.int64), pa.nulls(0, pa.string()), *[np.zeros(0, np.int64)] * 2)]
+        for part in _parts(batch.column("text")):
+            found = [_counted(texts, cells, digest_bits, sent.value if few else None) for texts in part]
+            if by_text:
+                for terms, (term, cell, digest, *numbers) in found:
+                    out.append(rows_of(cells, cell, cells.source(cell), digest, terms.take(pa.array(term)), *numbers))
+                continue
+            cell, digest, n, documents = (np.concatenate([f[1][i] for f in found]) for i in range(1, 5))
+            (digest, cell), numbers = _summed((digest, cell), (n, documents))
+            out.append(rows_of(cells, cell, cells.source(cell), digest, pa.nulls(len(cell), pa.string()), *numbers))
+            strings, digests, langs = [], [], []
+            for terms, (term, cell, digest, *_) in found:
+                # A string once for each language, whatever its sources.
+                (term, digest, lang), _ = _summed((term, digest, cell // cells.many), ())
+                strings.append(terms.take(pa.array(term)))
+                digests.append(digest)
+                langs.append(lang)
+            code, named = coded(pa.concat_arrays(strings))
+            (code, digest, lang), _ = _summed((code, np.concatenate(digests), np.concatenate(langs)), ())
+            none = np.zeros(len(code), np.int64)
+            out.append(rows_of(cells, lang * cells.many, pa.nulls(len(code), pa.string()), digest, named.take(pa.array(code)), none, none))
+        return pa.concat_tables(out)
 
     counted = map_batches(rows, count, "lang string, source string, digest long, term string, n long, documents long")
     return materialised(counted if few else counted.join(digests, "digest", "left_semi").select(*counted.columns))
