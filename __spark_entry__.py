@@ -125,7 +125,7 @@ def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def singleton_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = views.singletons(w.passages(spark, sf_dir).corpus)
+    lists = views.singletons(w.passages(spark, sf_dir, labelled=False).corpus)
     return lists.select("doc_id", _joined("chunk_ids"), _joined("texts", " | "))
 
 
@@ -144,6 +144,44 @@ def context_filter_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.filter(query_in_length_bucket(F.col("qid"), 256)).select("qid", "text")
 
 
+def chunked_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions and their labels as the reader of chunked tables numbers them."""
+    data = w.conversation_source(spark, sf_dir)
+    named = data.queries.select("query_id", "query_pos", "text", "doc_id")
+    return named.join(data.qrels.select("query_id", "target_id", "label_pos"), "query_id")
+
+
+def triple_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries and labels as the reader of triples gives them."""
+    data = w.passage_triples(spark, sf_dir)
+    return data.queries.join(data.qrels, ["dataset", "query_id"]).select("query_id", "query_pos", "target_id", "label_pos")
+
+
+def length_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries numbered inside each length."""
+    return w.length_task(spark, sf_dir).queries.select("dataset", "query_id", "query_pos")
+
+
+def swap_then_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some chunks show their original text; the prompt is before either."""
+    data = w.conversation_source(spark, sf_dir, doc_prompt=DOCUMENT_PROMPT, og_ratio=0.3)
+    return views.with_prompts(data).corpus.select("chunk_id", "text")
+
+
+def nested_without_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view by document shows the texts alone, whatever the prompt of the flat one."""
+    data = w.conversation_source(spark, sf_dir, query_prompt=QUERY_PROMPT, doc_prompt=DOCUMENT_PROMPT)
+    nested = views.nested(views.with_prompts(data, by_document=True).corpus)
+    return nested.select("doc_id", _joined("chunk_ids"), _joined("texts", " | "))
+
+
+def prompted_set_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics count the prompt of the queries and none of the documents."""
+    data = w.conversation_source(spark, sf_dir, query_prompt=QUERY_PROMPT, doc_prompt=DOCUMENT_PROMPT)
+    found = stats.set_stats(data)
+    return _rounded(found, "average_num_tokens_per_query", *CORPUS_AVERAGES).drop("dataset")
+
+
 # --- joins and checks ------------------------------------------------------------------------
 
 
@@ -179,6 +217,20 @@ def run_shape_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.select("query_id", "scored", "chunks", "complete")
 
 
+def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplied run with holes and repeats: which queries score every chunk once."""
+    data = w.run_with_holes(spark, sf_dir)
+    found = checks.run_coverage(data.queries, data.corpus, data.qrels)
+    return found.select("query_id", "scored", "chunks", "complete")
+
+
+def coverage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that are missing, repeated or unknown in that run."""
+    data = w.run_with_holes(spark, sf_dir)
+    found = checks.coverage_faults(data.queries, data.corpus, data.qrels)
+    return found.select("query_id", "target_id", "fault", "times")
+
+
 def _turns_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.table(spark, sf_dir, "conversations").select(
         F.lit("turns").alias("dataset"), F.col("conv_id").cast("string").alias("chunk_id"), "turn", "text"
@@ -190,8 +242,8 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_ids_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk ids that repeat: the last chunk of an id is the one that is scored."""
-    return evaluate(w.conversation_turns_by_id(spark, sf_dir), "bm25", check=False)
+    """Chunk ids that repeat: the last chunk of an id, by its place in the file, is the one that is scored."""
+    return evaluate(w.conversation_turns_by_id(spark, sf_dir), "bm25")
 
 
 def keep_last_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +279,11 @@ def dense_scores_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_rows(ranked(dense(w.vectors(spark, sf_dir))))
 
 
+def dense_tiles_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run by the form for any number of queries, with floors from a first pass."""
+    return _run_rows(ranked(dense(w.vectors(spark, sf_dir)), form="tiles", with_floors=True))
+
+
 def dense_ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = w.vectors(spark, sf_dir)
     run = ranked(dense(data), k=10)
@@ -249,12 +306,12 @@ def mean_over_docs_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identical_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries named by bare numbers, as the documents are: the namesake is left out."""
-    return _run_rows(ranked(lexical(w.passages(spark, sf_dir, query_prefix=""))))
+    return _run_rows(ranked(lexical(w.passages(spark, sf_dir, query_prefix="", labelled=False))))
 
 
 def identical_id_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries renamed to their row number, which shadows documents the same way."""
-    return _run_rows(ranked(lexical(with_positional_ids(w.passages(spark, sf_dir)))))
+    return _run_rows(ranked(lexical(with_positional_ids(w.passages(spark, sf_dir, labelled=False)))))
 
 
 # --- late interaction ------------------------------------------------------------------------
@@ -276,7 +333,7 @@ def maxsim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = bm25.tokenised(w.passages(spark, sf_dir).corpus)
+    corpus = bm25.tokenised(w.passages(spark, sf_dir, labelled=False).corpus)
     weights = bm25.term_weights(bm25.term_counts(corpus))
     return _rounded(weights.select("term", "df", "idf"), "idf")
 
@@ -289,6 +346,16 @@ def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(w.answerable(w.passages(spark, sf_dir)), "bm25", check=False)
 
 
+def bm25_tiles_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_rows(ranked(lexical(w.conversations(spark, sf_dir)), form="tiles", with_floors=True))
+
+
+def contextual_triples_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contextual model on a source without documents: every chunk is a document of its own."""
+    data = w.answerable(w.passage_triples(spark, sf_dir))
+    return evaluate(data, "contextual", factory=w.text_sizes, contextual_factory=w.document_sizes)
+
+
 # --- analyses --------------------------------------------------------------------------------
 
 
@@ -315,6 +382,13 @@ def scaling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(means, "value")
 
 
+def scaling_by_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the plan that is bounded by the draw, for corpora where scoring all pairs costs more."""
+    scored = lexical(w.conversations(spark, sf_dir))
+    means = analysis.scale_scored(scored.queries, scored.chunks, scored.qrels, scored.scorer, form="trial")
+    return _rounded(means, "value")
+
+
 CORPUS_AVERAGES = (
     "average_num_tokens_per_doc",
     "average_num_tokens_per_chunk",
@@ -371,6 +445,25 @@ def pool_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(encode.pool_tokens(w.chunk_token_rows(spark, sf_dir)), "chunk_id")
 
 
+def late_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late chunking of untagged token rows by overlapping spans."""
+    found = encode.late_chunks(w.whole_document_tokens(spark, sf_dir), w.overlapping_spans(spark, sf_dir), width=4)
+    return _elements(found, "chunk_id")
+
+
+def plugin_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plug-in that keeps its limit itself, one that is given cut texts, one with its limit lifted."""
+    corpus = w.conversations(spark, sf_dir).corpus.select("dataset", "chunk_id", "text")
+    told = encode.encode(corpus, w.limited_sizes, max_tokens=5)
+    cut = encode.encode(corpus, w.text_sizes, max_tokens=5)
+    lifted = encode.encode(corpus, w.limited_sizes, max_tokens=5, extended_context=True)
+    each = [
+        df.select("chunk_id", F.col("vector")[0].cast("long").alias(name))
+        for df, name in ((told, "told"), (cut, "cut"), (lifted, "lifted"))
+    ]
+    return each[0].join(each[1], "chunk_id").join(each[2], "chunk_id")
+
+
 def plugin_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = encode.encode(w.conversations(spark, sf_dir).corpus, w.text_sizes, prompt=DOCUMENT_PROMPT)
     size = F.col("vector").cast("array<long>")
@@ -419,11 +512,19 @@ REGISTERED: tuple[Query, ...] = (
     collect_labels,
     context_filter_docs,
     context_filter_queries,
+    chunked_source,
+    triple_source,
+    length_positions,
+    swap_then_prompt,
+    nested_without_prompt,
+    prompted_set_stats,
     query_label_join,
     label_violations,
     unlabelled_queries,
     evaluated_queries,
     run_shape_check,
+    run_coverage,
+    coverage_faults,
     duplicate_ids,
     duplicate_ids_metrics,
     keep_last_duplicate,
@@ -432,6 +533,7 @@ REGISTERED: tuple[Query, ...] = (
     l2_normalise,
     mean_over_docs_vectors,
     dense_scores_topk,
+    dense_tiles_topk,
     dense_ndcg_at_10,
     dense_metrics,
     dense_per_query,
@@ -443,11 +545,14 @@ REGISTERED: tuple[Query, ...] = (
     maxsim_metrics,
     bm25_idf,
     bm25_scores_topk,
+    bm25_tiles_topk,
     bm25_metrics,
+    contextual_triples_metrics,
     parent_max_metrics,
     positional_metrics,
     scaling_samples,
     scaling_metrics,
+    scaling_by_trial,
     corpus_stats,
     query_stats,
     dataset_stats,
@@ -457,6 +562,8 @@ REGISTERED: tuple[Query, ...] = (
     hash_encode,
     contextual_encode,
     pool_tokens,
+    late_chunk_vectors,
+    plugin_limits,
     plugin_encode,
     plugin_contextual,
     run_metadata,

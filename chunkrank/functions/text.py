@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,15 @@ def prompted(text: Column, prompt: str) -> Column:
     return F.concat(F.lit(prompt), text) if prompt else text
 
 
+def prompted_by_dataset(text: Column, dataset: Column, prompts: Mapping[str, str]) -> Column:
+    """Put the prompt of its data set before a text; data sets without one keep theirs."""
+    some = {name: prompt for name, prompt in prompts.items() if prompt}
+    if not some:
+        return text
+    pairs = F.create_map(*[F.lit(x) for pair in some.items() for x in pair])
+    return F.concat(F.coalesce(pairs[dataset], F.lit("")), text)
+
+
 def draw(seed: int, *parts: Column) -> Column:
     """A number in [0, 1) that depends only on the seed and the given columns."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))

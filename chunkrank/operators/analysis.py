@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkrank.functions import ids
+from chunkrank.operators import trials
 from chunkrank.operators.metrics import (
     PLACES,
     macro_metrics,
@@ -151,7 +152,7 @@ def scaling_samples(
     return materialised(likely.join(short, ["dataset", "n", "trial"], "left_anti").unionByName(again))
 
 
-TRIAL = ("dataset", "n", "trial")
+TRIAL = trials.TRIAL
 SMALL_SAMPLES = 1_000_000
 
 
@@ -199,20 +200,30 @@ def scale_scored(
     sizes: Sequence[int] = SAMPLE_SIZES,
     seed: int = 42,
     ignore_identical_ids: bool = True,
-    form: str = "grid",
+    form: str = "auto",
 ) -> DataFrame:
-    """Scaling by scoring each trial's queries against its own chunks.
+    """Scaling of a scorer, by the cheaper of two plans with the same ranks.
 
-    A trial holds at most ``max(sizes)`` parents, so the work is bounded by the sampling plan
-    and not by queries x corpus. Every trial is a key of the same top-k job.
+    once   Every pair of an asked query and a sampled chunk is scored once; see ``trials``.
+    trial  Each trial's queries meet its own chunks, every trial a key of one top-k job. A trial holds
+           at most ``max(sizes)`` parents, so this is bounded by the sampling plan and not by
+           queries x corpus.
+
+    ``form`` names one of them; else both are counted out, and the one that scores fewer pairs is taken
+    if its labels and queries fit a task.
     """
-    samples = broadcast_if_small(scaling_samples(chunks, sizes, seed))
+    draw = scaling_samples(chunks, sizes, seed)
+    samples = broadcast_if_small(draw)
     labels = trial_labels(qrels, samples)
+    if form in ("auto", "once"):
+        offered = trials.offered_by_trial(chunks, samples)
+        cost = trials.costs(offered, labels, queries, chunks, draw, scorer)
+        if form == "once" or (cost.fits and cost.once <= cost.by_trial and draw.count() <= SMALL_SAMPLES):
+            run = trials.label_ranks(queries, chunks, labels, draw, offered, scorer, ignore_identical_ids)
+            return scaling_metrics(run, labels, draw)
     asked = labels.select(*TRIAL, "query_id").distinct().join(queries, ["dataset", "query_id"])
     offered = sampled(chunks, samples, "chunk_id")
-    found = best_targets(
-        asked, offered, scorer, TRIAL, k=10, ignore_identical_ids=ignore_identical_ids, form=form
-    )
+    found = best_targets(asked, offered, scorer, TRIAL, k=10, ignore_identical_ids=ignore_identical_ids, form="grid")
     return scaling_metrics(rank_targets(found, TRIAL, 10).drop("level"), labels, samples)
 
 

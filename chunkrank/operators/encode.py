@@ -1,17 +1,20 @@
 """Text to vectors: plug-in encoders run on Arrow batches, plus a checkable built-in one.
 
-An encoder factory takes no arguments and is called once per task; it returns a function from
-a list of texts to one vector per text (or one matrix per text, one row per token).
+An encoder factory is called once per task; it returns a function from a list of texts to one vector
+per text (or one matrix per text, one row per token). A factory that takes ``max_tokens`` or
+``extended_context`` is told the limits and keeps them itself; for any other the texts are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from chunkrank.functions.text import prompted, tokens, truncated
 from chunkrank.functions.vectors import l2_normalised, mean_vector
+from chunkrank.operators.timing import Stopwatch, stretches, timed_for
 from chunkrank.schema import one_per_dataset
 from chunkrank.session import materialised
 
@@ -29,6 +33,42 @@ SALTS = 64
 EncoderFactory = Callable[[], Callable[[list[str]], Sequence]]
 
 
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def first_words(text: str, most: int) -> str:
+    """The text up to the end of its ``most``-th word, as ``functions.text.tokens`` counts words."""
+    for number, word in enumerate(WORD.finditer(text), 1):
+        if number == most:
+            return text[: word.end()]
+    return text if most else ""
+
+
+class Limits:
+    """What the caller allows a model to read of a text, settled with its factory.
+
+    ``max_tokens`` is the usual limit; ``extended_context`` lifts it.
+    """
+
+    def __init__(self, factory: EncoderFactory, max_tokens: int | None = None, extended_context: bool = False):
+        wanted = {"max_tokens": max_tokens, "extended_context": extended_context}
+        try:
+            known = inspect.signature(factory).parameters
+        except ValueError:
+            known = {}
+        every = any(p.kind is p.VAR_KEYWORD for p in known.values())
+        self.factory = factory
+        self.told = {name: value for name, value in wanted.items() if every or name in known}
+        # A factory that does not know the limit is given texts that keep it.
+        self.cut = None if extended_context or "max_tokens" in self.told else max_tokens
+
+    def model(self) -> Callable:
+        return self.factory(**self.told)
+
+    def texts(self, texts: list[str]) -> list[str]:
+        return texts if self.cut is None else [first_words(t, self.cut) for t in texts]
+
+
 def encode(
     rows: DataFrame,
     factory: EncoderFactory,
@@ -36,20 +76,28 @@ def encode(
     prompt: str = "",
     batch_size: int = 128,
     token_level: bool = False,
+    max_tokens: int | None = None,
+    extended_context: bool = False,
+    watch: Stopwatch | None = None,
 ) -> DataFrame:
-    """Adds ``vector`` (or ``token_vectors``) computed by the plug-in."""
+    """Adds ``vector`` (or ``token_vectors``) computed by the plug-in; ``watch`` sums its seconds."""
+    limits = Limits(factory, max_tokens, extended_context)
     name, kind = ("token_vectors", TOKEN_VECTORS) if token_level else ("vector", VECTOR)
     source = rows.withColumn("_text", prompted(F.col(text_col), prompt))
     schema = T.StructType([*rows.schema.fields, T.StructField(name, kind)])
     kept = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory()
+        model = limits.model()
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for start in range(0, batch.num_rows, batch_size):
-                part = batch.slice(start, batch_size)
-                out = [np.asarray(v, dtype=np.float32) for v in model(part["_text"].to_pylist())]
+            if not batch.num_rows:
+                continue
+            for dataset, start, size in stretches(batch["dataset"], batch_size):
+                part = batch.slice(start, size)
+                with timed_for(watch, dataset):
+                    texts = limits.texts(part["_text"].to_pylist())
+                    out = [np.asarray(v, dtype=np.float32) for v in model(texts)]
                 if token_level:
                     values = pa.array([list(m) for m in out], arrow.field(name).type)
                 else:
@@ -66,33 +114,41 @@ def encode_in_context(
     prompt: str = "",
     batch_size: int = 16,
     token_level: bool = False,
+    max_tokens: int | None = None,
+    extended_context: bool = False,
+    watch: Stopwatch | None = None,
 ) -> DataFrame:
     """A contextual plug-in sees all chunks of a document together, in order.
 
     It receives up to ``batch_size`` documents (lists of chunk texts) at a time and returns one
     vector, or with ``token_level`` one token matrix, per chunk. A source without documents gives
-    documents of one chunk. Documents stream past in order, so a task holds one batch of them.
+    documents of one chunk. Documents stream past in order, so a task holds one batch of them, all of
+    one data set. Limits hold for each chunk.
     """
+    limits = Limits(factory, max_tokens, extended_context)
     name, kind = ("token_vectors", TOKEN_VECTORS) if token_level else ("vector", VECTOR)
     schema = T.StructType(
         [corpus.schema["dataset"], corpus.schema["chunk_id"], T.StructField(name, kind)]
     )
     placed = {"doc_id", "internal_id"} <= set(corpus.columns)
+    alone = F.col("internal_id").isNull() if placed else F.lit(True)
     rows = corpus.select(
         "dataset",
-        F.col("doc_id" if placed else "chunk_id").alias("doc_id"),
+        (F.when(alone, F.col("chunk_id")).otherwise(F.col("doc_id")) if placed else F.col("chunk_id")).alias("doc_id"),
         F.col("internal_id").alias("_place") if placed else F.lit(0).alias("_place"),
         "chunk_id",
         prompted(F.col(text_col), prompt).alias("_text"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = factory()
+        model = limits.model()
         arrow = to_arrow_schema(schema)
         key, names, texts = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            vectors = [np.asarray(v, dtype=np.float32) for document in model(texts) for v in document]
+            with timed_for(watch, names[0][0]):
+                documents = model([limits.texts(t) for t in texts])
+                vectors = [np.asarray(v, dtype=np.float32) for document in documents for v in document]
             values = [v.tolist() for v in vectors]
             columns = [[n[0] for n in names], [n[1] for n in names], values]
             arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow)]
@@ -105,7 +161,7 @@ def encode_in_context(
                 *[batch[c].to_pylist() for c in ("dataset", "doc_id", "chunk_id", "_text")]
             ):
                 if (dataset, doc_id) != key:
-                    if len(texts) == batch_size:
+                    if len(texts) == batch_size or key is not None and dataset != key[0]:
                         yield from flush()
                     key = (dataset, doc_id)
                     texts.append([])
@@ -206,6 +262,25 @@ def pool_tokens(tokens_long: DataFrame) -> DataFrame:
     return tokens_long.groupBy("dataset", "chunk_id").agg(mean_vector(F.col("vector")).alias("vector"))
 
 
+def late_chunks(tokens_long: DataFrame, spans: DataFrame, width: int = 512) -> DataFrame:
+    """Late chunking of whole-document encodings: the mean of the tokens inside each chunk's span.
+
+    ``tokens_long``: (dataset, doc_id, offset, vector), not tagged with any chunk. ``spans``:
+    (dataset, doc_id, chunk_id, begin, end), end excluded; spans may overlap or leave tokens out. The
+    range join goes by stretches of ``width`` offsets: a span is copied to each stretch it touches, so
+    a very long document is many join keys. A chunk without tokens has no vector.
+    """
+    touched = F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("end") - 1) / width))
+    placed = spans.filter("begin < end").select("dataset", "doc_id", "chunk_id", "begin", "end", F.explode(touched).alias("_stretch"))
+    inside = (F.col("offset") >= F.col("begin")) & (F.col("offset") < F.col("end"))
+    tagged = (
+        tokens_long.withColumn("_stretch", F.floor(F.col("offset") / width))
+        .join(placed, ["dataset", "doc_id", "_stretch"])
+        .filter(inside)
+    )
+    return pool_tokens(tagged)
+
+
 def token_matrices(tokens_long: DataFrame, id_name: str) -> DataFrame:
     """Token rows (id, tok_pos, vector) as one matrix per text."""
     item = F.struct("tok_pos", "vector")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkrank.operators.bm25 import tokenised
-from chunkrank.schema import one_per_dataset
+from chunkrank.operators.views import with_prompts
+from chunkrank.schema import RetrievalSet, one_per_dataset
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -41,3 +42,8 @@ def query_stats(queries: DataFrame) -> DataFrame:
 
 def dataset_stats(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     return query_stats(queries).join(one_per_dataset(corpus_stats(corpus)), "dataset")
+
+
+def set_stats(data: RetrievalSet) -> DataFrame:
+    """Statistics of a set: documents as they are, queries with their prompt."""
+    return dataset_stats(data.corpus, with_prompts(data).queries)

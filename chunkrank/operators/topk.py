@@ -1,19 +1,25 @@
 """Exact top-k chunks (and parents) of every query, without emitting the pairs.
 
 Scoring everything against everything is the work itself, but only the best ``k`` per query
-leave a task. Two physical forms give the same rows:
+leave a task. Three physical forms give the same rows:
 
 broadcast  The queries fit a fixed bound. They are sent to every task once and the corpus is
            scored where it is read: no corpus row is shuffled.
-grid       The queries do not fit. Queries and chunks are hashed into cells of bounded size;
-           each query cell meets each chunk cell through an equi-join on the cell numbers, so
-           no task sees more than one cell of either side, however skewed the keys are.
+tiles      The queries do not fit. They are written once as files of bounded size, and every task
+           streams them past the chunks it holds: no corpus row is shuffled either.
+grid       The tasks cannot open the shared folder by themselves. Queries and chunks are hashed into
+           cells of bounded size; each query cell meets each chunk cell through an equi-join on the
+           cell numbers, so no task sees more than one cell of either side, however skewed the keys.
 
 The form is picked by reading at most one row more than the bound.
 
 Reductions, all exact: a chunk among the best k overall is among the best k of its task; a
 parent's maximum is reached in some task, and fewer than k parents beat it there if fewer
 than k beat it overall. Ties are broken by id in both places, so the order is total.
+
+Floors: the k-th score a query reaches on some of the tasks' chunks is a lower bound of its k-th score
+on all of them. Where there are many tasks, a first pass scores one task in sixteen, and the tasks of
+the second send only what reaches the floor: about 16 k rows a query instead of k from every task.
 """
 
 from __future__ import annotations
@@ -23,12 +29,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chunkrank.operators import tiles
 from chunkrank.schema import one_per_dataset
+from chunkrank.session import materialised, scan_tasks
 
 CHUNK = "chunk"
 PARENT = "parent"
@@ -42,13 +51,28 @@ CELL_ELEMENTS = 32_000_000  # numbers or tokens in a cell, whatever its row coun
 BLOCK_CELLS = 4_000_000  # scores held at once by a task
 FEWEST_ROWS = 128
 MERGE_GROUP = 64  # tasks whose candidates are merged together before all meet
+FLOOR_EVERY = 16  # one task in so many is scored first, for the floors
+FLOOR_TASKS = 64  # with fewer tasks than this, floors cost more than they save
+FLOORS = {CHUNK: "_floor", PARENT: "_parent_floor"}
+
+
+def hidden_identical(steps: np.ndarray, query_ids: pa.Array, targets: pa.Array) -> None:
+    """Take targets named as their query out of its scores."""
+    at = pc.index_in(query_ids, value_set=targets)
+    rows = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
+    steps[rows, pc.drop_null(at).to_numpy(zero_copy_only=False)] = -np.inf
 
 
 class _Best:
     """Best targets per query seen by one task, at one level."""
 
-    def __init__(self, query_ids: pa.Array, k: int, level: str, ignore_identical: bool):
+    def __init__(self, queries: pa.Table, k: int, level: str, ignore_identical: bool):
+        query_ids = queries["query_id"].combine_chunks()
         self.query_ids = query_ids
+        self.least = np.full(len(query_ids), -np.inf)
+        if FLOORS[level] in queries.column_names:
+            floors = pc.fill_null(queries[FLOORS[level]], -np.inf).to_numpy()
+            self.least = np.rint(floors * SCORE_STEPS)
         self.k = k
         self.level = level
         self.ignore_identical = ignore_identical
@@ -59,13 +83,11 @@ class _Best:
 
     def hide_identical(self, steps: np.ndarray, targets: pa.Array) -> None:
         if self.ignore_identical:
-            at = pc.index_in(self.query_ids, value_set=targets)
-            rows = np.flatnonzero(pc.is_valid(at).to_numpy(zero_copy_only=False))
-            steps[rows, pc.drop_null(at).to_numpy(zero_copy_only=False)] = -np.inf
+            hidden_identical(steps, self.query_ids, targets)
 
     def add(self, steps: np.ndarray, targets: pa.Array) -> None:
         """``targets`` come by id descending, so among equal scores the first columns win."""
-        floor = self.top.min(axis=1)
+        floor = np.maximum(self.top.min(axis=1), self.least)
         keep = (steps >= floor[:, None]) & (steps > -np.inf)
         crowded = np.flatnonzero(keep.sum(axis=1) > self.k)
         if len(crowded):
@@ -126,12 +148,11 @@ class _Task:
     def __init__(self, plan: "_Plan", key: tuple, queries: pa.Table):
         self.plan = plan
         self.key = key
-        ids = queries["query_id"].combine_chunks()
-        self.count = len(ids)
+        self.count = len(queries)
         self.queries = plan.scorer.load(queries)
-        self.levels = [_Best(ids, plan.k, CHUNK, plan.ignore_identical)] if plan.k else []
+        self.levels = [_Best(queries, plan.k, CHUNK, plan.ignore_identical)] if plan.k else []
         self.parents = (
-            _Best(ids, plan.parent_k, PARENT, plan.ignore_identical) if plan.parent_k else None
+            _Best(queries, plan.parent_k, PARENT, plan.ignore_identical) if plan.parent_k else None
         )
 
     def feed(self, batch: pa.Table) -> None:
@@ -217,10 +238,17 @@ class _Plan:
         return parts
 
 
-def _broadcast_form(plan: _Plan, queries: pa.Table, chunks: DataFrame) -> DataFrame:
+def _skipped(every: int) -> bool:
+    """Whether this task is left out of a pass over one task in ``every``."""
+    return every > 1 and TaskContext.get().partitionId() % every != 0
+
+
+def _broadcast_form(plan: _Plan, queries: pa.Table, chunks: DataFrame, every: int = 1) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(plan.groups(queries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _skipped(every):
+            return
         tasks: dict[tuple, _Task] = {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -237,6 +265,51 @@ def _broadcast_form(plan: _Plan, queries: pa.Table, chunks: DataFrame) -> DataFr
     return chunks.mapInArrow(score, plan.schema)
 
 
+def _tile_form(plan: _Plan, queries: tiles.Tiles, chunks: DataFrame, chunk_cell: int, every: int = 1) -> DataFrame:
+    """Every task gathers chunks up to a cell and takes all tiles past it, one at a time."""
+    files, columns = queries.files, queries.table.columns
+    sized = chunks.withColumn("_elements", plan.scorer.elements())
+
+    def scored(cell: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = plan.groups(pa.Table.from_batches(cell).drop_columns(["_elements"]))
+        for file in files:
+            for key, asked in plan.groups(tiles.load(file, columns)).items():
+                if key in held:
+                    task = _Task(plan, key, asked)
+                    task.feed(held[key])
+                    yield from task.results()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _skipped(every):
+            return
+        cell, rows, elements = [], 0, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cell.append(batch)
+            rows += batch.num_rows
+            elements += pc.sum(batch["_elements"]).as_py() or 0
+            if rows >= chunk_cell or elements >= CELL_ELEMENTS:
+                yield from scored(cell)
+                cell, rows, elements = [], 0, 0
+        if cell:
+            yield from scored(cell)
+
+    return sized.mapInArrow(score, plan.schema)
+
+
+def floors(sample: DataFrame, keys: Sequence[str], k: int, parent_k: int) -> DataFrame:
+    """(keys, query_id, a floor for each level): the last rank's score, where a query fills its ranks."""
+    ranked = rank_targets(sample, keys, k, parent_k)
+    last = {CHUNK: k, PARENT: parent_k}
+    score = [
+        F.max(F.when((F.col("level") == level) & (F.col("rank") == last[level]), F.col("score"))).alias(FLOORS[level])
+        for level in (CHUNK, PARENT)
+        if last[level]
+    ]
+    return ranked.groupBy(*keys, "query_id").agg(*score)
+
+
 def _grid_form(
     plan: _Plan, queries: DataFrame, chunks: DataFrame, query_cell: int, chunk_cell: int
 ) -> DataFrame:
@@ -285,11 +358,13 @@ def best_targets(
     form: str = "auto",
     query_cell: int = QUERY_CELL,
     chunk_cell: int = CHUNK_CELL,
+    with_floors: bool | None = None,
+    floor_every: int = FLOOR_EVERY,
 ) -> DataFrame:
     """Candidates per query, a superset of its top-k in which every top-k score is final.
 
     Rows: keys, level ('chunk' or 'parent'), query_id, target_id, score. ``rank_targets``
-    brings the tasks' candidates together.
+    brings the tasks' candidates together. ``with_floors`` None: where the chunks are read by many tasks.
     """
     left = queries.select(*keys, "query_id", *scorer.query_columns)
     right = chunks.select(*keys, "chunk_id", *scorer.chunk_columns)
@@ -297,24 +372,47 @@ def best_targets(
     plan = _Plan(scorer, keys, fields, k, parent_k, ignore_identical_ids)
     if form == "auto":
         # Rows first, then numbers or tokens: nothing is collected before both are known to fit.
-        few = left.limit(BROADCAST_QUERIES + 1)
-        size = few.agg(F.count("*").alias("rows"), F.sum(scorer.query_elements()).alias("elements")).first()
-        if size["rows"] <= BROADCAST_QUERIES and (size["elements"] or 0) <= BROADCAST_ELEMENTS:
-            return _broadcast_form(plan, left.toArrow(), right)
-        form = "grid"
-    if form != "grid":
+        some = left.limit(BROADCAST_QUERIES + 1)
+        size = some.agg(F.count("*").alias("rows"), F.sum(scorer.query_elements()).alias("elements")).first()
+        fit = size["rows"] <= BROADCAST_QUERIES and (size["elements"] or 0) <= BROADCAST_ELEMENTS
+        form = "broadcast" if fit else "tiles"
+    if form == "grid":
+        return _grid_form(plan, left, right, query_cell, chunk_cell)
+    if form not in ("broadcast", "tiles"):
         raise ValueError(f"unknown form: {form}")
-    return _grid_form(plan, left, right, query_cell, chunk_cell)
+    if with_floors is None:
+        with_floors = scan_tasks(right) >= FLOOR_TASKS
+    if form == "broadcast":
+        few = left.toArrow()
+        if not with_floors:
+            return _broadcast_form(plan, few, right)
+        found = floors(_broadcast_form(plan, few, right, floor_every), keys, k, parent_k)
+        # As many rows as the queries, which fit.
+        joined = left.join(F.broadcast(found), [*keys, "query_id"], "left").select(*left.columns, *floor_columns(k, parent_k))
+        return _broadcast_form(plan, joined.toArrow(), right)
+    stored = tiles.written(left, keys, scorer.query_elements(), query_cell, CELL_ELEMENTS)
+    if not stored.readable():
+        return _grid_form(plan, stored.table, right, query_cell, chunk_cell)
+    if with_floors:
+        found = materialised(floors(_tile_form(plan, stored, right, chunk_cell, floor_every), keys, k, parent_k))
+        joined = stored.table.join(found, [*keys, "query_id"], "left").select(*left.columns, *floor_columns(k, parent_k))
+        stored = tiles.written(joined, keys, scorer.query_elements(), query_cell, CELL_ELEMENTS)
+    return _tile_form(plan, stored, right, chunk_cell)
+
+
+def floor_columns(k: int, parent_k: int) -> list[str]:
+    return [FLOORS[level] for level, depth in ((CHUNK, k), (PARENT, parent_k)) if depth]
 
 
 def rank_targets(
-    candidates: DataFrame, keys: Sequence[str] = ("dataset",), k: int = 100, parent_k: int = 0
+    candidates: DataFrame, keys: Sequence[str] = ("dataset",), k: int = 100, parent_k: int = 0, levels: int = 1
 ) -> DataFrame:
-    """Final order: score descending, ties by id descending, in two levels.
+    """Final order: score descending, ties by id descending.
 
-    Every scoring task reports k rows a query. Groups of tasks are merged first, so that what meets
-    in the end is k rows a query and group; both cuts are exact. Rows of one target are merged at
-    either level: several tasks may report the same parent.
+    Every scoring task reports up to k rows a query. With floors that is few rows in all; without, two
+    ``levels`` merge groups of tasks first, so that what meets in the end is k rows a query and group.
+    All cuts are exact. Rows of one target are merged at either level: several tasks may report the
+    same parent.
     """
     query = [*keys, "level", "query_id"]
     depth = F.when(F.col("level") == PARENT, F.lit(parent_k)).otherwise(F.lit(k)) if parent_k else F.lit(k)
@@ -324,6 +422,7 @@ def rank_targets(
         merged = rows.repartition(*within).groupBy(*within, "target_id").agg(F.max("score").alias("score"))
         return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= depth)
 
-    group = F.floor(F.spark_partition_id() / F.lit(MERGE_GROUP)).alias("_group")
-    merged = best(candidates.select("*", group), [*query, "_group"])
-    return best(merged.drop("_group", "rank"), query).select(*candidates.columns, "rank")
+    if levels > 1:
+        group = F.floor(F.spark_partition_id() / F.lit(MERGE_GROUP)).alias("_group")
+        candidates = best(candidates.select("*", group), [*query, "_group"]).drop("_group", "rank")
+    return best(candidates, query).select(*query, "target_id", "score", "rank")

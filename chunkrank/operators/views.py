@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkrank.functions import ids
-from chunkrank.functions.text import draw, prompted
+from chunkrank.functions.text import draw, prompted, prompted_by_dataset
+from chunkrank.schema import RetrievalSet
+
 
 def nested(
     rows: DataFrame,
@@ -66,6 +68,25 @@ def flat_queries(queries: DataFrame, prompt: str = "") -> DataFrame:
     return queries.select("dataset", "query_id", prompted(F.col("text"), prompt).alias("text"))
 
 
+def with_prompts(data: RetrievalSet, by_document: bool = False, nested_queries: bool = False) -> RetrievalSet:
+    """The set with the prompts of its flat views put before the texts.
+
+    Chunks that are seen by document take none, chunks of a source without documents do; queries
+    that are seen by document take none either.
+    """
+    query = {name: p.query for name, p in data.prompts.items()}
+    document = {name: p.document for name, p in data.prompts.items()}
+    corpus, queries = data.corpus, data.queries
+    if any(document.values()) and "text" in corpus.columns:
+        text = prompted_by_dataset(F.col("text"), F.col("dataset"), document)
+        if by_document and {"doc_id", "internal_id"} <= set(corpus.columns):
+            text = F.when(F.col("internal_id").isNull(), text).otherwise(F.col("text"))
+        corpus = corpus.withColumn("text", text)
+    if any(query.values()) and "text" in queries.columns and not nested_queries:
+        queries = queries.withColumn("text", prompted_by_dataset(F.col("text"), F.col("dataset"), query))
+    return data.but(corpus=corpus, queries=queries, prompts={})
+
+
 def collected_labels(qrels: DataFrame) -> DataFrame:
     """Labels of each query as one list in input order, duplicates kept."""
     item = F.struct("label_pos", "target_id")
@@ -77,7 +98,10 @@ def collected_labels(qrels: DataFrame) -> DataFrame:
 
 
 def swap_chunks(corpus: DataFrame, ratio: float = 0.0, seed: int = 42) -> DataFrame:
-    """Use the original text for about ``ratio`` of the chunks, the same ones on every run."""
+    """Use the original text for about ``ratio`` of the chunks, the same ones on every run.
+
+    Texts are raw here: prompts are put before whichever text a view shows.
+    """
     if ratio <= 0.0:
         return corpus
     chosen = draw(seed, F.col("chunk_id")) < F.lit(float(ratio))

@@ -19,8 +19,9 @@ from chunkrank.operators.analysis import (
 )
 from chunkrank.operators.metrics import CUTOFFS, PLACES, metric_names, per_query_metrics, to_long
 from chunkrank.operators.scorers import Bm25, Dense, MaxSim
+from chunkrank.operators.timing import Stopwatch, stopwatch
 from chunkrank.operators.topk import CHUNK, PARENT, best_targets, rank_targets
-from chunkrank.operators.views import label_positions
+from chunkrank.operators.views import label_positions, with_prompts
 from chunkrank.schema import RetrievalSet, require_columns
 from chunkrank.session import materialised
 
@@ -45,7 +46,7 @@ class Scored:
     chunks: DataFrame
     qrels: DataFrame
     scorer: object
-    runtime: float | None = None  # seconds spent encoding the chunks or indexing their terms
+    runtime: Callable[[], dict[str, float]] | None = None  # seconds of encoding or indexing, by data set
 
 
 def dense(data: RetrievalSet, mean_over_docs: bool = False) -> Scored:
@@ -79,10 +80,20 @@ def lexical(
     queries = bm25.tokenised(data.queries, sentinels)
     start = time.perf_counter()
     counts = bm25.term_counts(corpus)
-    runtime = time.perf_counter() - start
+    seconds = time.perf_counter() - start
     # Small next to the index it is joined from, and read by every later step.
     weighted = materialised(bm25.weighted_queries(queries, counts, epsilon))
-    return Scored(weighted, corpus, data.qrels, Bm25(k1, b), runtime)
+    return Scored(weighted, corpus, data.qrels, Bm25(k1, b), lambda: shared_out(seconds, counts))
+
+
+def shared_out(seconds: float, counts: DataFrame) -> dict[str, float]:
+    """The time of one index over many data sets, to each by its share of the tokens.
+
+    The index is one pass inside the JVM, where nothing tells the data sets apart but their rows.
+    """
+    sizes = {r.dataset: r.total or 0 for r in counts.filter("term is null").select("dataset", "total").collect()}
+    whole = sum(sizes.values()) or 1
+    return {name: seconds * size / whole for name, size in sizes.items()}
 
 
 def encoded(
@@ -92,14 +103,23 @@ def encoded(
     token_level: bool = False,
     add_prefix: bool = False,
     batch_size: int = 128,
+    max_tokens: int | None = None,
+    extended_context: bool = False,
+    watch: Stopwatch | None = None,
 ) -> RetrievalSet:
-    """Run a plug-in over queries and chunks; with ``contextual_factory`` chunks go by document."""
+    """Run a plug-in over queries and chunks; with ``contextual_factory`` chunks go by document.
+
+    ``max_tokens`` and ``extended_context`` are settled with the factories; ``watch`` sums the seconds of
+    the chunks.
+    """
+    limits = {"max_tokens": max_tokens, "extended_context": extended_context}
     queries = encode.encode(
         data.queries,
         factory,
         prompt=QUERY_PROMPT if add_prefix else "",
         batch_size=batch_size,
         token_level=token_level,
+        **limits,
     )
     if contextual_factory is None:
         corpus = encode.encode(
@@ -108,6 +128,8 @@ def encoded(
             prompt=DOCUMENT_PROMPT if add_prefix else "",
             batch_size=batch_size,
             token_level=token_level,
+            watch=watch,
+            **limits,
         )
     else:
         corpus = encode.encode_in_context(
@@ -115,6 +137,8 @@ def encoded(
             contextual_factory,
             prompt=DOCUMENT_PROMPT if add_prefix else "",
             token_level=token_level,
+            watch=watch,
+            **limits,
         )
     return data.but(queries=queries, corpus=corpus)
 
@@ -127,6 +151,8 @@ def scored_by(
     add_prefix: bool = False,
     batch_size: int = 128,
     mean_over_docs: bool = False,
+    max_tokens: int | None = None,
+    extended_context: bool = False,
     **options,
 ) -> Scored:
     """Pick a scorer by name, or call one of your own.
@@ -143,18 +169,20 @@ def scored_by(
     if method not in VECTOR_METHODS:
         raise ValueError(f"unknown method: {method}")
     late, by_document = VECTOR_METHODS[method]
-    seconds = None
+    runtime = None
     if ("token_vectors" if late else "vector") not in data.corpus.columns:
         context = contextual_factory if by_document else None
         if factory is None:
             raise ValueError(f"{method} needs a factory for the queries and chunks to encode")
         if by_document and context is None:
             raise ValueError(f"{method} needs a contextual_factory for the chunks of a document")
-        data = encoded(data, factory, context, late, add_prefix, batch_size)
-        corpus, seconds = timed(data.corpus)
-        data = data.but(corpus=corpus, queries=materialised(data.queries))
+        watch = stopwatch(data.corpus.sparkSession)
+        data = encoded(data, factory, context, late, add_prefix, batch_size, max_tokens, extended_context, watch)
+        data = data.but(corpus=materialised(data.corpus), queries=materialised(data.queries))
+        seconds = dict(watch.value)
+        runtime = lambda: seconds
     scored = maxsim(data, **options) if late else dense(data, mean_over_docs)
-    return replace(scored, runtime=seconds)
+    return replace(scored, runtime=runtime)
 
 
 def with_positional_ids(data: RetrievalSet) -> RetrievalSet:
@@ -178,6 +206,7 @@ def ranked(
     parents: bool = False,
     ignore_identical_ids: bool = True,
     form: str = "auto",
+    with_floors: bool | None = None,
 ) -> DataFrame:
     """The run: the best ``k`` chunks of each query and, on request, its best parents."""
     depth = PARENT_DEPTH if parents else 0
@@ -189,6 +218,7 @@ def ranked(
         parent_k=depth,
         ignore_identical_ids=ignore_identical_ids,
         form=form,
+        with_floors=with_floors,
     )
     return rank_targets(found, k=k, parent_k=depth)
 
@@ -240,9 +270,9 @@ def require_sound(data: RetrievalSet) -> None:
 
 
 def without_earlier_copies(corpus: DataFrame, check: bool = True) -> DataFrame:
-    """Of chunks that share an id the last one counts, by ``chunk_pos``.
+    """Of chunks that share an id the last one counts, by ``chunk_pos``, which every reader supplies.
 
-    Without that column there is no last one: with ``check`` repeated ids are an error.
+    A table without that column has no last one: with ``check`` repeated ids are an error.
     """
     if "chunk_pos" in corpus.columns:
         return checks.keep_last(corpus, "chunk_pos")
@@ -272,14 +302,14 @@ def evaluate(
 ) -> DataFrame:
     """Rows (dataset, metric, value). ``mean_over_docs`` applies to dense vectors only.
 
-    ``runtime`` adds the seconds of encoding or indexing the chunks; data sets evaluated
-    together share that stage and report the same number.
+    ``runtime`` adds the seconds that tasks spent encoding or indexing each data set's chunks.
     """
     data = data.but(corpus=without_earlier_copies(data.corpus, check))
     if check:
         require_sound(data)
     if compat_positional_ids:
         data = with_positional_ids(data)
+    data = with_prompts(data, by_document=method in VECTOR_METHODS and VECTOR_METHODS[method][1])
     scored = scored_by(data, method, mean_over_docs=mean_over_docs, **method_options)
     run = ranked(scored, max(ks), max_sim_over_docs, ignore_identical_ids, form)
     metrics = summarise(run, scored.qrels, ks, compute_positional_metrics, max_sim_over_docs)
@@ -296,15 +326,8 @@ def evaluate(
             )
         )
     if runtime and scored.runtime is not None:
-        name, seconds = F.lit("runtime").alias("metric"), F.lit(scored.runtime).alias("value")
+        rows = [(name, "runtime", seconds) for name, seconds in scored.runtime().items()]
         metrics = metrics.unionByName(
-            scored.qrels.select("dataset").distinct().select("dataset", name, seconds)
+            metrics.sparkSession.createDataFrame(rows, "dataset string, metric string, value double")
         )
     return metrics
-
-
-def timed(stage: DataFrame) -> tuple[DataFrame, float]:
-    """Materialise a stage (vectors, tokens) in the shared folder; seconds of wall clock."""
-    start = time.perf_counter()
-    kept = materialised(stage)
-    return kept, time.perf_counter() - start

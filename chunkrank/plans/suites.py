@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chunkrank.operators.analysis import mean_by_task
 from chunkrank.plans.evaluate import evaluate
 from chunkrank.schema import RetrievalSet
+from chunkrank.session import materialised
 from chunkrank.sources import registry, sinks
 
 
@@ -44,23 +45,30 @@ def run_suites(
 
     Returns where the results are and which names were skipped as unknown.
     """
-    about = sinks.run_metadata(
-        spark, model_path, model_name, method, extended_context, use_prefix, colbert_model
-    )
     options = {**options, "method": method, "runtime": True}
     if method != "bm25":
-        options["add_prefix"] = use_prefix
+        options |= {"add_prefix": use_prefix, "extended_context": extended_context}
+    spent = 0.0
+
+    def saved(metrics: DataFrame, suite: str) -> str:
+        """Write a suite, and the description of the run with the seconds of all suites so far."""
+        nonlocal spent
+        metrics = materialised(metrics)
+        own = metrics.filter("metric = 'runtime' and dataset not like '%\\_avg'")
+        spent += own.agg(F.sum("value")).first()[0] or 0.0
+        about = sinks.run_metadata(
+            spark, model_path, model_name, method, extended_context, use_prefix, colbert_model, runtime=spent
+        )
+        return sinks.write_metrics(metrics, about, save_dir, model_name, method, suite)
 
     main, skipped = registry.load_chunked_suite(spark, base, names, known, fmt)
-    target = sinks.write_metrics(evaluate(main, **options), about, save_dir, model_name, method, "main")
+    target = saved(evaluate(main, **options), "main")
     if chunk_sizes:
-        data = registry.load_chunk_size_suite(spark, base, chunk_sizes, fmt)
-        sinks.write_metrics(evaluate(data, **options), about, save_dir, model_name, method, "chunk_sizes")
+        saved(evaluate(registry.load_chunk_size_suite(spark, base, chunk_sizes, fmt), **options), "chunk_sizes")
     if triple_tasks:
         data = registry.load_triple_suite(spark, f"{base}/nanobeir", triple_tasks, fmt=fmt)
-        sinks.write_metrics(evaluate(data, **options), about, save_dir, model_name, method, "triples")
+        saved(evaluate(data, **options), "triples")
     if length_tasks:
         data = registry.load_length_suite(spark, f"{base}/LongEmbed", length_tasks, fmt=fmt)
-        found = length_suite_metrics(data, **options)
-        sinks.write_metrics(found, about, save_dir, model_name, method, "lengths")
+        saved(length_suite_metrics(data, **options), "lengths")
     return target, skipped

@@ -5,7 +5,8 @@ Every table starts with ``dataset`` so that a whole suite is one job.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,18 +92,28 @@ def one_per_dataset(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows)
 
 
+@dataclass(frozen=True)
+class Prompts:
+    """What a flat view puts before the texts of a data set."""
+
+    query: str = ""
+    document: str = ""
+
+
 @dataclass(frozen=True)
 class RetrievalSet:
     """A retrieval task (or many, told apart by ``dataset``).
 
-    corpus:  dataset, chunk_id, text [, doc_id, internal_id, og_text, context_length]
+    corpus:  dataset, chunk_id, text [, doc_id, internal_id, og_text, context_length, chunk_pos]
     queries: dataset, query_id, text [, query_pos]
     qrels:   dataset, query_id, target_id, label_pos
+    prompts: of the data sets that have any; texts are raw, views apply them
     """
 
     corpus: DataFrame
     queries: DataFrame
     qrels: DataFrame
+    prompts: Mapping[str, Prompts] = field(default_factory=dict)
 
     def but(self, **tables: DataFrame) -> "RetrievalSet":
         return replace(self, **tables)
@@ -115,4 +126,5 @@ class RetrievalSet:
             both(self.corpus, other.corpus),
             both(self.queries, other.queries),
             both(self.qrels, other.qrels),
+            {**self.prompts, **other.prompts},
         )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
 import tempfile
 import uuid
 
@@ -50,3 +53,18 @@ def materialised(table: DataFrame) -> DataFrame:
     path = shared_dir(table.sparkSession)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+_UNITS = {"B": 0, "KiB": 1, "MiB": 2, "GiB": 3, "TiB": 4, "PiB": 5, "EiB": 6}
+
+
+def scan_tasks(table: DataFrame) -> int:
+    """About how many tasks read the table, from the planner's sizes of its files; runs nothing."""
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        table.explain("cost")
+    sizes = re.findall(r"Relation .*sizeInBytes=([\d.E+]+) (\w+)", shown.getvalue().split("== Physical Plan")[0])
+    split = table.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m")
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", split.lower()).groups()
+    each = int(number) << (10 * ("", "k", "m", "g", "t").index(unit))
+    return int(sum(float(n) * 1024 ** _UNITS.get(u, 0) for n, u in sizes) // each) + 1

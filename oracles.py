@@ -26,17 +26,33 @@ qrels AS (
   FROM asked a JOIN corpus c ON c.chunk_id = a.chunk_id)
 """
 
+NUMBERED_QUESTIONS = """
+turns AS (SELECT *, row_number() OVER () AS file_row FROM conversations),
+questions AS (
+  SELECT conv_id, turn, text, row_number() OVER (ORDER BY file_row) - 1 AS query_pos
+  FROM turns WHERE role = 'user')
+"""
+
+HOLED_RUN = r"""
+numbered AS (
+  SELECT DISTINCT source AS query_id, regexp_extract(source, '(\d+)', 1)::INT AS number FROM documents),
+run AS (
+  SELECT query_id, (CASE WHEN doc_id % 89 = number AND number % 3 = 1 THEN doc_id - 1 ELSE doc_id END)::VARCHAR AS target_id
+  FROM documents CROSS JOIN numbered WHERE NOT (doc_id % 97 = number AND number % 3 = 0))
+"""
+
 LAST_TURNS = """
 corpus AS (
-  SELECT 'conversations' AS dataset, conv_id::VARCHAR AS doc_id, conv_id::VARCHAR AS chunk_id,
+  SELECT 'conversations' AS dataset, conv_id::VARCHAR AS doc_id, conv_id || '_0' AS chunk_id,
          arg_max(text, turn) AS text
   FROM conversations GROUP BY conv_id),
 asked AS (
-  SELECT 'conversations' AS dataset, 'q' || conv_id || '_' || turn AS query_id, text
-  FROM conversations WHERE role = 'user'),
+  SELECT 'conversations' AS dataset, 'q' || u.conv_id || '_' || u.turn AS query_id, u.text
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user'),
 qrels AS (
   SELECT 'conversations' AS dataset, 'q' || u.conv_id || '_' || u.turn AS query_id,
-         u.conv_id::VARCHAR AS target_id, 0 AS label_pos
+         u.conv_id || '_0' AS target_id, 0 AS label_pos
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user')
 """
@@ -57,8 +73,7 @@ labels_found AS (
   SELECT b.item_id, d.doc_id, b.text AS passage, d.text,
          len(list_filter(regexp_split_to_array(left(d.text, instr(d.text, b.text) - 1), '\s+'),
                          lambda w: w <> '')) AS start_word
-  FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-  WHERE len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda w: w <> '')) >= 3)
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 """
 
 
@@ -480,6 +495,42 @@ def oracle_sql() -> dict[str, str]:
         LENGTHS, "SELECT qid, text FROM length_queries WHERE contains(qid, '256')"
     )
 
+    sql["chunked_source"] = query(
+        NUMBERED_QUESTIONS,
+        """SELECT query_pos::VARCHAR AS query_id, query_pos, text, conv_id::VARCHAR AS doc_id,
+                  conv_id || '_' || (turn + 1) AS target_id, 0 AS label_pos FROM questions""",
+    )
+    sql["triple_source"] = query(
+        PASSAGE_LABELS,
+        """placed AS (SELECT item_id, row_number() OVER (ORDER BY file_row) - 1 AS query_pos
+                      FROM (SELECT item_id, row_number() OVER () AS file_row FROM benchmark))""",
+        """SELECT item_id::VARCHAR AS query_id, query_pos, doc_id::VARCHAR AS target_id,
+                  row_number() OVER (ORDER BY item_id, doc_id) - 1 AS label_pos
+           FROM labels_found JOIN placed USING (item_id)""",
+    )
+    sql["length_positions"] = query(
+        LENGTHS,
+        """numbered AS (
+             SELECT qid, bucket, item_id, split_part(qid, '_', 2)::INT AS own
+             FROM length_queries JOIN (SELECT unnest([256, 1024, 4096]) AS bucket) ON contains(qid, bucket::VARCHAR))""",
+        """SELECT 'needle_' || bucket AS dataset, qid AS query_id,
+                  row_number() OVER (PARTITION BY bucket ORDER BY item_id, own) - 1 AS query_pos FROM numbered""",
+    )
+    sql["swap_then_prompt"] = query(
+        CONVERSATIONS,
+        """SELECT chunk_id, 'search_document: ' ||
+                  CASE WHEN ('0x' || substr(md5('42:' || chunk_id), 1, 8))::BIGINT / 4294967296.0 < 0.3
+                       THEN lower(text) ELSE text END AS text
+           FROM corpus""",
+    )
+    sql["nested_without_prompt"] = sql["nested_docs"]
+    sql["prompted_set_stats"] = query(
+        CONVERSATIONS,
+        CORPUS_STATS.replace("{corpus}", "corpus"),
+        QUERY_STATS.replace("'text'", "text").replace("FROM asked", "FROM (SELECT 'search_query: ' || text AS text FROM asked)"),
+        f"SELECT * FROM ({QUERY_STATS_ROWS}) CROSS JOIN ({CORPUS_STATS_ROWS})",
+    )
+
     # joins and checks
     sql["query_label_join"] = query(
         passages(),
@@ -501,6 +552,26 @@ def oracle_sql() -> dict[str, str]:
                   count(*) = (SELECT count(*) FROM corpus) AS complete
            FROM run GROUP BY query_id""",
     )
+    sql["run_coverage"] = query(
+        HOLED_RUN,
+        """SELECT query_id, count(run.target_id) AS scored, (SELECT count(*) FROM documents) AS chunks,
+                  count(run.target_id) = (SELECT count(*) FROM documents)
+                  AND count(DISTINCT run.target_id) FILTER (d.doc_id IS NOT NULL) = (SELECT count(*) FROM documents) AS complete
+           FROM run LEFT JOIN documents d ON d.doc_id::VARCHAR = run.target_id GROUP BY query_id""",
+    )
+    sql["coverage_faults"] = query(
+        HOLED_RUN,
+        "pairs AS (SELECT query_id, target_id, count(*) AS times FROM run GROUP BY ALL)",
+        """wanted AS (SELECT DISTINCT source AS query_id, doc_id::VARCHAR AS target_id
+                      FROM (SELECT DISTINCT source FROM documents) CROSS JOIN (SELECT DISTINCT doc_id FROM documents))""",
+        """SELECT query_id, target_id,
+                  CASE WHEN p.times IS NULL THEN 'missing' WHEN w.target_id IS NULL THEN 'unknown' ELSE 'repeated' END AS fault,
+                  coalesce(p.times, 0) AS times
+           FROM wanted w FULL JOIN pairs p USING (query_id, target_id)
+           WHERE p.times IS NULL OR w.target_id IS NULL OR p.times > 1""".replace(
+            "w.target_id IS NULL", "NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id::VARCHAR = p.target_id)"
+        ),
+    )
     sql["duplicate_ids"] = """
         SELECT conv_id::VARCHAR AS chunk_id, count(*) AS copies FROM conversations
         GROUP BY conv_id HAVING count(*) > 1"""
@@ -530,6 +601,7 @@ def oracle_sql() -> dict[str, str]:
 
     # dense
     sql["dense_scores_topk"] = query(*dense_run, RUN_ROWS)
+    sql["dense_tiles_topk"] = sql["dense_scores_topk"]
     sql["dense_ndcg_at_10"] = query(
         *dense_run, per_query(), macro(), MEAN_ROWS + " WHERE metric = 'ndcg_at_10'"
     )
@@ -573,6 +645,33 @@ shifted AS (SELECT dataset, (query_pos)::VARCHAR AS query_id, text FROM asked)""
         passages(), BM25_TERMS, "SELECT term, df, round(idf, 6) AS idf FROM idf"
     )
     sql["bm25_scores_topk"] = query(CONVERSATIONS, bm25(), ranked(), RUN_ROWS)
+    sql["bm25_tiles_topk"] = sql["bm25_scores_topk"]
+    sizes = """
+scores AS (
+  SELECT 'triples' AS dataset, q.query_id, d.chunk_id AS target_id,
+         round(q.chars + q.words * d.tokens, 6)::DOUBLE AS score
+  FROM asked_sizes q CROSS JOIN corpus_sizes d)
+"""
+    sql["contextual_triples_metrics"] = query(
+        PASSAGE_LABELS,
+        """
+qrels AS (
+  SELECT 'triples' AS dataset, item_id::VARCHAR AS query_id, doc_id::VARCHAR AS target_id, doc_id AS label_pos
+  FROM labels_found),
+asked_sizes AS (
+  SELECT item_id::VARCHAR AS query_id, length(text) AS chars, len(string_split(text, ' ')) AS words
+  FROM benchmark WHERE item_id IN (SELECT item_id FROM labels_found)),
+corpus_sizes AS (
+  SELECT doc_id::VARCHAR AS chunk_id, len("""
+        + TOKENISE.format("coalesce(text, '')")
+        + """) AS tokens FROM documents)""",
+        sizes,
+        ranked(),
+        per_query(),
+        macro(),
+        PARENT_MAX,
+        WITH_PARENTS,
+    )
     sql["bm25_metrics"] = query(
         passages(), LABELLED_ONLY, bm25("asked_labelled"), ranked(), per_query(), macro(), PARENT_MAX, WITH_PARENTS
     )
@@ -599,6 +698,7 @@ shifted AS (SELECT dataset, (query_pos)::VARCHAR AS query_id, text FROM asked)""
     sql["scaling_metrics"] = query(
         CONVERSATIONS, bm25(), SAMPLES, SCALING, "SELECT dataset, metric, value FROM scaling_means"
     )
+    sql["scaling_by_trial"] = sql["scaling_metrics"]
     sql["corpus_stats"] = query(LINES, CORPUS_STATS.replace("{corpus}", "lines"), CORPUS_STATS_ROWS)
     sql["query_stats"] = query(CONVERSATIONS, QUERY_STATS, QUERY_STATS_ROWS)
     sql["dataset_stats"] = query(
@@ -674,6 +774,25 @@ lengths_of AS (SELECT chunk_id, sqrt(sum(value * value)) AS norm FROM blended GR
         "long AS (SELECT chunk_id, unnest(vector) AS x, unnest(range(len(vector))) AS dim FROM chunk_tokens)",
         "SELECT chunk_id, dim, round(avg(x), 6) AS value FROM long GROUP BY chunk_id, dim",
     )
+    sql["late_chunk_vectors"] = """
+        WITH tokens AS (
+          SELECT vec_id // 20 AS doc, vec_id % 20 AS place, embedding::DOUBLE[] AS vector FROM embeddings),
+        spans AS (SELECT DISTINCT doc, unnest([0, 5, 10, 15]) AS low FROM tokens),
+        long AS (
+          SELECT s.doc || '_' || (low // 5) AS chunk_id, unnest(vector) AS x, unnest(range(len(vector))) AS dim
+          FROM spans s JOIN tokens t ON t.doc = s.doc AND place >= low AND place < low + 7)
+        SELECT chunk_id, dim, round(avg(x), 6) AS value FROM long GROUP BY chunk_id, dim"""
+    sql["plugin_limits"] = query(
+        CONVERSATIONS,
+        r"""cut AS (
+          SELECT chunk_id, text, length(array_to_string(string_split(text, ' ')[1:5], ' ')) AS told,
+                 length(regexp_extract(text, '^(?:[^\p{L}\p{N}]*[\p{L}\p{N}]+){1,5}')) AS front
+          FROM corpus)""",
+        r"""SELECT chunk_id, told,
+                  CASE WHEN len(regexp_extract_all(text, '[\p{L}\p{N}]+')) >= 5 THEN front ELSE length(text) END AS cut,
+                  length(text) AS lifted
+           FROM cut""",
+    )
     sql["plugin_contextual"] = query(
         CONVERSATIONS,
         f"""sized AS (

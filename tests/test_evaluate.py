@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from chunkrank import workloads as w
 from chunkrank.operators import analysis, metrics
-from chunkrank.operators.encode import HashedTokens, hash_encode
+from chunkrank.operators.encode import HashedTokens
 from chunkrank.plans import evaluate as plan
 from chunkrank.plans.evaluate import evaluate
 from chunkrank.plans.suites import length_suite_metrics
 from chunkrank.schema import RetrievalSet
+from chunkrank.sources.registry import merge
 
 
 def values(df):
@@ -64,7 +65,7 @@ def texts(spark):
     return text_set(spark, docs, queries, labels), docs, queries
 
 
-@pytest.mark.parametrize("form", ["auto", "grid"])
+@pytest.mark.parametrize("form", ["auto", "grid", "tiles"])
 @pytest.mark.parametrize("sentinels", [(), ("[cls]", "[sep]")])
 def test_bm25(texts, form, sentinels):
     data, docs, queries = texts
@@ -139,6 +140,52 @@ def test_short_trials_are_drawn_again(spark, texts, monkeypatch):
     assert rows(analysis.scaling_samples(corpus, (2, 5)), "n", "trial", "parent") == whole
 
 
+def scaled(data, form, sizes=(1, 2, 5, 20), ignore=True):
+    scored = plan.lexical(data)
+    return values(analysis.scale_scored(scored.queries, scored.chunks, scored.qrels, scored.scorer, sizes, form=form, ignore_identical_ids=ignore))
+
+
+def test_both_scaling_plans_agree(spark, texts):
+    data = texts[0]
+    # Ties everywhere, queries with two labels in one document and in two, a label that is no chunk.
+    more = spark.createDataFrame(
+        [("d", "q2", "0_0", 7), ("d", "q2", "0_1", 8), ("d", "q3", "5_1", 9), ("d", "q3", "5_9", 10), ("d", "q_none", "19_1", 3)],
+        data.qrels.schema,
+    )
+    data = data.but(qrels=data.qrels.unionByName(more))
+    once = scaled(data, "once")
+    assert once == scaled(data, "trial") == scaled(data, "auto")
+    assert len(once) == 8
+
+
+@pytest.mark.parametrize("ignore", [True, False])
+def test_scaling_plans_agree_on_queries_named_like_chunks(spark, ignore):
+    docs = [("a_0", "x"), ("b_0", "x y"), ("b_1", "y y"), ("c_0", "x x y"), ("d", "x")]
+    queries = [("a_0", "x"), ("b_1", "y"), ("d", "y x"), ("q", "nothing")]
+    data = text_set(spark, docs, queries, [("a_0", "a_0"), ("a_0", "c_0"), ("b_1", "b_0"), ("d", "d"), ("q", "c_0")])
+    assert scaled(data, "once", (1, 2, 5), ignore) == scaled(data, "trial", (1, 2, 5), ignore)
+
+
+def test_scaling_scores_once_only_what_is_cheaper_and_fits(spark, texts, monkeypatch):
+    from chunkrank.operators import trials
+
+    data = texts[0]
+    scored = plan.lexical(data)
+    draw = analysis.scaling_samples(scored.chunks, (1, 20))
+    labels = analysis.trial_labels(data.qrels, draw)
+    offered = trials.offered_by_trial(scored.chunks, draw)
+    cost = trials.costs(offered, labels, scored.queries, scored.chunks, draw, scored.scorer)
+    asked = labels.select("n", "trial", "query_id").distinct().groupBy("n", "trial").count()
+    by_hand = sum(r["count"] * 2 * r["n"] for r in asked.collect())
+    assert cost.fits and cost.by_trial == by_hand and cost.once == 11 * 40
+    used = []
+    monkeypatch.setattr(trials, "label_ranks", lambda *a, **k: used.append(a) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        scaled(data, "auto", (1, 20))
+    monkeypatch.setattr(trials, "MOST_LABELS", 3)
+    assert scaled(data, "auto", (1, 20)) and len(used) == 1
+
+
 def test_empty_trials_are_counted(spark):
     docs = [("a_0", "x"), ("b_0", "y")]
     data = text_set(spark, docs, [("q", "x")], [("q", "a_0")])
@@ -247,9 +294,111 @@ def test_suite_equals_its_parts(spark, sf):
     assert both == {**apart[0], **apart[1]}
 
 
-def test_timed_stage(spark, texts):
-    kept, seconds = plan.timed(hash_encode(texts[0].corpus))
-    assert seconds > 0 and kept.count() == 40
+def ten_sets(spark):
+    sets = []
+    for i in range(10):
+        name = f"task_{i}" if i < 3 else f"s{i}"
+        chunks = spark.createDataFrame([(name, f"{j}_0", "x" * (12 * i)) for j in range(3)], "dataset string, chunk_id string, text string")
+        queries = spark.createDataFrame([(name, "q", 0, "ask")], "dataset string, query_id string, query_pos long, text string")
+        labels = spark.createDataFrame([(name, "q", "1_0", 0)], "dataset string, query_id string, target_id string, label_pos int")
+        sets.append(RetrievalSet(chunks, queries, labels))
+    return merge(sets)
+
+
+def test_runtime_is_told_for_each_data_set(spark):
+    def slow_letters():
+        """A plug-in that takes a millisecond for every letter x."""
+        import time
+
+        def model(texts):
+            time.sleep(sum(t.count("x") for t in texts) / 1000)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    found = values(length_suite_metrics(ten_sets(spark), tasks=("task",), method="sentence_transformer", factory=slow_letters, runtime=True))
+    seconds = {d: v for (d, m), v in found.items() if m == "runtime"}
+    assert len(seconds) == 11 and len(set(seconds.values())) == 11
+    for i in range(10):
+        own = seconds[f"task_{i}" if i < 3 else f"s{i}"]
+        assert 0.036 * i <= own < 0.036 * i + 0.3
+    assert seconds["task_avg"] == pytest.approx(np.mean([seconds[f"task_{i}"] for i in range(3)]))
+
+
+def test_runtime_of_an_index_goes_by_tokens(spark, texts):
+    counts = spark.createDataFrame([("a", None, 2, 30), ("b", None, 1, 10), ("a", "x", 1, 5)], "dataset string, term string, df long, total long")
+    assert plan.shared_out(8.0, counts) == {"a": 6.0, "b": 2.0}
+    scored = plan.lexical(texts[0])
+    assert list(scored.runtime()) == ["d"] and scored.runtime()["d"] > 0
+
+
+def test_limits_are_settled_with_the_factory(spark):
+    from chunkrank.operators.encode import Limits, encode, first_words
+
+    def knows_both(max_tokens=None, extended_context=False):
+        return lambda texts: [[float(max_tokens or 0), float(extended_context), float(len(t))] for t in texts]
+
+    def knows_none():
+        return lambda texts: [[0.0, 0.0, float(len(t))] for t in texts]
+
+    def takes_all(**limits):
+        return lambda texts: [[float(limits["max_tokens"]), float(limits["extended_context"]), float(len(t))] for t in texts]
+
+    rows_ = spark.createDataFrame([("d", "1", "one, two three"), ("d", "2", "--"), ("d", "3", "")], "dataset string, chunk_id string, text string")
+
+    def sizes(factory, **limits):
+        return [r.vector for r in encode(rows_.coalesce(1), factory, **limits).orderBy("chunk_id").collect()]
+
+    assert sizes(knows_both, max_tokens=2) == [[2, 0, 14], [2, 0, 2], [2, 0, 0]]
+    assert sizes(takes_all, max_tokens=2, extended_context=True) == [[2, 1, 14], [2, 1, 2], [2, 1, 0]]
+    assert sizes(knows_none, max_tokens=2) == [[0, 0, 8], [0, 0, 2], [0, 0, 0]]
+    assert sizes(knows_none, max_tokens=2, extended_context=True)[0] == [0, 0, 14]
+    assert sizes(knows_none)[0] == [0, 0, 14]
+    assert Limits(knows_none, 0).texts(["a b"]) == [""]
+    assert first_words("été_ça 漢字", 2) == "été_ça" and first_words("a", 5) == "a"
+
+
+@pytest.mark.parametrize("method", ["sentence_transformer", "contextual"])
+def test_limits_reach_the_plug_in_from_evaluate(spark, method):
+    data = text_set(spark, [("1", "a b c"), ("2", "c")], [("q", "a a a")], [("q", "1")])
+    seen = lambda max_tokens=None, extended_context=False: lambda texts: [[float(max_tokens)] for _ in texts]
+    every = lambda max_tokens=None: lambda docs: [[[float(max_tokens)] for _ in d] for d in docs]
+    options = {"contextual_factory": every} if method == "contextual" else {}
+    scored = plan.scored_by(data, method, factory=seen, max_tokens=7, **options)
+    assert {tuple(r.vector) for r in scored.chunks.collect()} == {(7.0,)}
+    assert {tuple(r.vector) for r in scored.queries.collect()} == {(7.0,)}
+
+
+@pytest.mark.parametrize("width", [1, 3, 512])
+def test_late_chunks_by_overlapping_spans(spark, width):
+    from chunkrank.operators.encode import late_chunks
+
+    rng = np.random.default_rng(width)
+    tokens = [("d", f"doc{d}", i, rng.normal(size=2).round(3).tolist()) for d in range(3) for i in range(20 * d + 5)]
+    spans = [("d", f"doc{d}", f"doc{d}_{n}", b, b + size) for d in range(4) for n, (b, size) in enumerate([(0, 3), (2, 9), (4, 1), (5, 0), (30, 100)])]
+    t = spark.createDataFrame(tokens, "dataset string, doc_id string, offset int, vector array<float>")
+    s = spark.createDataFrame(spans, "dataset string, doc_id string, chunk_id string, begin int, end int")
+    got = {r.chunk_id: r.vector for r in late_chunks(t, s, width).collect()}
+    want = {}
+    for _, doc, chunk, begin, end in spans:
+        inside = [v for _, d, i, v in tokens if d == doc and begin <= i < end]
+        if inside:
+            want[chunk] = np.mean(inside, axis=0)
+    assert set(got) == set(want)
+    assert all(np.allclose(got[c], want[c], atol=1e-5) for c in want)
+
+
+def test_passages_of_any_length_are_found(spark, tmp_path, monkeypatch):
+    texts_ = [(1, "one two three"), (2, "a one two three, four"), (3, "onetwo three"), (4, None), (5, "")]
+    items = [(10, "one two three"), (11, "two"), (12, "e t"), (13, "one two three"), (14, "absent"), (15, None), (16, "")]
+    spark.createDataFrame(texts_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = sorted(
+        (i, d, len(t[: t.index(p)].split())) for i, p in items for d, t in texts_ if p is not None and t is not None and p in t
+    )
+    assert rows(w.passage_labels(spark, str(tmp_path)), "item_id", "doc_id", "start_word") == want
+    monkeypatch.setattr(w, "AUTOMATON_CHARACTERS", 5)
+    assert rows(w.passage_labels(spark, str(tmp_path)), "item_id", "doc_id", "start_word") == want
 
 
 def test_own_scorer(texts):

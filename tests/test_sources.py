@@ -2,11 +2,14 @@
 
 import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chunkrank.schema import SchemaError
-from chunkrank.sources import readers, registry, sinks
 from chunkrank.functions import ids
+from chunkrank.operators import checks, encode, stats, views
+from chunkrank.plans.evaluate import evaluate
+from chunkrank.schema import SchemaError
+from chunkrank.sources import positions, readers, registry, sinks
 
 
 def write(spark, path, rows_, schema):
@@ -33,17 +36,104 @@ def chunked(spark, tmp_path):
 def test_chunked_source(spark, chunked):
     data = readers.read_chunked(spark, chunked, query_prompt="q: ", doc_prompt="d: ")
     assert rows(data.corpus, "dataset", "doc_id", "internal_id", "chunk_id", "text", "og_text") == [
-        ("set", "a", 0, "a_0", "d: one", "ONE"),
-        ("set", "a", 1, "a_1", "d: two", "TWO"),
-        ("set", "b", 0, "b_0", "d: three", "THREE"),
-    ]
-    assert rows(data.queries, "query_id", "query_pos", "text") == [
-        ("0", 0, "q: first"),
-        ("1", 1, "q: second"),
+        ("set", "a", 0, "a_0", "one", "ONE"),
+        ("set", "a", 1, "a_1", "two", "TWO"),
+        ("set", "b", 0, "b_0", "three", "THREE"),
     ]
+    assert rows(data.queries, "query_id", "query_pos", "text") == [("0", 0, "first"), ("1", 1, "second")]
+    flat = views.with_prompts(data)
+    assert rows(flat.corpus, "text") == [("d: one",), ("d: three",), ("d: two",)]
+    assert rows(flat.queries, "text") == [("q: first",), ("q: second",)]
+    # A prompt is put there once, and nothing is left to put.
+    assert rows(views.with_prompts(flat).queries, "text") == [("q: first",), ("q: second",)]
     assert rows(data.qrels, "query_id", "target_id", "label_pos") == [("0", "a_1", 0), ("1", "b_0", 0)]
 
 
+def test_swap_comes_before_the_prompt(spark, chunked):
+    data = readers.read_chunked(spark, chunked, doc_prompt="d: ", og_ratio=1.0)
+    assert rows(views.with_prompts(data).corpus, "text") == [("d: ONE",), ("d: THREE",), ("d: TWO",)]
+    some = readers.read_chunked(spark, chunked, og_ratio=0.5, seed=7)
+    whole = readers.read_chunked(spark, chunked)
+    assert rows(some.corpus, "text") == rows(views.swap_chunks(whole.corpus, 0.5, 7), "text")
+
+
+def test_nested_views_take_no_prompt(spark, chunked):
+    data = readers.read_chunked(spark, chunked, query_prompt="q: ", doc_prompt="d: ")
+    inside = views.with_prompts(data, by_document=True, nested_queries=True)
+    assert rows(views.nested(inside.corpus).select("doc_id", F.concat_ws("|", "texts").alias("t"))) == [("a", "one|two"), ("b", "three")]
+    assert rows(inside.queries, "text") == [("first",), ("second",)]
+    counted = stats.set_stats(data).first()
+    assert counted.average_num_tokens_per_doc == 1.5 and counted.average_num_tokens_per_query == 2.0
+
+
+def test_chunks_without_documents_keep_their_prompt_beside_nested_ones(spark, chunked, tmp_path):
+    task = tmp_path / "NanoNQ"
+    write(spark, task / "corpus/train", [("x_1", "alone"), ("x_2", "too")], "_id string, text string")
+    write(spark, task / "queries/train", [("q1", "ask")], "_id string, text string")
+    write(spark, task / "qrels/train", [("q1", "x_1")], "`query-id` string, `corpus-id` string")
+    triples = registry.load_triple_suite(spark, str(tmp_path), ["NanoNQ"], query_prompt="> ", doc_prompt="t: ")
+    both = readers.read_chunked(spark, chunked, doc_prompt="d: ").union(triples)
+    seen = views.with_prompts(both, by_document=True).corpus
+    assert rows(seen, "text") == [("one",), ("t: alone",), ("t: too",), ("three",), ("two",)]
+    sizes = lambda: lambda documents: [[[float(len(d))] for _ in d] for d in documents]
+    found = encode.encode_in_context(seen, sizes)
+    assert rows(found, "chunk_id", "vector") == [("a_0", [2.0]), ("a_1", [2.0]), ("b_0", [1.0]), ("x_1", [1.0]), ("x_2", [1.0])]
+
+
+def several_files(spark, path, sizes, schema, row, fmt="parquet"):
+    """Files of the given numbers of rows, in the order of their names, numbered through."""
+    done = 0
+    for i, n in enumerate(sizes):
+        part = path / f"tmp{i}"
+        spark.createDataFrame([row(done + j) for j in range(n)], schema).coalesce(1).write.format(fmt).save(str(part))
+        file = next(p for p in part.iterdir() if p.name.startswith("part-"))
+        path.joinpath("train").mkdir(parents=True, exist_ok=True)
+        file.rename(path / f"train/{i:03d}.{fmt}")
+        done += n
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_files_of_different_size_are_numbered_in_file_order(spark, tmp_path, chunked, fmt):
+    several_files(spark, tmp_path / "many", [3, 3000, 5], "query string, chunk_id string", lambda i: (f"text {i}", "a_1"), fmt)
+    scan = readers.open_table(spark, str(tmp_path / "many/train"), fmt, in_order=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            numbered = readers.with_row_position(scan, "place")
+            assert numbered.count() == 3008
+            assert numbered.filter("query <> concat('text ', place)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numbers_inside_groups_of_any_size(spark):
+    rows_ = spark.range(0, 5000, 1, 9).select(
+        F.when(F.col("id") < 4000, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("dataset"),
+        (F.lit(10_000) - F.col("id")).alias("at"),
+    )
+    numbered = positions.numbered_within(rows_, ["dataset"], F.col("at"), "place")
+    wanted = rows_.withColumn("place", F.row_number().over(Window.partitionBy("dataset").orderBy("at")) - 1)
+    assert rows(numbered, "dataset", "at", "place") == rows(wanted, "dataset", "at", "place")
+    again = positions.numbered_within(numbered, ["dataset"], F.col("place"), "place")
+    assert rows(again, "dataset", "at", "place") == rows(wanted, "dataset", "at", "place")
+
+
+def test_the_last_of_repeated_ids_counts_from_files(spark, tmp_path):
+    base = tmp_path / "twice"
+    chunks = [("a_0", "gold"), ("b_0", "other"), ("a_0", "nothing"), ("b_0", "gold here")]
+    write(spark, base / "documents/train", chunks, "chunk_id string, chunk string")
+    write(spark, base / "queries/train", [("gold", "b_0")], "query string, chunk_id string")
+    data = readers.read_chunked(spark, str(base))
+    kept = checks.keep_last(data.corpus, "chunk_pos")
+    assert rows(kept, "chunk_id", "text") == [("a_0", "nothing"), ("b_0", "gold here")]
+    assert kept.columns == data.corpus.columns
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    found = {r.metric: r.value for r in evaluate(data, "bm25").collect()}
+    assert found["recall_at_1"] == 1.0
+
+
 def test_many_labels_per_query(spark, tmp_path, chunked):
     write(
         spark,
@@ -117,7 +207,7 @@ def test_triples(spark, tmp_path):
     write(spark, base / "qrels/train", labels, "`query-id` string, `corpus-id` string, score int")
     data = registry.load_triple_suite(spark, str(tmp_path), ["NanoNQ"], query_prompt="> ")
     assert rows(data.corpus, "dataset", "chunk_id", "text") == [("NanoNQ", "d1", "x"), ("NanoNQ", "d2", "y")]
-    assert rows(data.queries, "query_id", "text") == [("q1", "> ask")]
+    assert rows(views.with_prompts(data).queries, "query_id", "text") == [("q1", "> ask")]
     # a score of 0 is still a label
     assert rows(data.qrels, "target_id", "label_pos") == [("d1", 0), ("d2", 1)]
 
@@ -135,11 +225,12 @@ def test_length_tasks(spark, tmp_path):
     data = readers.read_length_tasks(spark, str(tmp_path), "needle", [512, 256], query_prompt="> ")
     assert rows(data.corpus, "dataset", "chunk_id", "text") == [("needle_256", "d1", "x"), ("needle_512", "d2", "y")]
     # 12560 contains the digits 256, so the query counts in both buckets
-    assert rows(data.queries, "dataset", "query_id", "text") == [
-        ("needle_256", "12560_512", "> ask"),
-        ("needle_256", "7_256", "> tell"),
-        ("needle_512", "12560_512", "> ask"),
+    assert rows(views.with_prompts(data).queries, "dataset", "query_id", "query_pos", "text") == [
+        ("needle_256", "12560_512", 0, "> ask"),
+        ("needle_256", "7_256", 1, "> tell"),
+        ("needle_512", "12560_512", 0, "> ask"),
     ]
+    assert rows(views.with_prompts(data).corpus, "text") == [("x",), ("y",)]
     whole = readers.read_length_tasks(spark, str(tmp_path), "needle")
     assert whole.corpus.count() == 3 and rows(whole.queries, "dataset") == [("needle",), ("needle",)]
 

@@ -1,4 +1,4 @@
-"""The two physical forms against a plain all-pairs computation."""
+"""The physical forms and the floors against a plain all-pairs computation."""
 
 import numpy as np
 import pytest
@@ -6,8 +6,10 @@ from conftest import rows
 
 import chunkrank.operators.scorers as scorers
 import chunkrank.operators.topk as topk
+from chunkrank.operators import tiles
 from chunkrank.operators.scorers import Bm25, Dense, MaxSim
 from chunkrank.operators.topk import best_targets, rank_targets
+from chunkrank.session import scan_tasks
 
 
 def brute(scores, query_ids, chunk_ids, k, parents=False, ignore=True):
@@ -76,14 +78,101 @@ def test_dense_grid_form(dense_case, cells):
     assert got["parent"] == brute(scores, query_ids, chunk_ids, 5, parents=True)
 
 
-def test_too_many_queries_turn_to_the_grid(dense_case, monkeypatch):
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_too_many_queries_turn_to_tiles(dense_case, monkeypatch):
     q, c, scores, query_ids, chunk_ids = dense_case
     monkeypatch.setattr(topk, "BROADCAST_QUERIES", 10)
     found = best_targets(q, c, Dense(), k=10)
-    assert "FlatMapCoGroups" in found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan_of(found) and "Exchange" not in plan_of(found)
     assert levels(rank_targets(found, k=10))["chunk"] == brute(scores, query_ids, chunk_ids, 10)
 
 
+@pytest.mark.parametrize("cells", [(100, 1000), (5, 40), (1, 7)])
+@pytest.mark.parametrize("with_floors", [False, True])
+def test_dense_tile_form(dense_case, cells, with_floors):
+    q, c, scores, query_ids, chunk_ids = dense_case
+    found = best_targets(
+        q, c.repartition(5), Dense(), k=10, parent_k=5, form="tiles", query_cell=cells[0], chunk_cell=cells[1],
+        with_floors=with_floors, floor_every=2,
+    )
+    got = levels(rank_targets(found, k=10, parent_k=5))
+    assert got["chunk"] == brute(scores, query_ids, chunk_ids, 10)
+    assert got["parent"] == brute(scores, query_ids, chunk_ids, 5, parents=True)
+
+
+def test_tiles_hold_their_bounds(dense_case):
+    q = dense_case[0]
+    stored = tiles.written(q, ["dataset"], Dense().query_elements(), rows=8_192, most_elements=30)
+    sizes = [tiles.load(f, ["query_id", "vector"]).num_rows for f in stored.files]
+    assert sum(sizes) == q.count() and max(sizes) <= 5
+    assert stored.readable()
+    assert not tiles.Tiles(("nowhere://x/y.parquet",), stored.table).readable()
+
+
+def test_a_folder_that_tasks_cannot_open_turns_to_the_grid(dense_case, monkeypatch):
+    q, c, scores, query_ids, chunk_ids = dense_case
+    monkeypatch.setattr(tiles.Tiles, "readable", lambda self: False)
+    found = best_targets(q, c, Dense(), k=10, form="tiles")
+    assert "FlatMapCoGroups" in plan_of(found)
+    assert levels(rank_targets(found, k=10))["chunk"] == brute(scores, query_ids, chunk_ids, 10)
+
+
+def test_ten_thousand_queries_move_no_chunk(spark):
+    rng = np.random.default_rng(8)
+    queries, chunks = rng.normal(size=(10_000, 3)).round(2), rng.normal(size=(300, 3)).round(2)
+    q = spark.createDataFrame(
+        [("d", f"q{i}", v.tolist()) for i, v in enumerate(queries)], "dataset string, query_id string, vector array<double>"
+    )
+    c = spark.createDataFrame(
+        [("d", f"{i}_0", v.tolist()) for i, v in enumerate(chunks)], "dataset string, chunk_id string, vector array<double>"
+    )
+    found = best_targets(q, c, Dense(), k=3)
+    assert "Exchange" not in plan_of(found) and "CoGroups" not in plan_of(found)
+    same = best_targets(q, c, Dense(), k=3, form="broadcast")
+    names = ("query_id", "target_id", "score", "rank")
+    assert rows(rank_targets(found, k=3), *names) == rows(rank_targets(same, k=3), *names)
+
+
+@pytest.mark.parametrize("form", ["broadcast", "tiles"])
+def test_floors_send_fewer_candidates_and_change_nothing(spark, form):
+    rng = np.random.default_rng(12)
+    queries, chunks = rng.normal(size=(20, 4)).round(1), rng.normal(size=(4000, 4)).round(1)
+    qi, ci = [f"q{i}" for i in range(20)], [f"{i // 3}_{i % 3}" for i in range(4000)]
+    q = spark.createDataFrame([("d", i, v.tolist()) for i, v in zip(qi, queries)], "dataset string, query_id string, vector array<double>")
+    c = spark.createDataFrame([("d", i, v.tolist()) for i, v in zip(ci, chunks)], "dataset string, chunk_id string, vector array<double>")
+    c = c.repartition(40)
+    plain = best_targets(q, c, Dense(), k=10, parent_k=5, form=form, with_floors=False)
+    floored = best_targets(q, c, Dense(), k=10, parent_k=5, form=form, with_floors=True, floor_every=4)
+    assert plain.count() == 40 * 20 * (10 + 5)
+    assert floored.count() < 0.3 * plain.count()
+    got = levels(rank_targets(floored, k=10, parent_k=5))
+    assert got["chunk"] == brute(queries @ chunks.T, qi, ci, 10)
+    assert got["parent"] == brute(queries @ chunks.T, qi, ci, 5, parents=True)
+    assert got == levels(rank_targets(plain, k=10, parent_k=5, levels=2))
+
+
+def test_floors_of_queries_that_the_sample_cannot_fill(dense_case):
+    q, c, scores, query_ids, chunk_ids = dense_case
+    found = best_targets(q, c.repartition(6), Dense(), k=200, with_floors=True, floor_every=6)
+    assert levels(rank_targets(found, k=200))["chunk"] == brute(scores, query_ids, chunk_ids, 200)
+
+
+def test_tasks_of_a_scan_are_estimated_from_its_files(spark, tmp_path):
+    spark.range(200_000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+        assert scan_tasks(table.filter("id > 5")) > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert scan_tasks(table) == 1
+    assert scan_tasks(spark.createDataFrame([(1,)], "a int")) == 1
+
+
 def test_small_pieces_and_shrinking(dense_case, monkeypatch):
     monkeypatch.setattr(topk, "FEWEST_ROWS", 8)
     monkeypatch.setattr(topk, "BLOCK_CELLS", 64)
@@ -127,7 +216,7 @@ def test_one_hot_parent_is_split_over_cells(spark):
     assert got["parent"] == brute(queries @ chunks.T, query_ids, chunk_ids, 5, parents=True)
 
 
-@pytest.mark.parametrize("form", ["auto", "grid"])
+@pytest.mark.parametrize("form", ["auto", "grid", "tiles"])
 def test_keys_keep_groups_apart(spark, form):
     rng = np.random.default_rng(11)
     q_rows, c_rows, expected = [], [], []
@@ -150,7 +239,7 @@ def unit(m):
 
 
 @pytest.mark.parametrize("pad_floor", [False, True])
-@pytest.mark.parametrize("form", ["auto", "grid"])
+@pytest.mark.parametrize("form", ["auto", "grid", "tiles"])
 def test_maxsim(spark, pad_floor, form, monkeypatch):
     # shipped to the workers by value, so they score in the same tiny blocks
     monkeypatch.setattr(scorers, "BLOCK_CELLS", 150)

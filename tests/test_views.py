@@ -143,6 +143,50 @@ def test_run_shape(spark, corpus):
     assert got == [("q1", 3, True), ("q2", 1, False), ("q3", 0, False)]
 
 
+def test_coverage_sees_a_repeat_beside_a_hole(spark):
+    corpus = spark.createDataFrame([("d", c) for c in "abc"], "dataset string, chunk_id string")
+    pairs = [("full", c) for c in "abc"] + [("hole", c) for c in "aac"] + [("more", c) for c in "abcx"] + [("less", "b")]
+    run = spark.createDataFrame([("d", q, t, 0.0) for q, t in pairs], "dataset string, query_id string, target_id string, score double")
+    names = ("full", "hole", "more", "less", "none")
+    qrels = spark.createDataFrame([("d", q, "a") for q in names] * 2, "dataset string, query_id string, target_id string")
+    found = checks.run_coverage(run, corpus, qrels)
+    assert rows(found, "query_id", "scored", "complete") == [
+        ("full", 3, True), ("hole", 3, False), ("less", 1, False), ("more", 4, False), ("none", 0, False)
+    ]
+    assert rows(checks.coverage_faults(run, corpus, qrels), "query_id", "target_id", "fault", "times") == [
+        ("hole", "a", "repeated", 2), ("hole", "b", "missing", 0), ("less", "a", "missing", 0), ("less", "c", "missing", 0),
+        ("more", "x", "unknown", 1), ("none", "a", "missing", 0), ("none", "b", "missing", 0), ("none", "c", "missing", 0),
+    ]
+
+
+def test_anti_joins_meet_distinct_keys(spark):
+    corpus = spark.range(5).select(F.lit("d").alias("dataset"), F.col("id").cast("string").alias("chunk_id"))
+    qrels = spark.range(5000).select(
+        F.lit("d").alias("dataset"), F.lit("busy").alias("query_id"), (F.col("id") % 7).cast("string").alias("target_id")
+    )
+    queries = spark.createDataFrame([("d", "busy"), ("d", "idle")], "dataset string, query_id string")
+    missing = checks.label_violations(qrels, corpus)
+    bare = checks.unlabelled_queries(queries, qrels)
+    assert missing.count() == sum(1 for i in range(5000) if i % 7 > 4)
+    assert rows(bare, "query_id") == [("idle",)]
+    for found in (missing, bare):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        anti = plan.index("LeftAnti")
+        assert "Aggregate" in plan[anti:]
+
+
+def test_last_of_repeated_ids_with_ties_and_by_a_shuffle(spark, monkeypatch):
+    rows_ = [("d", "a", 1, "x"), ("d", "a", 1, "y"), ("d", "a", 0, "z"), ("d", "b", 5, "b"), ("e", "a", 2, "e")]
+    table = spark.createDataFrame(rows_, "dataset string, chunk_id string, place int, text string")
+    for _ in range(2):
+        kept = checks.keep_last(table, "place")
+        assert kept.columns == table.columns
+        assert rows(kept, "dataset", "chunk_id", "text") == [("d", "a", "y"), ("d", "b", "b"), ("e", "a", "e")]
+        monkeypatch.setattr(checks, "SENT_IDS", 0)
+    alone = table.filter("text in ('b', 'e')")
+    assert checks.keep_last(alone, "place") is alone
+
+
 def test_statistics_of_uneven_documents(spark):
     data = [("d", "A", 0, "A_0", "x"), ("d", "A", 1, "A_1", "x y z"), ("d", "B", 0, "B_0", "p q r s")]
     uneven = spark.createDataFrame(data, CORPUS)
