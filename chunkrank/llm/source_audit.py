@@ -45,12 +45,12 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[0x41:0x5B] += 0x20
 
 #: Rows of (source, term) in a share of terms, and sources in a block.
-SHARE_ROWS = 500_000
+SHARE_ROWS = 100_000
 BLOCK = 256
 #: Digests that every task gets as numbers, 8 bytes each; more than these meet by a shuffle.
 SENT_DIGESTS = 1_000_000
 #: Text that a task counts at a time, within an Arrow batch.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 TERM = ("lang", "digest", "split")
 
 
@@ -159,39 +159,45 @@ def counted_terms(rows: DataFrame, digests: DataFrame, digest_bits: int = 64, by
 
     names = ["lang", "source", "digest", "term", "n", "documents"]
 
-    def rows_of(cells: _Cells, cell: np.ndarray, source: pa.Array, digest: np.ndarray, term: pa.Array, *numbers: np.ndarray) -> pa.Table:
+    def rows_of(cells: _Cells, cell: np.ndarray, source: pa.Array, digest: np.ndarray, term: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
         arrays = [cells.lang(cell), source, pa.array(digest), term.cast(pa.string()), *map(pa.array, numbers)]
-        return pa.table(arrays, names=names)
-
-    def count(batch: pa.RecordBatch) -> pa.Table:
-        cells = _Cells(batch)
-        out = [rows_of(cells, np.zeros(0, np.int64), pa.nulls(0, pa.string()), np.zeros(0, np.int64), pa.nulls(0, pa.string()), *[np.zeros(0, np.int64)] * 2)]
-        for part in _parts(batch.column("text")):
-            found = [_counted(texts, cells, digest_bits, sent.value if few else None) for texts in part]
-            if by_text:
-                for terms, (term, cell, digest, *numbers) in found:
-                    out.append(rows_of(cells, cell, cells.source(cell), digest, terms.take(pa.array(term)), *numbers))
-                continue
-            cell, digest, n, documents = (np.concatenate([f[1][i] for f in found]) for i in range(1, 5))
-            (digest, cell), numbers = _summed((digest, cell), (n, documents))
-            out.append(rows_of(cells, cell, cells.source(cell), digest, pa.nulls(len(cell), pa.string()), *numbers))
-            strings, digests, langs = [], [], []
-            for terms, (term, cell, digest, *_) in found:
-                # A string once for each language, whatever its sources.
-                (term, digest, lang), _ = _summed((term, digest, cell // cells.many), ())
-                strings.append(terms.take(pa.array(term)))
-                digests.append(digest)
-                langs.append(lang)
-            code, named = coded(pa.concat_arrays(strings))
-            (code, digest, lang), _ = _summed((code, np.concatenate(digests), np.concatenate(langs)), ())
-            none = np.zeros(len(code), np.int64)
-            out.append(rows_of(cells, lang * cells.many, pa.nulls(len(code), pa.string()), digest, named.take(pa.array(code)), none, none))
-        return pa.concat_tables(out)
-
-    counted = map_batches(rows, count, "lang string, source string, digest long, term string, n long, documents long")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = _Cells(batch)
+            strings, digests, langs = [pa.array([], pa.large_string())], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for part in _parts(batch.column("text")):
+                found = [_counted(texts, cells, digest_bits, sent.value if few else None) for texts in part]
+                if by_text:
+                    for terms, (term, cell, digest, *numbers) in found:
+                        yield rows_of(cells, cell, cells.source(cell), digest, terms.take(pa.array(term)), *numbers)
+                    continue
+                cell, digest, n, documents = (np.concatenate([f[1][i] for f in found]) for i in range(1, 5))
+                (digest, cell), numbers = _summed((digest, cell), (n, documents))
+                yield rows_of(cells, cell, cells.source(cell), digest, pa.nulls(len(cell), pa.string()), *numbers)
+                for terms, (term, cell, digest, *_) in found:
+                    # A string once for each language, whatever its sources.
+                    (term, digest, lang), _ = _summed((term, digest, cell // cells.many), ())
+                    strings.append(terms.take(pa.array(term)))
+                    digests.append(digest)
+                    langs.append(lang)
+                strings, digests, langs = _distinct(strings, digests, langs)
+            if not by_text:
+                none = np.zeros(len(digests[0]), np.int64)
+                yield rows_of(cells, langs[0] * cells.many, pa.nulls(len(none), pa.string()), digests[0], strings[0], none, none)
+
+    schema = "lang string, source string, digest long, term string, n long, documents long"
+    counted = rows.mapInArrow(count, schema)
     return materialised(counted if few else counted.join(digests, "digest", "left_semi").select(*counted.columns))
 
 
+def _distinct(strings: list[pa.Array], digests: list[np.ndarray], langs: list[np.ndarray]) -> tuple[list[pa.Array], list[np.ndarray], list[np.ndarray]]:
+    code, named = coded(pa.concat_arrays(strings))
+    (code, digest, lang), _ = _summed((code, np.concatenate(digests), np.concatenate(langs)), ())
+    return [named.take(pa.array(code))], [digest], [lang]
+
+
 def kept_terms(rows: DataFrame, least: int = LEAST_DOCUMENTS, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Of the terms in ``least`` documents of their language: counts per source, and texts.
 
