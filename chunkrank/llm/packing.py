@@ -24,6 +24,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from operator import add
 from unicodedata import normalize
 
 import numpy as np
@@ -85,7 +86,9 @@ class Encoder:
 
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        # The fast form leaves out the offsets, which are not used.
+        found = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return self._one_by_one(words)
@@ -93,27 +96,33 @@ class Encoder:
         bounds = [0, *(4 * cuts).tolist()]
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def learn(self, names: list[str]) -> None:
-        plain, parted, stems, tails = [], [], set(), set()
+    def learn(self, names: list[str]) -> list[str]:
+        """Remember the ids of new words; returns the stems that are too long to keep for long."""
+        plain, parted, stems, tails = [], [], [], []
         for name in names:
             stem = name.rstrip(SIGNS)
-            if stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha()):
-                tail = name[len(stem) :]
+            if stem.isalpha():
                 if stem.isascii():
-                    stem = stem.lower()
-                parted.append((name, stem, tail))
-                stems.add(stem)
-                tails.add(tail)
+                    stems.append(stem.lower())
+                elif normalize("NFC", stem).lower().isalpha():
+                    stems.append(stem)
+                else:
+                    plain.append(name)
+                    continue
+                parted.append(name)
+                tails.append(name[len(stem) :])
             else:
                 plain.append(name)
         known = self.stems
-        if new := [stem for stem in stems if stem not in known]:
+        if new := list(set(stems).difference(known)):
             known.update(zip(new, self._together(new)))
-        if new := [tail for tail in tails if tail not in known]:
+        if new := list(set(tails).difference(known)):
             known.update(zip(new, self._one_by_one(new)))
-        self.known.update([(name, known[stem] + known[tail]) for name, stem, tail in parted])
+        ids = known.__getitem__
+        self.known.update(zip(parted, map(add, map(ids, stems), map(ids, tails))))
         if plain:
             self.known.update(zip(plain, self._one_by_one(plain)))
+        return [stem for stem in stems if len(stem) > LONGEST_REMEMBERED]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
@@ -123,13 +132,13 @@ class Encoder:
             self.stems = {"": b""}
         split = [WHITE.sub(" ", text).split(" ") for text in texts]
         missing = list(set().union(*split).difference(self.known))
-        self.learn(missing)
+        long = self.learn(missing)
         out = [b"".join(map(self.known.__getitem__, names)) for names in split]
         for name in missing:
             if len(name) > LONGEST_REMEMBERED:
                 del self.known[name]
-                self.stems.clear()
-                self.stems[""] = b""
+        for stem in long:
+            self.stems.pop(stem, None)
         return out
 
 
