@@ -44,7 +44,8 @@ def linked(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     codes: DataFrame,
-    may_hold: Callable[[F.Column, F.Column], F.Column],
+    may_hold: Callable[[F.Column, F.Column], F.Column] | None = None,
+    cross: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of all nodes that ``members`` (key, node) brings together and verify accepts.
 
@@ -53,7 +54,8 @@ def linked(
     settled; then the pairs that share a bucket and are still in different components are verified,
     so that components are those of the full graph without listing the pairs of large groups. These
     pairs must pass ``may_hold`` on their ``codes`` (node, code) while they are joined: what is
-    clearly unlike leaves the join as no row at all.
+    clearly unlike leaves the join as no row at all. ``cross`` takes the place of that join: it gets the
+    members (key, node, component, code) of such buckets and returns edges that hold and connect them.
     """
     # One shuffle of the narrow member rows serves both the count and the join.
     dealt = members.select("key", "node").repartition("key")
@@ -78,6 +80,8 @@ def linked(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high")
     open_ = materialised(placed.join(split.select("key"), "key").join(codes, "node"))
+    if cross is not None:
+        return components(edges.unionByName(cross(open_)))
     other = open_.select(
         "key", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("code").alias("code_b")
     )

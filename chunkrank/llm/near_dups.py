@@ -9,9 +9,9 @@ of the signature there. Texts with an empty coordinate go on to twice the rank.
 a coordinate with the probability of their similarity.
 
 Texts with the same words are one node. Nodes that agree on a whole band of coordinates are
-candidates; hubs first, then what is still apart (see ``components.linked``), unless the share of all
-coordinates that agree is four standard deviations below the similarity asked for (missing one
-pair in 30,000 that just reaches it). Candidates are verified on the numbered shingles themselves: the Jaccard index of (shingle, n-th occurrence) is the weighted
+candidates; hubs first (see ``components.linked``), then what is still apart, where its bucket is read
+(see ``bucket_links``), unless the share of all coordinates that agree is four standard deviations below
+the similarity asked for (missing one pair in 30,000 that just reaches it). Candidates are verified on the numbered shingles themselves: the Jaccard index of (shingle, n-th occurrence) is the weighted
 index of shingles. They are compared as 32-bit hashes, which adds n*m/2**32 to an intersection.
 
 With 32 bands of 6 a pair of similarity 0.8 is missed with probability 6e-5.
@@ -23,15 +23,13 @@ first row); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkrank.llm.bucket_links import crossing
 from chunkrank.llm.components import linked
 from chunkrank.llm.tables import map_batches, materialised, replayable, row_column
 from chunkrank.llm.words import Texts, keyed, mix, slices, windows
@@ -126,21 +124,11 @@ def _code(signature: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
-def may_be_alike(similarity: float) -> Callable[[F.Column, F.Column], F.Column]:
-    """Whether two codes agree on as many coordinates as texts of this similarity do."""
+def most_differences(similarity: float) -> float:
+    """In how many coordinates the codes of texts of this similarity differ, but for four standard deviations."""
     by_chance = 2.0**-PLANES
     share = similarity + (1 - similarity) * by_chance
-    least = COORDINATES * (share - 4 * float(np.sqrt(share * (1 - share) / COORDINATES)))
-    words = COORDINATES // 64
-
-    def test(a: F.Column, b: F.Column) -> F.Column:
-        differ = F.lit(0)
-        for w in range(words):
-            planes = [a[p * words + w].bitwiseXOR(b[p * words + w]) for p in range(PLANES)]
-            differ = differ + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
-        return differ <= F.lit(COORDINATES - least)
-
-    return test
+    return COORDINATES * (1 - share + 4 * float(np.sqrt(share * (1 - share) / COORDINATES)))
 
 
 def fingerprints(texts: Texts) -> list[np.ndarray]:
@@ -237,10 +225,16 @@ def classes(
         .withColumn("node", F.col("first.place"))
     )
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def spelled_out(wanted: DataFrame) -> DataFrame:
         # The joins are sorted at every size: what is small here and now need not be at scale.
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().hint("merge")
-        spelled = materialised(_numbered_shingles(rows.select("place", "text").join(wanted, "place", "left_semi"), shingle))
+        places = wanted.withColumnRenamed("node", "place").hint("merge")
+        return _numbered_shingles(rows.select("place", "text").join(places, "place", "left_semi"), shingle)
+
+    def cross(open_: DataFrame) -> DataFrame:
+        return crossing(open_, spelled_out, similarity, PLANES, most_differences(similarity))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        spelled = materialised(spelled_out(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         of_a = spelled.select(F.col("node").alias("a"), F.col("shingles").alias("in_a")).hint("merge")
         of_b = spelled.select(F.col("node").alias("b"), F.col("shingles").alias("in_b")).hint("merge")
         both = F.size(F.array_intersect("in_a", "in_b"))
@@ -248,7 +242,7 @@ def classes(
         return pairs.join(of_a, "a").join(of_b, "b").filter(alike).select("a", "b")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
-    groups = linked(members, verify, nodes.select("node", "code"), may_be_alike(similarity))
+    groups = linked(members, verify, nodes.select("node", "code"), cross=cross)
     placed = nodes.join(groups, "node", "left").select(
         *prints, "first", "rows", F.coalesce("component", "node").alias("component")
     )
