@@ -12,6 +12,7 @@ from chunkrank.operators import trials
 from chunkrank.operators.metrics import (
     PLACES,
     macro_metrics,
+    metrics_of_labels,
     per_query_metrics,
     rank_run,
     to_long,
@@ -181,7 +182,10 @@ def scaling_metrics(run: DataFrame, labels: DataFrame, samples: DataFrame) -> Da
     ``run`` and ``labels`` are already restricted to the trials. A trial is rounded, the mean
     over trials is not; trials without any query are left out and counted.
     """
-    each = per_query_metrics(run, labels, TRIAL, (10,))
+    return _trial_means(per_query_metrics(run, labels, TRIAL, (10,)), samples)
+
+
+def _trial_means(each: DataFrame, samples: DataFrame) -> DataFrame:
     by_trial = each.groupBy(*TRIAL).agg(F.bround(F.avg("ndcg_at_10"), PLACES).alias("value"))
     sizes = samples.select(*TRIAL).distinct().join(by_trial, list(TRIAL), "left")
     means = sizes.groupBy("dataset", "n").agg(
@@ -219,8 +223,8 @@ def scale_scored(
         offered = trials.offered_by_trial(chunks, samples)
         cost = trials.costs(offered, labels, queries, chunks, draw, scorer)
         if form == "once" or (cost.fits and cost.once <= cost.by_trial and draw.count() <= SMALL_SAMPLES):
-            run = trials.label_ranks(queries, chunks, labels, draw, offered, scorer, ignore_identical_ids)
-            return scaling_metrics(run, labels, draw)
+            ranks = trials.label_ranks(queries, chunks, labels, draw, offered, scorer, ignore_identical_ids)
+            return _trial_means(metrics_of_labels(ranks, TRIAL, (10,)), draw)
     asked = labels.select(*TRIAL, "query_id").distinct().join(queries, ["dataset", "query_id"])
     offered = sampled(chunks, samples, "chunk_id")
     found = best_targets(asked, offered, scorer, TRIAL, k=10, ignore_identical_ids=ignore_identical_ids, form="grid")

@@ -83,10 +83,24 @@ def per_query_metrics(
         # At most max(k) ranks per query; nulls of the misses are not collected.
         .agg(F.sort_array(F.collect_list(F.when(F.col("_hit"), F.col("rank")))).alias("ranks"))
     )
+    return measured(hits.join(relevant, query), query, ks)
+
+
+def measured(hits: DataFrame, query: Sequence[str], ks: Sequence[int] = CUTOFFS) -> DataFrame:
+    """The metrics of each query from ``ranks`` (of its hits, ascending) and ``relevant`` (its labels)."""
     at = {k: _measures(k) for k in ks}
-    return hits.join(relevant, query).select(
-        *query, *[at[k][measure].alias(f"{measure}_at_{k}") for measure in MEASURES for k in ks]
+    return hits.select(*query, *[at[k][measure].alias(f"{measure}_at_{k}") for measure in MEASURES for k in ks])
+
+
+def metrics_of_labels(ranks: DataFrame, keys: Sequence[str], ks: Sequence[int]) -> DataFrame:
+    """The same from one row per label, (keys, query_id, rank), with a null rank where it was not found."""
+    query = [*keys, "query_id"]
+    hits = ranks.groupBy(*query).agg(
+        # At most max(k) labels have such ranks.
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= max(ks), F.col("rank")))).alias("ranks"),
+        F.count(F.lit(1)).alias("relevant"),
     )
+    return measured(hits, query, ks)
 
 
 def macro_metrics(

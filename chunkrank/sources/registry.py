@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from chunkrank.schema import RetrievalSet
 from chunkrank.sources.readers import read_chunked, read_length_tasks, read_triples
 
-# Data set names, folders and splits as published.
-CHUNKED_DATASETS: dict[str, dict[str, str]] = {
+# Data set names, folders and splits as published. A folder of None is not published under
+# a name of its own; pass a registry that tells where it is.
+CHUNKED_DATASETS: dict[str, dict[str, str | None]] = {
     "football-new": {"path": "football_new"},
     "cities": {},
     "chunked-mldr": {"split": "test"},
@@ -20,7 +21,7 @@ CHUNKED_DATASETS: dict[str, dict[str, str]] = {
     "eiopa_europa": {},
     "narrative_qa": {"split": "test"},
     "squad-chunked-par-100": {"split": "validation"},
-    "restaurants": {"split": "test"},
+    "restaurants": {"path": None, "split": "test"},
 }
 CHUNK_SIZE_VARIANTS = (8000, 1000, 500, 300, 250, 200, 175, 150, 125, 100)
 TRIPLE_TASKS = (
@@ -46,7 +47,7 @@ REGISTRY_SCHEMA = "dataset string, path string, split string, query_key string"
 
 
 def registry_frame(
-    spark: SparkSession, registry: Mapping[str, Mapping[str, str]] = CHUNKED_DATASETS
+    spark: SparkSession, registry: Mapping[str, Mapping[str, str | None]] = CHUNKED_DATASETS
 ) -> DataFrame:
     """The registry with its defaults filled in: path = name, split = train."""
     rows = [
@@ -57,11 +58,10 @@ def registry_frame(
 
 
 def resolve(requested: DataFrame, registry: DataFrame) -> DataFrame:
-    """Requested data sets with their location, or ``skipped`` for unknown names."""
+    """Requested data sets with their location, ``skipped`` for unknown names, ``no folder`` without one."""
     names = requested.select("dataset").distinct()
-    return names.join(registry, "dataset", "left").withColumn(
-        "status", F.when(F.col("path").isNull(), "skipped").otherwise("run")
-    )
+    status = F.when(F.col("split").isNull(), "skipped").when(F.col("path").isNull(), "no folder").otherwise("run")
+    return names.join(registry, "dataset", "left").withColumn("status", status)
 
 
 def empty_set(spark: SparkSession) -> RetrievalSet:
@@ -83,12 +83,18 @@ def load_chunked_suite(
     spark: SparkSession,
     base: str,
     names: Sequence[str] | None = None,
-    registry: Mapping[str, Mapping[str, str]] = CHUNKED_DATASETS,
+    registry: Mapping[str, Mapping[str, str | None]] = CHUNKED_DATASETS,
     fmt: str = "parquet",
 ) -> tuple[RetrievalSet, list[str]]:
-    """All known names merged into one set, and the names skipped as unknown."""
+    """All known names merged into one set, and the names skipped as unknown.
+
+    A known name without a folder is an error: leave it out, or register where it is.
+    """
     names = list(registry) if names is None else list(names)
     known = [n for n in names if n in registry]
+    for name in known:
+        if registry[name].get("path", name) is None:
+            raise ValueError(f"no folder is registered for {name!r}: pass a registry with its path, or other names")
     sets = [
         read_chunked(
             spark,

@@ -254,8 +254,12 @@ def test_registry(spark, chunked):
     found = {r.dataset: (r.path, r.split, r.query_key) for r in frame.collect()}
     assert found["football-new"] == ("football_new", "train", "queries")
     assert found["cities"] == ("cities", "train", "queries")
-    asked = spark.createDataFrame([("cities",), ("nowhere",)], "dataset string")
-    assert rows(registry.resolve(asked, frame), "dataset", "status") == [("cities", "run"), ("nowhere", "skipped")]
+    asked = spark.createDataFrame([("cities",), ("nowhere",), ("restaurants",)], "dataset string")
+    assert rows(registry.resolve(asked, frame), "dataset", "status") == [
+        ("cities", "run"), ("nowhere", "skipped"), ("restaurants", "no folder")
+    ]
+    with pytest.raises(ValueError, match="no folder is registered for 'restaurants'"):
+        registry.load_chunked_suite(spark, "nowhere", ["restaurants"])
     base, name = chunked.rsplit("/", 1)
     data, skipped = registry.load_chunked_suite(spark, base, ["renamed", "other"], {"renamed": {"path": name}})
     assert skipped == ["other"] and rows(data.qrels, "dataset") == [("renamed",), ("renamed",)]
