@@ -30,18 +30,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by the merge-type vocabulary, as digests, and of what they decode to."""
     return subwords.digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page, without what surrounds it."""
     return main_text.extracted(read(spark, sf_dir, "pages"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document, and the one of each class that stays."""
     return near_dups.classes(read(spark, sf_dir, "documents")).drop("place")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back, in the order of the merged capture index."""
     index = archives.archived(read(spark, sf_dir, "pages"))
     return index.select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "place"
@@ -49,28 +53,34 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document, and the one of each group that stays."""
     return exact.marked(read(spark, sf_dir, "documents")).drop("place")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that start earlier too."""
     return substrings.cleaned(read(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether base rules and adaptive fences keep it."""
     return quality.judged(read(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept"
     )
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by fixed patterns and by entropy."""
     return secrets.summaries(read(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4,096 tokens."""
     return packing.packed(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that are nearly the same as one kept elsewhere."""
     found = fuzzy_lines.cleaned(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
