@@ -168,13 +168,13 @@ def read_archives(spark: SparkSession, folder: str, archive: str) -> DataFrame:
         (kind == "revisit") | ((base32_sha1(payload) == digest) & (F.octet_length(payload) == bytes_))
     )
     return parsed.select(
-        field("WARC-Record-ID", r"<urn:page:(\d+)>").cast("long").alias("page_id"),
+        field("WARC-Record-ID", r"<urn:page:(-?\d+)>").cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         F.regexp_replace(field("WARC-Date"), r"[^0-9]", "").alias("captured"),
         kind.alias("record_type"),
         F.when(sound, digest).otherwise(F.raise_error(F.lit("a record does not hold what it says"))).alias("payload_digest"),
         bytes_.alias("payload_bytes"),
-        field("WARC-Refers-To", r"<urn:page:(\d+)>").cast("long").alias("refers_to"),
+        field("WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long").alias("refers_to"),
         F.when(kind == "response", payload).alias("payload"),
         "file",
     )
