@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chunkrank.llm import (
     archives,
     exact,
@@ -151,3 +152,33 @@ def test_pages(pages):
     assert texts.count() == len(ROWS) + 1
     assert texts.filter("text is null or n_chars <> char_length(text)").isEmpty()
     assert main_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_negative_page_ids(spark):
+    rows = [(-5, "http://a.org", "same"), (3, "http://a.org", "same"), (-7, "http://b.org", "other")]
+    found = archives.archived(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found.collect()) == [
+        (-7, "response", None),
+        (-5, "response", None),
+        (3, "revisit", -5),
+    ]
+
+
+NOTHING = [(None, None, None, None, None)] * 3
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("rows", [[], NOTHING], ids=["empty", "nulls"])
+def test_pipeline_on_tables_with_nothing(spark, tmp_path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_clashing_columns(odd, spark, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
