@@ -6,7 +6,8 @@ score, then by place, holds the adjacent symbol pairs that form a piece; the bes
 its new neighbours enter the agenda. Symbols outside the vocabulary fall back to bytes. Segments
 repeat, so every worker remembers those it has met until there are too many. Each segment is compared with the sentencepiece
 library, ids and decoded text, in the Arrow batch that first brings it; ``check="texts"`` compares
-every whole text as well, at some three times the cost.
+every whole text as well, at some three times the cost. The decoded text of a document is made from its
+own ids.
 
 Defined cases: null texts are empty and have no ids; repeated rows are encoded alone; an empty table
 gives an empty result.
@@ -58,6 +59,9 @@ class Codec:
         self.of_byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.library.is_byte(i)}
         self.decimals = {piece: str(i) for piece, i in self.ids.items()}
         self.byte_of = {i: bytes([b]) for b, i in self.of_byte.items()}
+        # Text of an id as it is written; an ASCII byte is a character of its own.
+        self.text_of = {str(i): piece.replace(MARK, " ") for piece, i in self.ids.items()}
+        self.text_of |= {str(i): chr(b) for b, i in self.of_byte.items() if b < 0x80}
         if len(self.of_byte) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
@@ -204,9 +208,17 @@ class Codec:
                 del self.known[name]
         return out
 
+    def decoded_ids(self, ids: str) -> str:
+        """The text of ids written as decimals, without the space of the first mark."""
+        names = ids.split(",") if ids else []
+        try:
+            return "".join(map(self.text_of.__getitem__, names))[1:]
+        except KeyError:  # bytes of longer characters
+            return self.decode([int(name) for name in names])[1:]
+
     def decoded(self, text: str) -> str:
-        """What the ids of a text decode to: its segments, each of which is known to decode to itself."""
-        return text.replace(MARK, " ")
+        """What the ids of a text decode to."""
+        return self.decoded_ids(self.encode([text])[0])
 
 
 @cache
@@ -232,7 +244,7 @@ def _encode(column: pa.Array, model: str, check: str) -> Iterator[tuple[str, str
     own = codec(model)
     for group in _groups([v.as_py() or "" for v in column]):
         for text, ids in zip(group, own.encode(group)):
-            back = own.decoded(text)
+            back = own.decoded_ids(ids)
             if check == "texts":
                 wanted = own.library.encode(text)
                 if ",".join(map(str, wanted)) != ids or own.library.decode(wanted) != back:
