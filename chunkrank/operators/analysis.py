@@ -116,7 +116,8 @@ def scaling_samples(
     sorted. Should the threshold leave a trial short, that trial is drawn from all parents.
     """
     digests = sum(trials_for(n) for n in sizes)
-    parents = corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent")).distinct()
+    # Written once: every step below starts from the parents, not from the chunks.
+    parents = materialised(corpus.select("dataset", ids.parent_id(F.col("chunk_id")).alias("parent")).distinct())
     # A row is small but stands for all its trials: more tasks than its bytes suggest.
     most = DRAW_TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
     parents = parents.repartition(min(most, 1 + parents.count() * digests // DIGESTS_PER_TASK))

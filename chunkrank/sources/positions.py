@@ -30,13 +30,18 @@ def marked(scan: DataFrame, fmt: str) -> DataFrame:
 def numbered_in_files(rows: DataFrame, name: str) -> DataFrame:
     """Number the rows of a whole scan 0, 1, … in file order; no row is moved.
 
-    Only the marks are read to count each file. One row per file (block) is sent to the tasks.
+    Only the marks are read to count each file. One row per file (block) is sent to the tasks. A scan
+    that has lost rows since is an error; ``numbered_within`` numbers what is left.
     """
     piece = [F.col(f"{AT}.file").alias("_file"), F.col(f"{AT}.block").alias("_block")]
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    row = F.col(f"{AT}.row")
+    whole = F.max(row) - F.min(row) + 1 == F.count(row)
+    lost = F.raise_error(F.lit("rows are missing: number them before they are filtered"))
+    first = F.when(whole, F.min(row)).otherwise(lost.cast("long")).alias("_first")
     starts = (
         rows.groupBy(*piece)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(f"{AT}.row").alias("_first"))
+        .agg(F.count(F.lit(1)).alias("_rows"), first)
         .select("_file", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
     return (

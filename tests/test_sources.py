@@ -103,6 +103,11 @@ def test_files_of_different_size_are_numbered_in_file_order(spark, tmp_path, chu
             numbered = readers.with_row_position(scan, "place")
             assert numbered.count() == 3008
             assert numbered.filter("query <> concat('text ', place)").count() == 0
+            some = readers.with_row_position(scan.filter("query not like '%7'"), "place")
+            with pytest.raises(Exception, match="before they are filtered"):
+                some.collect()
+            left = positions.numbered_within(scan.filter("query like '%7'"), ["chunk_id"], F.col("_at"), "place")
+            assert left.filter("query <> concat('text ', 10 * place + 7)").count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
