@@ -4,7 +4,8 @@ Candidate strings are unbroken runs of key characters. A window slides over each
 its characters change by one in and one out, and so does the sum of c*log2(c) that gives the
 entropy. Each character class has its own threshold: hexadecimal runs cannot reach what base64 runs
 reach. Windows over the threshold merge into spans. Runs that the allow-list explains as a whole (UUIDs,
-paths and host names, dictionary-like camel case, counters) are left out. A date or time stamp at the
+paths and host names, dictionary-like camel case, letters with or without a counter) are left out, unless
+their letters look drawn rather than spelled. A date or time stamp at the
 start of a run, and a placeholder between signs, explain only themselves: what they leave of the run is
 scanned as runs of its own. What a pattern has found is cut out of a span, the rest of it stays.
 
@@ -38,6 +39,10 @@ LEAST_ACCESS = 20
 
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 DIGIT = re.compile(rb"[0-9]")
+LETTERS = re.compile(rb"[A-Za-z]{12,}")
+SIGNS = re.compile(rb"[+/_=-]")
+CONSONANTS = re.compile(rb"[bcdfghjklmnpqrstvwxz]{6,}")
+RAREST = (b"j", b"q", b"x", b"z")
 WINDOW = 20
 
 
@@ -105,8 +110,27 @@ def high_entropy(run: bytes, threshold: float, width: int = WINDOW) -> list[tupl
     return spans
 
 
+def random_letters(run: bytes) -> bool:
+    """Whether a stretch of letters in the run looks drawn rather than spelled.
+
+    Spelled words change case at their beginnings only, and have few consonants in a row and few of the
+    rarest letters; drawn ones change case at every second letter, or have many of either.
+    """
+    for word in LETTERS.findall(run):
+        changes = sum((a ^ b) >> 5 & 1 for a, b in zip(word, word[1:]))
+        if 5 * changes >= 2 * len(word):
+            return True
+        if changes <= 2:
+            lower = word.lower()
+            rare = sum(map(lower.count, RAREST))
+            if 9 * rare >= len(lower) or rare and CONSONANTS.search(lower):
+                return True
+    return False
+
+
 def _explained(run: bytes) -> bool:
-    return not DIGIT.search(run) or any(p.fullmatch(run) for p in ALLOWED)
+    words = not DIGIT.search(run) or any(p.fullmatch(run) for p in ALLOWED)
+    return words and not random_letters(run)
 
 
 def _parts(run: bytes) -> list[tuple[int, int]]:
@@ -129,7 +153,9 @@ def _surprising(text: bytes) -> list[tuple[int, int]]:
             part = match.group()[first:last]
             if _explained(part):
                 continue
-            threshold = next(c.threshold for c in CLASSES if c.characters.fullmatch(part))
+            # Signs beside drawn letters do not make them base64.
+            judged = SIGNS.sub(b"", part) if random_letters(part) else part
+            threshold = next(c.threshold for c in CLASSES if c.characters.fullmatch(judged))
             at = match.start() + first
             found += [(at + a, at + b) for a, b in high_entropy(part, threshold)]
     return found
