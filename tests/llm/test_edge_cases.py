@@ -1,6 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
+import random
+import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +186,50 @@ def test_pipeline_with_clashing_columns(odd, spark, tmp_path):
         assert docs.columns == odd.columns
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+LETTERS = {"mixed": string.ascii_letters, "lower": string.ascii_lowercase, "upper": string.ascii_uppercase}
+
+
+@pytest.mark.parametrize(("size", "share"), [(20, 0.55), (24, 0.7), (32, 0.8), (40, 0.85)])
+@pytest.mark.parametrize("kind", sorted(LETTERS))
+@pytest.mark.parametrize("counter", ["", "-123"])
+def test_secrets_of_letters_are_found(kind, size, share, counter):
+    rnd = random.Random(size)
+    runs = ["".join(rnd.choice(LETTERS[kind]) for _ in range(size)) + counter for _ in range(300)]
+    found = sum(any(k == 3 for _, _, k in secrets.spans(f"a word {run}, another".encode())) for run in runs)
+    assert found >= share * len(runs)
+
+
+@pytest.mark.parametrize(
+    "word",
+    [
+        "internationalizationOfThings", "getHttpURLConnectionFactory", "Donaudampfschifffahrtsgesellschaft",
+        "antidisestablishmentarianism", "path/to/some/Directory/With/Names", "jQueryAjaxQueueExample", "counterrevolutionaries-12",
+    ],
+)
+def test_spelled_words_are_no_secrets(word):
+    assert secrets.spans(f"a word {word}, another".encode()) == []
+
+
+def test_long_words_of_real_texts_are_left_alone(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text]
+    words = {m.group() for t in texts for m in secrets.RUN.finditer(t.encode()) if not secrets.DIGIT.search(m.group())}
+    words = {x for x in words if not secrets.ACCESS.search(x)}
+    found = [x for x in words if any(k == 3 for _, _, k in secrets.spans(x))]
+    assert len(words) > 20 and len(found) <= 0.05 * len(words)
+
+
+def test_entropy_spans_against_every_window(spark):
+    """Sliding counts against the entropy of each window by itself, over the runs of whole texts."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text]
+    runs = {m.group() for t in texts for m in secrets.RUN.finditer(t.encode())}
+    assert len(runs) > 50
+    for run in runs:
+        want = set()
+        for at in range(len(run) - 19):
+            window = run[at : at + 20]
+            bits = -sum(n / 20 * math.log2(n / 20) for n in Counter(window).values())
+            if bits > 3.6 + 1e-9:
+                want.update(range(at, at + 20))
+        assert {p for a, b in secrets.high_entropy(run, 3.6) for p in range(a, b)} == want
