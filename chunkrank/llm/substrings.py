@@ -43,6 +43,7 @@ GRAM = 5
 #: Windows whose anchor is in more texts than this are grouped by their whole length, and in parts.
 MANY_TEXTS = 500
 PARTS = 64
+PART_BITS = PARTS.bit_length()
 NULL_ID = (1 << 63) - 1
 
 
@@ -143,13 +144,14 @@ def candidates(documents: DataFrame, least: int) -> DataFrame:
 def suffixes(texts: DataFrame, least: int) -> DataFrame:
     """The suffixes that may be repeated: edge labels (the first two in one number), place, and group.
 
-    ``split`` is 0 in cold groups and tells the parts of hot ones from 1 on.
+    ``tail`` holds the third label and, in its last bits, the part of a hot group, from 1 on, or 0 in
+    cold groups: one number less in each of very many rows.
     """
     sizes = (least // 4, least // 4, least - least // 4 * 2)
     offsets = (0, sizes[0], sizes[0] + sizes[1])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
         known = [batch.column(n) for n in ("anchors", "hot")]
         ids = batch.column("id_order").to_numpy(zero_copy_only=False)
         places = batch.column("place").to_numpy(zero_copy_only=False)
@@ -170,21 +172,19 @@ def suffixes(texts: DataFrame, least: int) -> DataFrame:
                 for n, at in zip(sizes, offsets)
             ]
             head = (label[0] << np.uint64(32)) | label[1]
-            tail = label[2].astype(np.uint32).view(np.int32)
             split = np.where(hot, places[part.first + rows] % PARTS + 1, 0)
+            tail = label[2].astype(np.int64) << PART_BITS | split
             at = starts - part.first_word[rows]
-            for column, values in zip(
-                out, (_signed(head), tail, ids[part.first + rows], places[part.first + rows], at, split)
-            ):
+            for column, values in zip(out, (_signed(head), tail, ids[part.first + rows], places[part.first + rows], at)):
                 column.append(values)
-        kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
         arrays = [pa.array(_joined(c, k).astype(k)) for c, k in zip(out, kinds)]
-        return pa.RecordBatch.from_arrays(arrays, names=["head", "tail", "id_order", "place", "start", "split"])
+        return pa.RecordBatch.from_arrays(arrays, names=["head", "tail", "id_order", "place", "start"])
 
-    return map_batches(texts, cut, "head long, tail int, id_order long, place long, start int, split int")
+    return map_batches(texts, cut, "head long, tail long, id_order long, place long, start int")
 
 
-ORDER = ("head", "tail", "split", "id_order", "place", "start")
+ORDER = ("head", "tail", "id_order", "place", "start")
 
 
 def _leaves(rows: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _leaves(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            node = np.stack([batch.column(n).to_numpy() for n in ("head", "tail", "split")])
+            node = np.stack([batch.column(n).to_numpy() for n in ("head", "tail")])
             first = np.ones(len(batch), dtype=bool)
             first[1:] = (node[:, 1:] != node[:, :-1]).any(axis=0)
             if last is not None:
@@ -210,15 +210,16 @@ def _leaves(rows: DataFrame) -> DataFrame:
 def repeats(found: DataFrame) -> DataFrame:
     """(place, start) of every window that is not the earliest of its kind."""
     # A cold group is a prefix of half a window; a hot one the whole window and a part of the texts.
-    prefix = F.when(F.col("split") == 0, F.col("head")).otherwise(F.xxhash64("head", "tail", "split"))
+    split = F.col("tail").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    prefix = F.when(split == 0, F.col("head")).otherwise(F.xxhash64("head", "tail"))
     partitioned = found.withColumn("prefix", prefix).repartition("prefix").drop("prefix")
     leaves = _leaves(partitioned.sortWithinPartitions(*ORDER))
     cold = leaves.filter("not first")
     # Earliest leaves of the parts of a split node: at most one a part, so these groups are small.
-    parts = leaves.filter("first and split > 0")
+    parts = leaves.filter(F.col("first") & (split > 0)).withColumn("label", F.shiftright("tail", PART_BITS))
     mine = F.struct("id_order", "place", "start")
-    node = parts.groupBy("head", "tail").agg(F.min(mine).alias("earliest"))
-    later = parts.join(node, ["head", "tail"]).filter(mine != F.col("earliest"))
+    node = parts.groupBy("head", "label").agg(F.min(mine).alias("earliest"))
+    later = parts.join(node, ["head", "label"]).filter(mine != F.col("earliest"))
     return cold.select("place", "start").unionByName(later.select("place", "start"))
 
 
