@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 import chunkrank.operators.topk as topk
 from chunkrank.functions.text import tokens
-from chunkrank.operators import bm25
+from chunkrank.operators import bm25, tiles
 from chunkrank.operators.scorers import Bm25, Dense
 from chunkrank.operators.topk import best_targets, rank_targets
 
@@ -83,3 +83,16 @@ def test_bm25_scores_stored_terms_as_it_does_texts(spark):
     stored = best_targets(weighted, chunks, Bm25(), k=4, ignore_identical_ids=False, form="tiles")
     assert rows(rank_targets(stored, k=4), *NAMES) == rows(rank_targets(whole, k=4), *NAMES)
     assert stored.count() == 5 * 4
+
+
+def test_row_groups_of_other_data_sets_are_not_read(tmp_path):
+    import pyarrow.parquet as pq
+
+    names = ["a"] * 3 + ["b"] * 3 + [None] * 3
+    pq.write_table(pa.table({"dataset": names, "chunk_id": [str(i) for i in range(9)]}), tmp_path / "t.parquet", row_group_size=3)
+    def read(wanted):
+        return [i for t in tiles.batches(f"file:{tmp_path}/t.parquet", ["dataset", "chunk_id"], 2, 1, wanted) for i in t["chunk_id"].to_pylist()]
+
+    assert read(None) == [str(i) for i in range(9)]
+    assert read({"b"}) == ["3", "4", "5", "6", "7", "8"]  # a group of nulls alone has no least value
+    assert read({"A"}) == ["6", "7", "8"]
