@@ -96,3 +96,13 @@ def test_row_groups_of_other_data_sets_are_not_read(tmp_path):
     assert read(None) == [str(i) for i in range(9)]
     assert read({"b"}) == ["3", "4", "5", "6", "7", "8"]  # a group of nulls alone has no least value
     assert read({"A"}) == ["6", "7", "8"]
+
+
+def test_chunks_that_come_twice_take_one_rank(spark):
+    rng = np.random.default_rng(6)
+    values = [(f"{i // 2}_{i % 2}", v) for i, v in enumerate(rng.normal(size=(60, 3)).round(1))]
+    q = vectors(spark, "query_id", [(f"q{i}", v) for i, v in enumerate(rng.normal(size=(9, 3)))])
+    twice = vectors(spark, "chunk_id", values + values[::-1])
+    found = rank_targets(best_targets(q, twice, Dense(), k=20, form="tiles"), k=20)
+    once = rank_targets(best_targets(q, vectors(spark, "chunk_id", values), Dense(), k=20, form="broadcast"), k=20)
+    assert rows(found, *NAMES) == rows(once, *NAMES)
