@@ -106,3 +106,47 @@ def test_chunks_that_come_twice_take_one_rank(spark):
     found = rank_targets(best_targets(q, twice, Dense(), k=20, form="tiles"), k=20)
     once = rank_targets(best_targets(q, vectors(spark, "chunk_id", values), Dense(), k=20, form="broadcast"), k=20)
     assert rows(found, *NAMES) == rows(once, *NAMES)
+
+
+def test_a_task_takes_a_bounded_share_of_the_chunks(spark, monkeypatch):
+    """However many chunks there are; with few tiles the cores decide as before."""
+    assert topk.stream_shares(1_000, 500, 12_000_001, 48) == 4
+    assert topk.stream_shares(10, 500, 12_000_001, 48) == 5
+    assert topk.stream_shares(1, 3, 1_000, 48) == 1
+    monkeypatch.setattr(topk, "MOST_ROWS", 100)
+    rng = np.random.default_rng(4)
+    q = vectors(spark, "query_id", [(f"q{i}", v) for i, v in enumerate(rng.normal(size=(30, 4)).round(1))])
+    c = vectors(spark, "chunk_id", [(f"{i // 3}_{i % 3}", v) for i, v in enumerate(rng.normal(size=(600, 4)).round(1))])
+    found, most = topk.candidates(q, c.repartition(6), Dense(), k=7, form="tiles")
+    assert found.count() == most == 30 * 7 * 6
+    same = best_targets(q, c, Dense(), k=7, form="broadcast")
+    assert rows(rank_targets(found, k=7), *NAMES) == rows(rank_targets(same, k=7), *NAMES)
+
+
+def test_many_candidates_are_ranked_by_more_tasks(spark, monkeypatch):
+    """Rows that compress well would be put into one task by their bytes."""
+    rng = np.random.default_rng(5)
+    q = vectors(spark, "query_id", [(f"q{i}", v) for i, v in enumerate(rng.normal(size=(40, 3)).round(1))])
+    c = vectors(spark, "chunk_id", [(f"{i}_0", v) for i, v in enumerate(rng.normal(size=(200, 3)).round(1))])
+    found, most = topk.candidates(q, c, Dense(), k=50, form="tiles")
+    assert most >= 40 * 50
+    once = rank_targets(found, k=50)
+    assert once.rdd.getNumPartitions() < 10
+    monkeypatch.setattr(topk, "RANK_ROWS", most // 20)
+    dealt = rank_targets(found, k=50, rows=most)
+    assert dealt.rdd.getNumPartitions() == 20
+    assert rows(dealt, *NAMES) == rows(once, *NAMES)
+
+
+def test_a_first_block_is_cut_before_it_is_sorted(monkeypatch):
+    """Only scores that reach the k-th of the block, ties included, are taken up."""
+    taken = []
+    take = topk._Best._take
+    monkeypatch.setattr(topk._Best, "_take", lambda self, query, *rest: (taken.append(len(query)), take(self, query, *rest)))
+    n = 900
+    task = task_of(pa.table({"query_id": ["q", "r"], "vector": [[1.0], [-1.0]]}), 4, 0)
+    task.feed(pa.table({"chunk_id": [f"c{i:03}" for i in range(n)], "vector": [[float(i // 3)] for i in range(n)]}))
+    assert taken == [12]
+    assert (task.levels[0].least == np.array([298.0, -1.0]) * topk.SCORE_STEPS).all()
+    found = {(r["query_id"], r["target_id"]) for b in task.results() for r in b.to_pylist()}
+    assert found == {("q", f"c{i}") for i in (899, 898, 897, 896)} | {("r", f"c{i:03}") for i in (2, 1, 0, 5)}
