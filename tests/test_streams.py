@@ -5,6 +5,7 @@ import pyarrow as pa
 from conftest import rows
 from pyspark.sql import types as T
 
+import chunkrank.operators.scorers as scorers
 import chunkrank.operators.topk as topk
 from chunkrank.functions.text import tokens
 from chunkrank.operators import bm25, tiles
@@ -150,3 +151,17 @@ def test_a_first_block_is_cut_before_it_is_sorted(monkeypatch):
     assert (task.levels[0].least == np.array([298.0, -1.0]) * topk.SCORE_STEPS).all()
     found = {(r["query_id"], r["target_id"]) for b in task.results() for r in b.to_pylist()}
     assert found == {("q", f"c{i}") for i in (899, 898, 897, 896)} | {("r", f"c{i:03}") for i in (2, 1, 0, 5)}
+
+
+def test_bm25_makes_nothing_of_terms_that_no_query_asks_for(monkeypatch):
+    queries = pa.table({"query_id": ["q"], "terms": [["b", "z"]], "weights": [[2.0, 1.0]], "avgdl": [2.0]})
+    scorer = Bm25()
+    loaded = scorer.load(queries)
+    monkeypatch.setattr(scorers, "counted", None)
+    lists = pa.array([["a", "b", "b", None], [], None, ["x"], ["z", "b"]], pa.list_(pa.string()))
+    doc, code, gain = scorer.prepare(loaded, pa.table({"tokens": lists}))
+    assert doc.tolist() == [0, 4, 4]
+    assert loaded["vocabulary"].take(pa.array(code)).to_pylist() in (["b", "b", "z"], ["b", "z", "b"])
+    norm = 1.5 * (0.25 + 0.75 * np.array([4, 2, 2]) / 2.0)
+    tf = np.array([2, 1, 1])
+    assert np.allclose(gain, tf * 2.5 / (tf + norm))
