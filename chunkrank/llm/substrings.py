@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,7 @@ GRAM = 5
 MANY_TEXTS = 500
 PARTS = 64
 PART_BITS = PARTS.bit_length()
+START_BITS = 32 - PART_BITS
 NULL_ID = (1 << 63) - 1
 
 
@@ -144,8 +145,9 @@ def candidates(documents: DataFrame, least: int) -> DataFrame:
 def suffixes(texts: DataFrame, least: int) -> DataFrame:
     """The suffixes that may be repeated: edge labels (the first two in one number), place, and group.
 
-    ``tail`` holds the third label and, in its last bits, the part of a hot group, from 1 on, or 0 in
-    cold groups: one number less in each of very many rows.
+    ``tail`` holds the third label, the part of a hot group (from 1 on, or 0 in cold groups) and the last
+    bits of the start, whose rest is ``far``, 0 but in texts of millions of words: fewer bytes in each of
+    very many rows.
     """
     sizes = (least // 4, least // 4, least - least // 4 * 2)
     offsets = (0, sizes[0], sizes[0] + sizes[1])
@@ -173,18 +175,21 @@ def suffixes(texts: DataFrame, least: int) -> DataFrame:
             ]
             head = (label[0] << np.uint64(32)) | label[1]
             split = np.where(hot, places[part.first + rows] % PARTS + 1, 0)
-            tail = label[2].astype(np.int64) << PART_BITS | split
             at = starts - part.first_word[rows]
-            for column, values in zip(out, (_signed(head), tail, ids[part.first + rows], places[part.first + rows], at)):
+            tail = label[2].astype(np.int64) << 32 | split << START_BITS | at & ((1 << START_BITS) - 1)
+            far = at >> START_BITS
+            for column, values in zip(out, (_signed(head), tail, ids[part.first + rows], places[part.first + rows], far)):
                 column.append(values)
         kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
         arrays = [pa.array(_joined(c, k).astype(k)) for c, k in zip(out, kinds)]
-        return pa.RecordBatch.from_arrays(arrays, names=["head", "tail", "id_order", "place", "start"])
+        return pa.RecordBatch.from_arrays(arrays, names=["head", "tail", "id_order", "place", "far"])
 
-    return map_batches(texts, cut, "head long, tail long, id_order long, place long, start int")
+    return map_batches(texts, cut, "head long, tail long, id_order long, place long, far int")
 
 
-ORDER = ("head", "tail", "id_order", "place", "start")
+def _node() -> Column:
+    """What rows of one node and part share of ``tail``: all but the start."""
+    return F.shiftright("tail", START_BITS)
 
 
 def _leaves(rows: DataFrame) -> DataFrame:
@@ -195,7 +200,7 @@ def _leaves(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            node = np.stack([batch.column(n).to_numpy() for n in ("head", "tail")])
+            node = np.stack([batch.column("head").to_numpy(), batch.column("tail").to_numpy() >> START_BITS])
             first = np.ones(len(batch), dtype=bool)
             first[1:] = (node[:, 1:] != node[:, :-1]).any(axis=0)
             if last is not None:
@@ -210,13 +215,15 @@ def _leaves(rows: DataFrame) -> DataFrame:
 def repeats(found: DataFrame) -> DataFrame:
     """(place, start) of every window that is not the earliest of its kind."""
     # A cold group is a prefix of half a window; a hot one the whole window and a part of the texts.
-    split = F.col("tail").bitwiseAND(F.lit((1 << PART_BITS) - 1))
-    prefix = F.when(split == 0, F.col("head")).otherwise(F.xxhash64("head", "tail"))
+    split = _node().bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    prefix = F.when(split == 0, F.col("head")).otherwise(F.xxhash64("head", _node()))
     partitioned = found.withColumn("prefix", prefix).repartition("prefix").drop("prefix")
-    leaves = _leaves(partitioned.sortWithinPartitions(*ORDER))
+    near = F.col("tail").bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+    start = F.shiftleft("far", START_BITS).bitwiseOR(near).alias("start")
+    leaves = _leaves(partitioned.sortWithinPartitions("head", _node(), "id_order", "place", "far", "tail")).select("*", start)
     cold = leaves.filter("not first")
     # Earliest leaves of the parts of a split node: at most one a part, so these groups are small.
-    parts = leaves.filter(F.col("first") & (split > 0)).withColumn("label", F.shiftright("tail", PART_BITS))
+    parts = leaves.filter(F.col("first") & (split > 0)).withColumn("label", F.shiftright("tail", 32))
     mine = F.struct("id_order", "place", "start")
     node = parts.groupBy("head", "label").agg(F.min(mine).alias("earliest"))
     later = parts.join(node, ["head", "label"]).filter(mine != F.col("earliest"))

@@ -334,3 +334,24 @@ def test_pipeline(spark, sf):
             end = max(end, b)
         masked = b"".join([*pieces, raw[end:]]).decode()
         assert lengths[i] == len(library.encode(masked, add_special_tokens=False).ids) + 1
+
+
+def test_starts_in_very_long_texts_are_kept_whole(spark):
+    """A suffix row holds the last bits of its start beside the label; the rest is not lost."""
+    bits = substrings.START_BITS
+
+    def row(head, label, part, id_order, place, start):
+        tail = label << 32 | part << bits | start & ((1 << bits) - 1)
+        return head, tail, id_order, place, start >> bits
+
+    far = (3 << bits) + 5
+    found = [
+        row(7, 9, 0, 1, 1, far),
+        row(7, 9, 0, 1, 1, 6),  # the earliest of its node, though its last bits are larger
+        row(7, 9, 0, 2, 2, 4),
+        row(7, -3, 0, 2, 2, 8),  # alone under its label
+        row(8, -9, 1, 1, 1, far + 2),  # the earliest of two parts
+        row(8, -9, 2, 2, 2, 0),
+    ]
+    table = spark.createDataFrame(found, "head long, tail long, id_order long, place long, far int")
+    assert sorted(map(tuple, substrings.repeats(table).collect())) == [(1, far), (2, 0), (2, 4)]
