@@ -165,3 +165,13 @@ def test_bm25_makes_nothing_of_terms_that_no_query_asks_for(monkeypatch):
     norm = 1.5 * (0.25 + 0.75 * np.array([4, 2, 2]) / 2.0)
     tf = np.array([2, 1, 1])
     assert np.allclose(gain, tf * 2.5 / (tf + norm))
+
+
+def test_a_task_holds_no_more_queries_than_a_tile(spark):
+    """Queries that are sent to every task leave k rows from each; more than a tile of them are not sent."""
+    n = topk.STREAM_QUERIES[1] + 60
+    rng = np.random.default_rng(7)
+    q = vectors(spark, "query_id", [(f"q{i}", v) for i, v in enumerate(rng.normal(size=(n, 2)))])
+    c = vectors(spark, "chunk_id", [(f"{i}_0", v) for i, v in enumerate(rng.normal(size=(40, 2)))])
+    found = best_targets(q, c.repartition(4), Dense(), k=2)
+    assert found.count() == n * 2
