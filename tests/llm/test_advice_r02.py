@@ -119,3 +119,33 @@ def test_main_text_keeps_the_article(before, between, after):
 def test_main_text_drops_comments_below_a_hint():
     page = f"<html><body><article><p>{PARAGRAPHS[1]}</p></article><div class=comments><div class=content><p>{PARAGRAPHS[0]}</p></div></div></body></html>"
     assert main_text.main_text(page, main_text.trained()) == PARAGRAPHS[1]
+
+
+def test_fuzzy_lines_lose_no_pair_within_the_distance(spark):
+    """All pairs that the distance and the similarity allow are in one group, scattered edits too."""
+    draw = random.Random(11)
+    letters = "etaoinshrdlucmfwy"
+
+    def word(size):
+        return "".join(draw.choice(letters) for _ in range(size))
+
+    lines = [" ".join(word(draw.randint(2, 9)) for _ in range(n)) for n in (2, 3, 4, 6, 9, 15, 25, 40, 120) for _ in range(15)]
+    lines += [word(n) for n in (12, 30, 90, 300) for _ in range(10)]
+    lines += ["".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(n)) for n in (15, 40, 120, 400) for _ in range(10)]
+    for line in list(lines):
+        for edits in {1, 2, len(line) // 25, len(line) // 12}:
+            chars = list(line)
+            for at in draw.sample(range(len(chars)), edits):
+                chars[at] = draw.choice(["", "x", chars[at] + "z"]) if chars[at] != " " else " "
+            lines.append("".join(chars).strip())
+    rows = [(x,) for x in sorted(set(lines))]
+    nodes = spark.createDataFrame(rows, "norm string").select(F.xxhash64("norm").alias("node"), "norm").localCheckpoint()
+    codes = fuzzy_lines.simhashes(nodes.select("node", fuzzy_lines.grams(F.col("norm")).alias("norm"))).join(nodes, "node").localCheckpoint()
+    a, b = codes.toDF("a", "code_a", "norm_a"), codes.toDF("b", "code_b", "norm_b")
+    longer = F.greatest(F.char_length("norm_a"), F.char_length("norm_b"))
+    within = a.join(b, F.expr(f"a < b AND bit_count(code_a ^ code_b) <= {fuzzy_lines.DISTANCE}")).localCheckpoint()
+    near = within.filter(F.levenshtein("norm_a", "norm_b") <= 0.1 * longer + F.lit(1e-9)).collect()
+    of = {r.node: r.component for r in fuzzy_lines.groups(nodes).collect()}
+    assert len(near) >= 300
+    lost = [(r.norm_a, r.norm_b) for r in near if r.a not in of or of[r.a] != of.get(r.b)]
+    assert lost == []
