@@ -175,3 +175,70 @@ def test_a_task_holds_no_more_queries_than_a_tile(spark):
     c = vectors(spark, "chunk_id", [(f"{i}_0", v) for i, v in enumerate(rng.normal(size=(40, 2)))])
     found = best_targets(q, c.repartition(4), Dense(), k=2)
     assert found.count() == n * 2
+
+
+def bm25_sides(rng, n_queries, n_chunks):
+    words = np.array([f"w{i}" for i in range(300)])
+    share = 1 / np.arange(1, 301)
+
+    def texts(n):
+        return [sorted(rng.choice(words, size=rng.integers(3, 30), p=share / share.sum()).tolist()) for _ in range(n)]
+
+    asked = [sorted(set(t)) for t in texts(n_queries)]
+    queries = pa.table(
+        {
+            "query_id": [f"q{i}" for i in range(n_queries - 1)] + ["7_1"],
+            "terms": pa.array(asked, pa.list_(pa.string())),
+            "weights": [[float(w) for w in rng.uniform(0.5, 6, len(t))] for t in asked],
+            "avgdl": [16.0] * n_queries,
+        }
+    )
+    chunks = pa.table({"chunk_id": [f"{i // 3}_{i % 3}" for i in range(n_chunks)], "tokens": pa.array(texts(n_chunks), pa.list_(pa.string()))})
+    return queries, chunks
+
+
+def test_most_blocks_are_scored_in_full_only_where_it_matters(monkeypatch):
+    """Once the floors have risen a block is scored in float32 and few of its cells again; the rows are those of all scores."""
+    monkeypatch.setattr(topk, "BLOCK_CELLS", 40 * 128)
+    rng = np.random.default_rng(8)
+    queries, chunks = bm25_sides(rng, 40, 9_000)
+    full, settled = [], []
+    score, settle = Bm25.score, Bm25.settled
+    monkeypatch.setattr(Bm25, "score", lambda *a: (full.append(a[4] - a[3]), score(*a))[1])
+    monkeypatch.setattr(Bm25, "settled", lambda *a: (settled.append(len(a[4])), settle(*a))[1])
+
+    def best(k, parent_k, distinct):
+        schema = [T.StructField("dataset", T.StringType())]
+        task = topk._Task(topk._Plan(Bm25(), ["dataset"], schema, k, parent_k, True), ("d",), queries, distinct)
+        task.feed(chunks)
+        # Rows besides those of the best ranks may differ: which are cut when is no promise.
+        rows = sorted((r for b in task.results() for r in b.to_pylist()), key=lambda r: (r["query_id"], r["level"], r["score"], r["target_id"]), reverse=True)
+        depth, kept = {}, []
+        for r in rows:
+            at = depth[r["query_id"], r["level"]] = depth.get((r["query_id"], r["level"]), 0) + 1
+            if at <= (k if r["level"] == topk.CHUNK else parent_k):
+                kept.append((r["query_id"], r["level"], r["target_id"], round(r["score"], 6)))
+        return kept
+
+    for k, parent_k, distinct in ((6, 0, True), (0, 4, False), (6, 4, False)):
+        full.clear(), settled.clear()
+        found = best(k, parent_k, distinct)
+        assert sum(full) < 9_000 / 2 and 0 < sum(settled) < 40 * 9_000 / 16
+        with monkeypatch.context() as plain:
+            plain.setattr(Bm25, "rough", lambda *a: None)
+            assert found == best(k, parent_k, distinct)
+        assert any(q == "7_1" for q, *_ in found) and not any(q == target for q, _, target, _ in found)
+
+
+def test_rough_scores_are_off_by_no_more_than_they_say():
+    rng = np.random.default_rng(9)
+    queries, chunks = bm25_sides(rng, 30, 500)
+    scorer = Bm25()
+    loaded = scorer.load(queries)
+    packed = scorer.prepare(loaded, chunks)
+    scores = scorer.score(loaded, packed, 100, 500)
+    rough = scorer.rough(loaded, packed, 100, 500)
+    assert rough.scores.dtype == np.float32
+    assert (np.abs(rough.scores - scores) <= rough.slack[:, None]).all() and rough.slack.max() < 0.02
+    wanted = scores > np.quantile(scores, 0.9)
+    assert np.allclose(scorer.settled(loaded, rough, wanted, np.flatnonzero(wanted)), scores[wanted], rtol=1e-13)
