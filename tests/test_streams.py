@@ -242,3 +242,29 @@ def test_rough_scores_are_off_by_no_more_than_they_say():
     assert (np.abs(rough.scores - scores) <= rough.slack[:, None]).all() and rough.slack.max() < 0.02
     wanted = scores > np.quantile(scores, 0.9)
     assert np.allclose(scorer.settled(loaded, rough, wanted, np.flatnonzero(wanted)), scores[wanted], rtol=1e-13)
+
+
+def test_terms_are_counted_a_batch_at_a_time(spark, monkeypatch):
+    """Few rows leave a task however many chunks hold a term; nulls and supplied empty tokens as ever."""
+    rows_ = [("x", ["a", "b", "a", None, ""]), ("y", []), ("x", None), (None, ["a"]), ("y", ["a"]), ("x", [None])]
+    corpus = spark.createDataFrame(rows_ * 50, "dataset string, tokens array<string>").coalesce(1)
+    taken = []
+    monkeypatch.setattr(bm25, "materialised", lambda table: (taken.append(table), table)[1])
+    found = {(r.dataset, r.term): (r.df, r.total) for r in bm25.term_counts(corpus).collect()}
+    assert found == {
+        ("x", "a"): (50, 250), ("x", "b"): (50, 250), ("x", ""): (50, 250), ("x", None): (100, 300),
+        ("y", "a"): (50, 50), ("y", None): (100, 50), (None, "a"): (50, 50), (None, None): (50, 50),
+    }
+    plan = taken[0]._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    monkeypatch.setattr(bm25, "COUNT_BYTES", 1)
+    assert {(r.dataset, r.term): (r.df, r.total) for r in bm25.term_counts(corpus).collect()} == found
+
+
+def test_tiles_leave_no_small_rest_of_a_range(spark):
+    """Ranges are drawn from a sample; one that is a little larger than the others stays one file."""
+    rng = np.random.default_rng(10)
+    q = vectors(spark, "query_id", [(f"q{i}", v) for i, v in enumerate(rng.normal(size=(20_000, 1)))])
+    stored = tiles.written(q, ["dataset"], Dense().query_elements(), 4_096, 1 << 30, 16, 1_024)
+    sizes = [tiles.load(f, ["query_id"]).num_rows for f in stored.files]
+    assert len(sizes) == 16 and sum(sizes) == 20_000 and min(sizes) > 500 and max(sizes) <= 4_096
